@@ -6,16 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, mpeg_audio, sharding
+from . import chat, licenses, mixing, mpeg_audio, packing, quality_classifier, quality_rules, sharding
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_mpeg_audio": mpeg_audio.op1_mpeg_audio,
         "op2_slot_sharding": sharding.op2_slot_sharding,
+        "op4_best_fit_packing": packing.op4_best_fit_packing,
+        "op5_license_scan": licenses.op5_license_scan,
         "op6_chat_formatting": chat.op6_chat_formatting,
+        "op7_quality_rules": quality_rules.op7_quality_rules,
+        "op8_compression_classifier": quality_classifier.op8_compression_classifier,
+        "op9_temperature_mixing": mixing.op9_temperature_mixing,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_chat_formatting": chat.OP6_SQL}
+    return {"op5_license_scan": licenses.OP5_SQL, "op6_chat_formatting": chat.OP6_SQL}
