@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, licenses, mixing, mpeg_audio, packing, quality_classifier, quality_rules, sharding
+from . import chat, licenses, mixing, mpeg_audio, packing, quality_classifier, quality_rules, sharding, suffix_dedup
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_mpeg_audio": mpeg_audio.op1_mpeg_audio,
         "op2_slot_sharding": sharding.op2_slot_sharding,
+        "op3_suffix_dedup": suffix_dedup.op3_suffix_dedup,
         "op4_best_fit_packing": packing.op4_best_fit_packing,
         "op5_license_scan": licenses.op5_license_scan,
         "op6_chat_formatting": chat.op6_chat_formatting,
