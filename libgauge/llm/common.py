@@ -34,9 +34,13 @@ class Workspace:
     no later step reads.
     """
 
+    #: Workspaces of this process that still hold tables.
+    live: list[Workspace] = []
+
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/libgauge/{name}-{uuid.uuid4().hex}"
+        Workspace.live.append(self)
 
     def path(self, table: str) -> str:
         return f"{self.root}/{table}"
@@ -46,10 +50,25 @@ class Workspace:
         return self.spark.read.schema(df.schema).parquet(self.path(table))
 
     def drop(self, *tables: str) -> None:
-        jvm = self.spark._jvm
         for table in tables:
-            path = jvm.org.apache.hadoop.fs.Path(self.path(table))
-            path.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+            self._delete(self.path(table))
+
+    def keep(self, *tables: str) -> None:
+        """Drop all tables but these."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.root)
+        for status in self._files(path).listStatus(path):
+            if status.getPath().getName() not in tables:
+                self._delete(status.getPath().toString())
+
+    def close(self) -> None:
+        self._delete(self.root)
+
+    def _files(self, path):
+        return path.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf())
+
+    def _delete(self, place: str) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(place)
+        self._files(path).delete(path, True)
 
 
 def texts(batch: pa.RecordBatch, column: str) -> list[bytes]:

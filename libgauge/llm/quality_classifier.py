@@ -31,6 +31,7 @@ from .common import as_columns, bounded_batches, texts
 FIT_ROWS, FIT_BYTES, FIT_PIECE = 20_000, 8 << 20, 4096
 DICTIONARY_BYTES, LEVEL = 112_640, 3
 THRESHOLD = 0.3
+SCORE = "quality_score"
 
 
 @dataclass(frozen=True)
@@ -118,20 +119,25 @@ def hash_id(i: int) -> int:
 
 
 def score_table(df: DataFrame, model: CompressionModel, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The columns of ``keep`` and ``score``."""
+    """The columns of ``keep`` and SCORE."""
     bounded_batches(df.sparkSession)
-    rows = df.select(*(F.col(f"`{k}`") for k in keep), F.col(f"`{text_col}`").cast("string").alias("__text"))
+    rows = df.select(*(F.col(f"`{k}`") for k in keep), *(() if text_col in keep else (F.col(f"`{text_col}`"),)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            scores = pa.array(model.score(texts(b, "__text")) if b.num_rows else [], pa.float64())
-            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in keep), scores], names=[*keep, "score"])
+            scores = pa.array(model.score(texts(b, text_col)) if b.num_rows else [], pa.float64())
+            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in keep), scores], names=[*keep, SCORE])
 
-    return rows.mapInArrow(run, T.StructType([*(rows.schema[k] for k in keep), T.StructField("score", T.DoubleType())]))
+    return rows.mapInArrow(run, T.StructType([*(rows.schema[k] for k in keep), T.StructField(SCORE, T.DoubleType())]))
+
+
+def keep_good(df: DataFrame, model: CompressionModel, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``df`` whose score reaches the threshold; all columns stay."""
+    return score_table(df.drop(SCORE) if SCORE in df.columns else df, model, text_col, tuple(c for c in df.columns if c != SCORE)).filter(F.col(SCORE) >= threshold).drop(SCORE)
 
 
 def op8_compression_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     model = fit_table(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     scored = score_table(docs.select(*as_columns("doc_id", "text")), model)
-    return scored.select("doc_id", (id_crc() % 5 == 0).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+    return scored.select("doc_id", (id_crc() % 5 == 0).alias("held_out"), F.col(SCORE).alias("score"), (F.col(SCORE) >= THRESHOLD).cast("int").alias("predicted"))

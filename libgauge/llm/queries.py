@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, licenses, mixing, mpeg_audio, packing, quality_classifier, quality_rules, sharding, suffix_dedup
+import corpus_pipeline
+
+from . import chat, licenses, mixing, mpeg_audio, ngram_join, packing, quality_classifier, quality_rules, sharding, suffix_dedup
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -20,6 +22,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_quality_rules": quality_rules.op7_quality_rules,
         "op8_compression_classifier": quality_classifier.op8_compression_classifier,
         "op9_temperature_mixing": mixing.op9_temperature_mixing,
+        "op10_ngram_jaccard_join": ngram_join.op10_ngram_jaccard_join,
+        "pipeline": corpus_pipeline.run,
     }
 
 

@@ -244,7 +244,7 @@ def to_chunks(rows: DataFrame) -> DataFrame:
     """Rows (doc_id, text, carried) to chunks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        base, k = TaskContext.get().partitionId() << 32, itertools.count()
+        base, k = TaskContext.get().partitionId() << 20, itertools.count()
         held: list[tuple] = []
 
         def close() -> tuple:
@@ -351,6 +351,19 @@ def dedup(df: DataFrame, width: int = WIDTH, id_col: str = "doc_id", text_col: s
     return result
 
 
+def cut_repeats(df: DataFrame, width: int = WIDTH, id_col: str = "doc_id", text_col: str = "text", chars_col: str = "n_chars") -> DataFrame:
+    """The rows of ``df`` without repeated passages in their texts; ``chars_col``, where there is one,
+    is counted anew, and the other columns stay."""
+    other = [c for c in df.columns if c not in (id_col, text_col)]
+    kind = df.select(*(F.col(f"`{c}`") for c in other)).schema
+    found = dedup(df, width, id_col, text_col, F.to_json(F.struct(*(F.col(f"`{c}`") for c in other))) if other else None, keep_text=True, characters=True)
+    back = found.select("doc_id", "kept", *([F.from_json("carried", kind).alias("carried")] if other else []))
+    value = {id_col: F.col("doc_id").cast(df.schema[id_col].dataType), text_col: F.col("kept")} | {c: F.col(f"carried.`{c}`") for c in other}
+    if chars_col in other:
+        value[chars_col] = F.length("kept").cast(df.schema[chars_col].dataType)
+    return back.select(*(value[c].alias(c) for c in df.columns))
+
+
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return found.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), "kept_sha256", "spans")
