@@ -223,11 +223,13 @@ def find_sets(chunks: DataFrame, work: Workspace, total: int, words: int, percen
                 sets = [shingle_sets(t, words) for t in _texts(r)]
                 values, counts = np.unique(np.concatenate([np.zeros(0, np.uint64), *map(asked, sets)]), return_counts=True)
                 values = values[(counts > 1) | untangle(values, {x["bucket"]: x["bits"] for x in r["bits"] or ()}, buckets, SAMPLE_BITS)]
+                values = np.append(values, np.uint64(1 << 63))  # above all hashes, so that every search ends inside
+                shared = lambda own: int((values[np.searchsorted(values, own)] == own).sum())  # noqa: E731, B023
                 seen = set()
                 for place, (doc_id, s) in enumerate(zip(r["ids"], sets)):
                     n, node = len(s), r["chunk"] << 20 | place
                     own = below(s, share(n, percent)) >> np.uint64(64 - SAMPLE_BITS)
-                    if not n or len(own) - int(np.isin(own, values).sum()) > n - needed(n, percent):
+                    if not n or len(own) - shared(own) > n - needed(n, percent):
                         yield node, doc_id, n, None, None, None
                         continue
                     mark = hashlib.blake2b(s.tobytes(), digest_size=16).digest()
