@@ -46,6 +46,8 @@ SMALL_SET = 64
 #: So many sets are indexed at a time in step 2; so many roots of earlier ones stay in the index.
 BLOCK, CARRIED = 1024, 64
 SKETCH_BITS = 1024
+#: Bits of the second, wider sketch, which pairs meet before their sets do.
+WIDE_BITS = 1 << 13
 #: Tables of at most so many rows (of 8 or 16 bytes) are broadcast; larger ones are shuffled.
 BROADCAST_ROWS = 200_000
 SPACE = np.zeros(256, bool)
@@ -96,9 +98,14 @@ def below(values: np.ndarray, part: float) -> np.ndarray:
     return values if part >= 1 else values[: np.searchsorted(values, np.uint64(int(part * 2.0**63)) * np.uint64(2))]
 
 
-def parity(values: np.ndarray) -> bytes:
-    """Parity of the hashes in SKETCH_BITS classes: sketches differ in no more bits than sets in elements."""
-    return np.packbits(np.bincount((values >> np.uint64(20)).astype(np.int64) & (SKETCH_BITS - 1), minlength=SKETCH_BITS) & 1).tobytes()
+def parity(values: np.ndarray, bits: int = SKETCH_BITS) -> bytes:
+    """Parity of the hashes in classes: sketches differ in no more bits than sets in elements."""
+    return np.packbits(np.bincount((values >> np.uint64(20)).astype(np.int64) & (bits - 1), minlength=bits) & 1).tobytes()
+
+
+def within(far, sizes, percent: int):
+    """Can sets of together ``sizes`` elements link if they differ in at least ``far``?"""
+    return (100 + percent) * far <= (100 - percent) * sizes
 
 
 def links(common: int, a: int, b: int, percent: int) -> bool:
@@ -297,7 +304,7 @@ def open_pairs(lists: DataFrame, percent: int, forest: bool) -> DataFrame:
             if hi <= lo + 1:
                 continue
             far = np.bitwise_count(sketch[lo + 1 : hi] ^ sketch[lo]).sum(1, dtype=np.int64)
-            near = np.flatnonzero(((100 + percent) * far <= (100 - percent) * (n[lo + 1 : hi] + n[lo])) & (root[lo + 1 : hi] != root[lo]))
+            near = np.flatnonzero(within(far, n[lo + 1 : hi] + n[lo], percent) & (root[lo + 1 : hi] != root[lo]))
             for k in near[np.argsort(far[near], kind="stable")] + lo + 1:
                 if not forest or roots.join(int(root[lo]), int(root[k])):
                     yield (int(min(node[lo], node[k])), int(max(node[lo], node[k])))
@@ -334,23 +341,41 @@ def checked(small: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(small) if rows <= BROADCAST_ROWS else small
 
 
+def _beside(pairs: DataFrame, table: DataFrame, *columns: str) -> DataFrame:
+    """Pairs with columns of a table of nodes, once for a and once for b."""
+    for end in "ab":
+        pairs = pairs.join(table.select(F.col("node").alias(end), *(F.col(c).alias(c + end) for c in columns)), end)
+    return pairs
+
+
 def count_pairs(pairs: DataFrame, sets: DataFrame, work: Workspace, name: str, percent: int) -> DataFrame:
-    """The pairs that link, by their exact intersection."""
+    """The pairs that link, by their exact intersection.  Pairs that wide sketches exclude go before sets
+    are moved."""
     n = pairs.count()
     wanted = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-    used = work.save(sets.filter(F.col("shingles").isNotNull()).select("node", "shingles").join(checked(wanted, 2 * n), "node", "left_semi"), f"{name}_sets")
-    left = used.select(F.col("node").alias("a"), F.col("shingles").alias("sa"))
-    right = used.select(F.col("node").alias("b"), F.col("shingles").alias("sb"))
+    used = work.save(sets.filter(F.col("shingles").isNotNull()).select("node", "n", "shingles").join(checked(wanted, 2 * n), "node", "left_semi"), f"{name}_sets")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column("node"), b.column("n"), pa.array([parity(unpack_sorted(x), WIDE_BITS) for x in b.column("shingles").to_pylist()], pa.binary())], names=["node", "n", "wide"])
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint64).reshape(b.num_rows, -1) for c in ("widea", "wideb"))
+            sizes = b.column("na").to_numpy() + b.column("nb").to_numpy()
+            yield b.select(["a", "b"]).filter(pa.array(within(np.bitwise_count(x ^ y).sum(1, dtype=np.int64), sizes, percent)))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             keep = []
-            for i, (x, y) in enumerate(zip(b.column("sa").to_pylist(), b.column("sb").to_pylist())):
+            for x, y in zip(b.column("shinglesa").to_pylist(), b.column("shinglesb").to_pylist()):
                 x, y = unpack_sorted(x), unpack_sorted(y)
                 keep.append(links(len(np.intersect1d(x, y, assume_unique=True)), len(x), len(y), percent))
             yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return work.save(pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long"), name)
+    wide = used.mapInArrow(sketch, "node long, n long, wide binary")
+    left = work.save(_beside(pairs, wide, "n", "wide").select("a", "b", "na", "nb", "widea", "wideb").mapInArrow(near, "a long, b long"), f"{name}_near")
+    return work.save(_beside(left, used, "shingles").select("a", "b", "shinglesa", "shinglesb").mapInArrow(count, "a long, b long"), name)
 
 
 def components(edges: DataFrame, work: Workspace, name: str) -> DataFrame:
