@@ -443,3 +443,17 @@ def keep_one(df: DataFrame, words: int = 5, percent: int = 80, text_col: str = "
 
 def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return join(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "n_shingles", "component_id")
+
+
+#: DuckDB: all pairs that share a shingle, counted, and what they reach.
+OP10_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT row_number() OVER () AS r, doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+s AS (
+  SELECT r, doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) END AS g FROM w),
+e AS (SELECT r, len(g) AS n, unnest(g) AS x FROM s),
+p AS (SELECT a.r AS a, b.r AS b FROM e a JOIN e b ON a.x = b.x AND a.r <> b.r GROUP BY a.r, b.r HAVING 100 * count(*) >= 90 * (any_value(a.n) + any_value(b.n) - count(*))),
+reach(a, b) AS (SELECT r, r FROM s UNION SELECT reach.a, p.b FROM reach JOIN p ON reach.b = p.a)
+SELECT s.doc_id, len(s.g)::BIGINT AS n_shingles, min(t.doc_id)::BIGINT AS component_id
+FROM s JOIN reach ON reach.a = s.r JOIN s t ON t.r = reach.b GROUP BY s.r, s.doc_id, s.g
+"""

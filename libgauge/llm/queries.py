@@ -28,4 +28,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_license_scan": licenses.OP5_SQL, "op6_chat_formatting": chat.OP6_SQL}
+    return {"op5_license_scan": licenses.OP5_SQL, "op6_chat_formatting": chat.OP6_SQL, "op10_ngram_jaccard_join": ngram_join.OP10_SQL}
