@@ -31,6 +31,7 @@ from __future__ import annotations
 
 import hashlib
 import itertools
+from collections import Counter
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
@@ -297,7 +298,8 @@ def dedup(df: DataFrame, width: int = WIDTH, id_col: str = "doc_id", text_col: s
     bounded_batches(spark)
     rows = df.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"), (F.lit(None).cast("string") if carried is None else carried).alias("carried"))
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    homes, fine, coarse = max(1, total // (24 << 20)), max(4, total // (8 << 20)), max(4, total // (24 << 20))
+    fine, coarse = max(4, total // (8 << 20)), max(4, total // (24 << 20))
+    homes = max(total // (24 << 20), int(spark.conf.get("spark.sql.shuffle.partitions")))  # with fewer, joins would deal the texts out again
     name = "libgauge_" + work.root.rpartition("-")[2]
     to_chunks(rows).repartition(homes, "chunk").write.option("path", work.path("chunks")).option("compression", "uncompressed").bucketBy(homes, "chunk").saveAsTable(name)
     chunks = spark.table(name)
@@ -309,17 +311,21 @@ def dedup(df: DataFrame, width: int = WIDTH, id_col: str = "doc_id", text_col: s
 
     ranks = work.save(tied(_on_chunks(chunks.select("chunk", "lengths", "data"), width, DEALT, DEALT_DDL, sampled)), "ranks")
     by_chunk = lambda t, to: t.groupBy("chunk").agg(F.collect_list(F.struct("seg", "bucket", "bits")).alias(to))
-    prints = chunks.select("chunk", F.posexplode("prints").alias("place", "print"))
-    owners = prints.groupBy("print").agg(F.min(F.struct("chunk", "place")).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    copies = prints.join(owners, "print").groupBy("chunk").agg(F.collect_list(F.struct("place", (F.col("first") != F.struct("chunk", "place")).alias("again"))).alias("copies"))
+    # Copies inside a chunk are known there: a print comes once from each chunk, however common it is.
+    prints = chunks.select("chunk", F.explode(F.array_distinct("prints")).alias("print"))
+    owners = prints.groupBy("print").agg(F.min("chunk").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("print", "first")
+    copies = prints.join(owners, "print").groupBy("chunk").agg(F.collect_list(F.struct("print", (F.col("first") != F.col("chunk")).alias("again"))).alias("copies"))
     replies = by_chunk(ranks, "ranks").join(work.save(copies, "copies"), "chunk", "full")
     told = chunks.join(replies.hint("shuffle_hash"), "chunk", "left")
 
     def state(r: dict, c: Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        elsewhere = {bytes(x["print"]): x["again"] for x in r["copies"] or ()}
+        count, met = Counter(r["prints"]), set()
         copied, again = np.zeros(len(c.lengths), bool), np.zeros(len(c.lengths), bool)
-        for x in r["copies"] or ():
-            copied[x["place"]] = True
-            again[x["place"]] = x["again"]
+        for place, p in enumerate(r["prints"]):
+            copied[place] = count[p] > 1 or p in elsewhere
+            again[place] = p in met or elsewhere.get(p, False)
+            met.add(p)
         return c.marks(_by_segment(r["ranks"]), coarse), copied, again
 
     def open_suffixes(r: dict, c: Chunk):
@@ -328,7 +334,7 @@ def dedup(df: DataFrame, width: int = WIDTH, id_col: str = "doc_id", text_col: s
             for bucket, values in deal(np.unique(c.suffixes(lo, hi, marks, again)[1]), fine, 64):
                 yield bucket, r["chunk"], seg, pack_sorted(values)
 
-    found = work.save(tied(_on_chunks(told.select("chunk", "lengths", "data", "ranks", "copies"), width, DEALT, DEALT_DDL, open_suffixes)), "found")
+    found = work.save(tied(_on_chunks(told.select("chunk", "lengths", "prints", "data", "ranks", "copies"), width, DEALT, DEALT_DDL, open_suffixes)), "found")
     both = told.join(by_chunk(found, "found").hint("shuffle_hash"), "chunk", "left")
 
     def cut(r: dict, c: Chunk):
@@ -345,7 +351,7 @@ def dedup(df: DataFrame, width: int = WIDTH, id_col: str = "doc_id", text_col: s
             spans = [[int(a), int(b - a)] for a, b in turns.reshape(-1, 2)]
             yield doc_id, int(hi - lo), int(gone.sum()), spans, hashlib.sha256(kept).hexdigest(), kept.decode() if keep_text and characters else None, carried
 
-    result = work.save(_on_chunks(both.select("ids", "lengths", "carried", "data", "ranks", "copies", "found"), width, KEPT, KEPT_DDL, cut), "result")
+    result = work.save(_on_chunks(both.select("ids", "lengths", "prints", "carried", "data", "ranks", "copies", "found"), width, KEPT, KEPT_DDL, cut), "result")
     spark.sql(f"DROP TABLE {name}")
     work.drop("chunks", "ranks", "copies", "found")
     return result
