@@ -425,9 +425,11 @@ def join(df: DataFrame, words: int = WORDS, percent: int = PERCENT, id_col: str
     for name, forest in (("forest", True), ("rest", False)):
         pairs = work.save(open_pairs(mixed_lists(first), percent, forest), f"{name}_pairs")
         first = relabel(first, count_pairs(pairs, sets, work, name, percent), work, f"{name}_labels")
-    placed = sets.select("node", "doc_id", "n", "print").join(first.select("print", "root"), "print", "left").select("node", "doc_id", "n", "print", F.coalesce("root", "node").alias("root"))
+    # Sets that step 1 settled have no print: they stay out of the join, where they would all meet in one task.
+    alone = sets.filter("print IS NULL").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.least("n", F.lit(1)).cast("long").alias("n_sets"))
+    placed = sets.filter("print IS NOT NULL").select("doc_id", "n", "print").join(first.select("print", "root"), "print")
     summed = placed.groupBy("root").agg(F.min("doc_id").alias("component_id"), F.count_distinct("print").alias("n_sets"))
-    result = work.save(placed.join(summed, "root").select("doc_id", F.col("n").alias("n_shingles"), "component_id", "n_sets"), "result")
+    result = work.save(placed.join(summed, "root").select("doc_id", F.col("n").alias("n_shingles"), "component_id", "n_sets").unionByName(alone), "result")
     work.keep("result")
     return result
 
