@@ -439,8 +439,8 @@ def keep_one(df: DataFrame, words: int = 5, percent: int = 80, text_col: str = "
     work = Workspace(df.sparkSession, "ngrams")
     numbered = work.save(df.withColumn("__row", F.monotonically_increasing_id()), "rows")
     joined = join(numbered.select("__row", F.col(f"`{text_col}`").alias("__text")), words, percent, "__row", "__text")
-    kept = joined.filter("doc_id = component_id").select(F.col("doc_id").alias("__row"))
-    return numbered.join(kept, "__row", "left_semi").select(*(F.col(f"`{c}`") for c in df.columns))
+    gone = joined.filter("doc_id != component_id").select(F.col("doc_id").alias("__row"))  # fewer than what stays
+    return numbered.join(checked(gone, gone.count()), "__row", "left_anti").select(*(F.col(f"`{c}`") for c in df.columns))
 
 
 def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
