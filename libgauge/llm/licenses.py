@@ -6,14 +6,23 @@ its bag of word bigrams is compared with each template's by the Dice coefficient
 2 * common / (unit + template).  A unit of n words has n - 1 bigrams, so before any bigram is built
 the bounds  t / (2 - t) <= unit / template <= (2 - t) / t  prune templates and units.
 
+A notice may also begin and end anywhere: wrapped over lines, in the middle of a document or of a
+line.  For each template the windows of consecutive words, across lines, that begin and end with one
+of its bigrams are compared too.  A window has one of the template's less common words and, inside the
+upper bound, as many of its bigrams as the lower bound says; other texts and places are passed over.
+From each beginning the best window counts; windows that touch a line (or whole text) which matches
+the template are not counted beside it, and of windows of one template that overlap only the best is.
+
 Defined results: a null or empty text has no units and no licence; of several matches the greatest
-coefficient counts, then the earliest unit (the whole text, -1, first), then the first template;
+coefficient counts, then the earliest unit (the whole text, -1, first; a window is numbered as the
+line it begins in), then the first template;
 repeated rows are scanned each on its own; an empty table gives an empty result; other columns are
 ignored.  Texts of any length are taken whole.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 
@@ -49,6 +58,10 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BREAKS = r"[\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+"
 
 
+#: Words too common to look a text up by.
+COMMON = frozenset("a all an and any as at be by can do for from have if in is it may no not of on or that the this to was with you".split())
+
+
 def template_words(text: str) -> list[str]:
     return re.sub(BREAKS, " ", text.translate(str.maketrans(UPPER, LOWER))).split()
 
@@ -67,25 +80,66 @@ def _tagged(bigrams: list[str]) -> list[str]:
     return out
 
 
+MATCHES = "array<struct<dice:double,before:int,rank:int,license:string>>"
+
+
+def _sought(bigrams: list[str], need: int) -> set[str]:
+    """Words of which a text has at least one if it has ``need`` of the bigrams."""
+    words = {w for b in bigrams for w in b.split(" ")}
+    return words - COMMON if sum(COMMON.issuperset(b.split(" ")) for b in bigrams) < need else words
+
+
+def _windows(hits: Column, matches: Column, rank: int, name: str, bigrams: list[str], lo: float, hi: float, threshold: float) -> Column:
+    """The matches of one template that are windows; ``hits``: its bigrams in the text, by position."""
+    need, most, often = math.ceil(lo), math.floor(hi), Counter(bigrams)
+    many = sorted(b for b in often if often[b] > 1)
+    times = lambda b: F.coalesce(*(F.when(b == x, often[x]) for x in many), F.lit(1))
+
+    def ranked(h: Column, j: Column) -> Column:
+        """A hit adds to what a window has in common unless ``full``, the hit that used its bigram up, is inside."""
+        same = F.filter(F.slice(hits, F.greatest(j - most, F.lit(0)) + 1, F.least(j, F.lit(most))), lambda e: e["bigram"] == h["bigram"])
+        full = F.when(F.size(same) >= times(h["bigram"]), same[F.size(same) - times(h["bigram"])]["at"]).otherwise(-1)
+        return F.struct(h["at"].alias("at"), h["line"].alias("line"), h["end"].alias("end"), full.alias("full"))
+
+    def best_from(seen: Column, s: Column, i: Column) -> Column:
+        inside = F.filter(F.slice(seen, i + 1, most), lambda g: (g["at"] - s["at"] < most) & (g["full"] < s["at"]))
+        dice = lambda g, r: F.lit(2.0) * (r + 1) / (g["at"] - s["at"] + F.lit(1 + len(bigrams))).cast("double")
+        return F.array_min(F.transform(inside, lambda g, r: F.struct((-dice(g, r)).alias("less"), s["at"].alias("first"), g["at"].alias("last"), s["line"].alias("line"), g["end"].alias("end"))))
+
+    def search(seen: Column) -> Column:
+        dense = lambda s, i: F.coalesce(F.try_element_at(seen, i + need)["at"] - s["at"] < most, F.lit(False))
+        starts = F.filter(F.transform(seen, lambda s, i: F.when(dense(s, i), best_from(seen, s, i))), lambda w: w.isNotNull() & (-w["less"] >= threshold))
+        taken = lambda w: F.exists(matches, lambda m: (m["rank"] == -rank) & ((m["before"] == 1) | (-m["before"]).between(w["line"], w["end"])))
+        free = F.array_sort(F.filter(starts, lambda w: ~taken(w)))
+        apart = F.aggregate(free, F.filter(free, lambda w: F.lit(False)), lambda acc, w: F.when(F.exists(acc, lambda a: (a["first"] <= w["last"]) & (w["first"] <= a["last"])), acc).otherwise(F.concat(acc, F.array(w))))
+        return F.transform(apart, lambda w: F.struct((-w["less"]).alias("dice"), (-w["line"]).alias("before"), F.lit(-rank).alias("rank"), F.lit(name).alias("license")))
+
+    near = F.exists(F.transform(hits, lambda h, i: F.try_element_at(hits, i + need)["at"] - h["at"] < most), lambda x: F.coalesce(x, F.lit(False)))
+    return F.when(near, F.flatten(F.transform(F.array(F.transform(hits, ranked)), search))).otherwise(F.array().cast(MATCHES))
+
+
 def scan(df: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, license (null if none), dice, unit (line from 0, -1: whole text), n_matches."""
     low, high = threshold / (2 - threshold), (2 - threshold) / threshold
     known = [(name, template_bigrams(text)) for name, text in templates]
     shapes = [(name, b, low * len(b) - 1e-9, high * len(b) + 1e-9) for name, b in known if b]
     least, most = min(s[2] for s in shapes), max(s[3] for s in shapes)
+    sought = sorted(set().union(*(_sought(b, math.ceil(lo)) for _, b, lo, _ in shapes)))
     every = F.array(*(F.lit(b) for b in sorted({b for _, bigrams, *_ in shapes for b in bigrams})))
 
     words = lambda line: F.filter(F.split(F.translate(line, UPPER, LOWER), BREAKS), lambda w: w != "")
     fits = lambda n: ((n - 1) >= least) & ((n - 1) <= most)
     lines = df.select(*as_columns(id_col, text_col)).select("doc_id", F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), words).alias("lines"))
     sized = lines.withColumn("total", F.aggregate("lines", F.lit(0), lambda acc, w: acc + F.size(w)))
+    said = F.flatten(F.transform("lines", lambda w, i: F.transform(w, lambda x: F.struct(i.alias("line"), x.alias("word")))))
+    sized = sized.withColumn("spoken", F.when(F.arrays_overlap(F.flatten("lines"), F.array(*map(F.lit, sought))), said))
     nothing = F.array().cast("array<struct<unit:int,words:array<string>>>")
     whole = F.when((F.size("lines") > 1) & fits(F.col("total")), F.array(F.struct(F.lit(-1).alias("unit"), F.flatten("lines").alias("words")))).otherwise(nothing)
-    units = sized.select("doc_id", F.concat(whole, F.filter(F.transform("lines", lambda w, i: F.struct(i.alias("unit"), w.alias("words"))), lambda u: fits(F.size(u["words"])))).alias("units"))
-    paired = units.select("doc_id", F.transform("units", lambda u: F.struct(u["unit"].alias("unit"), F.zip_with(F.slice(u["words"], F.lit(1), F.size(u["words"]) - 1), F.slice(u["words"], F.lit(2), F.size(u["words"]) - 1), lambda a, b: F.concat(a, F.lit(" "), b)).alias("bigrams"))).alias("units"))
-    shared = paired.select("doc_id", F.filter("units", lambda u: F.arrays_overlap(u["bigrams"], every)).alias("units"))
+    units = sized.select("doc_id", "spoken", F.concat(whole, F.filter(F.transform("lines", lambda w, i: F.struct(i.alias("unit"), w.alias("words"))), lambda u: fits(F.size(u["words"])))).alias("units"))
+    paired = units.select("doc_id", "spoken", F.transform("units", lambda u: F.struct(u["unit"].alias("unit"), F.zip_with(F.slice(u["words"], F.lit(1), F.size(u["words"]) - 1), F.slice(u["words"], F.lit(2), F.size(u["words"]) - 1), lambda a, b: F.concat(a, F.lit(" "), b)).alias("bigrams"))).alias("units"))
+    shared = paired.select("doc_id", "spoken", F.filter("units", lambda u: F.arrays_overlap(u["bigrams"], every)).alias("units"))
     count = lambda bag, upto, x: F.size(F.filter(F.slice(bag, F.lit(1), upto + 1), lambda y: y == x))
-    tagged = shared.select("doc_id", F.transform("units", lambda u: F.struct(u["unit"].alias("unit"), F.transform(u["bigrams"], lambda x, i: F.concat(x, F.lit("#"), count(u["bigrams"], i, x).cast("string"))).alias("bigrams"))).alias("units"))
+    tagged = shared.select("doc_id", "spoken", F.transform("units", lambda u: F.struct(u["unit"].alias("unit"), F.transform(u["bigrams"], lambda x, i: F.concat(x, F.lit("#"), count(u["bigrams"], i, x).cast("string"))).alias("bigrams"))).alias("units"))
 
     def match(u: Column, rank: int, name: str, bigrams: list[str], lo: float, hi: float) -> Column:
         n = F.size(u["bigrams"])
@@ -93,7 +147,14 @@ def scan(df: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD, id_co
         dice = F.when((n >= lo) & (n <= hi), F.lit(2.0) * common / (n + F.lit(len(bigrams))).cast("double")).otherwise(F.lit(0.0))
         return F.struct(dice.alias("dice"), (-u["unit"]).alias("before"), F.lit(-rank).alias("rank"), F.lit(name).alias("license"))
 
-    found = tagged.select("doc_id", F.filter(F.flatten(F.transform("units", lambda u: F.array(*(match(u, i, *s) for i, s in enumerate(shapes))))), lambda m: m["dice"] >= threshold).alias("matches"))
+    found = tagged.select("doc_id", "spoken", F.filter(F.flatten(F.transform("units", lambda u: F.array(*(match(u, i, *s) for i, s in enumerate(shapes))))), lambda m: m["dice"] >= threshold).alias("matches"))
+    pair = lambda a, b: F.struct(a["line"].alias("line"), b["line"].alias("end"), F.concat(a["word"], F.lit(" "), b["word"]).alias("bigram"))
+    spans = F.zip_with(F.slice("spoken", F.lit(1), F.size("spoken") - 1), F.slice("spoken", F.lit(2), F.size("spoken") - 1), pair)
+    placed = F.transform(spans, lambda x, i: F.struct(i.alias("at"), x["line"].alias("line"), x["end"].alias("end"), x["bigram"].alias("bigram")))
+    hits = found.select("doc_id", "matches", F.when(F.col("spoken").isNotNull(), F.filter(placed, lambda h: h["bigram"].isin(sorted({b for _, bigrams, *_ in shapes for b in bigrams})))).alias("hits"))
+    dealt = hits.select("doc_id", "matches", F.when(F.size("hits") > 0, F.array(*(F.filter("hits", lambda h: h["bigram"].isin(sorted(set(s[1])))) for s in shapes))).alias("hits"))  # noqa: B023
+    spread = F.when(F.col("hits").isNotNull(), F.concat(*(_windows(F.col("hits")[i], F.col("matches"), i, *s, threshold) for i, s in enumerate(shapes)))).otherwise(F.array().cast(MATCHES))
+    found = dealt.select("doc_id", F.concat("matches", spread).alias("matches"))
     best = found.withColumn("best", F.array_max("matches"))
     return best.select("doc_id", F.col("best.license").alias("license"), F.col("best.dice").alias("dice"), (-F.col("best.before")).alias("unit"), F.size("matches").cast("long").alias("n_matches"))
 
