@@ -81,7 +81,7 @@ def cut_documents(df: DataFrame, length: int = LENGTH, end_id: int = END_ID, id_
     end = end_id.to_bytes(4, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(path).ids
+        encode = encoder(path).whole
 
         def rows():
             for b in batches:

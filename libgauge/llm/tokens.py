@@ -1,7 +1,9 @@
 """Token ids of whole texts by a public byte-level BPE vocabulary.
 
-Ids are those that the ``tokenizers`` library gives for ``byte_bpe_50k.json`` without special tokens;
-the same vocabulary is read from its rank file, and tests compare the two.  The pattern that cuts
+Ids are those that the ``tokenizers`` library gives for ``byte_bpe_50k.json`` with
+``add_special_tokens=False``; they are made by tiktoken, which reads the same vocabulary from its rank
+file, and tests compare the two.  ``whole`` takes the vocabulary's added token where it is spelt out in
+a text as that one token, like the library; ``ids`` takes its letters.  The pattern that cuts
 texts before the merges looks ahead only inside runs of white space, so texts whose white space is
 never doubled are cut by the pattern without that rule, which is faster and gives the same pieces.
 """
@@ -17,6 +19,8 @@ import tiktoken
 
 LOOKAHEAD = r"\s+(?!\S)|"
 RUNS = re.compile(r"\s\s")
+# The one added token of byte_bpe_50k.json and its id.
+ADDED, ADDED_ID = "<|endoftext|>", (50256).to_bytes(4, "little")
 
 
 def vocabulary_path(name: str = "byte_bpe_50k.tiktoken") -> str:
@@ -42,6 +46,9 @@ class Encoder:
         assert found.itemsize == 4
         return found.tobytes()
 
+    def whole(self, text: str) -> bytes:
+        return ADDED_ID.join(map(self.ids, text.split(ADDED)))
+
 
 @lru_cache(2)
 def encoder(ranks_path: str) -> Encoder:
