@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import os
 from collections.abc import Callable, Iterator
 
@@ -24,13 +25,13 @@ def existing_targets(files: DataFrame, column: str = "path") -> DataFrame:
 
 def plan_targets(plan: DataFrame, files: DataFrame, root: str, folder: str) -> DataFrame:
     """Adds target and target_exists before anything is downloaded: the description's own path, else a
-    file of the id's name with any extension, else that name."""
+    file of the id's name with any extension, else that name.  existing is the target if it exists."""
     stem = safe_filename(F.col("protocol_id"))
     there = existing_targets(files)
     named = files.select(F.col("path").alias("__there")).distinct()
     found = plan.withColumn("__stem", stem).join(there, F.col("__stem") == F.col("stem"), "left")
     aimed = found.withColumn("target", F.when(F.col("target_path").isNotNull(), own_target(F.col("target_path"), root)).otherwise(F.coalesce("existing", F.concat(F.lit(folder.rstrip("/") + "/"), "__stem"))))
-    return aimed.join(named, F.col("target") == F.col("__there"), "left").withColumn("target_exists", F.col("__there").isNotNull()).drop("__stem", "stem", "existing", "__there")
+    return aimed.join(named, F.col("target") == F.col("__there"), "left").withColumns({"target_exists": F.col("__there").isNotNull(), "existing": F.col("__there")}).drop("__stem", "stem", "__there")
 
 
 def pending(plan: DataFrame, overwrite: bool = False) -> DataFrame:
@@ -43,14 +44,16 @@ def pending(plan: DataFrame, overwrite: bool = False) -> DataFrame:
 
 def final_targets(downloads: DataFrame, root: str, folder: str) -> DataFrame:
     """After a download (content_type, final_url): extension, target and target_error.  A described path
-    must have the extension that was found, whatever its case."""
+    must have the extension that was found, whatever its case.  With a column existing (plan_targets)
+    replaced is the file to remove: what exists under another name."""
     extension = guess_extension(F.col("content_type"), F.col("final_url"))
     rows = downloads.withColumn("extension", extension)
     own = own_target(F.col("target_path"), root)
     clash = F.col("target_path").isNotNull() & (F.lower(path_suffix(F.col("target_path"))) != F.lower("extension"))
     target = F.when(F.col("target_path").isNotNull(), own).otherwise(F.concat(F.lit(folder.rstrip("/") + "/"), safe_filename(F.col("protocol_id")), "extension"))
     text = F.concat("protocol_id", F.lit(": target path "), own, F.lit(" does not match downloaded extension "), "extension")
-    return rows.withColumn("target", target).withColumn("target_error", F.when(clash, text))
+    done = rows.withColumn("target", target).withColumn("target_error", F.when(clash, text))
+    return done.withColumn("replaced", F.when(F.col("existing") != F.col("target"), F.col("existing"))) if "existing" in downloads.columns else done
 
 
 def replace_file(path: str, content: bytes) -> None:
@@ -61,9 +64,16 @@ def replace_file(path: str, content: bytes) -> None:
     os.replace(path + ".part", path)
 
 
-def store(downloads: DataFrame, put: Callable[[str, bytes], None] = replace_file) -> DataFrame:
-    """protocol_id, target, status, message after ``put`` has taken each download without an error.  On a
-    cluster, hand in a put that writes to the shared store."""
+def remove_file(path: str) -> None:
+    """The file may be gone: a task may run twice."""
+    with contextlib.suppress(FileNotFoundError):
+        os.remove(path)
+
+
+def store(downloads: DataFrame, put: Callable[[str, bytes], None] = replace_file, remove: Callable[[str], None] = remove_file, overwrite: bool = False) -> DataFrame:
+    """protocol_id, target, status, message after ``put`` has taken each download without an error; with
+    ``overwrite``, ``remove`` then takes the file of another name that it replaces.  On a cluster, hand in
+    functions that write to the shared store."""
     schema = T.StructType([T.StructField(n, T.StringType()) for n in ("protocol_id", "target", "status", "message")])
 
     def call(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -76,10 +86,13 @@ def store(downloads: DataFrame, put: Callable[[str, bytes], None] = replace_file
                     rows.append((r["protocol_id"], r["target"], "error", r["target_error"]))
                 else:
                     put(r["target"], r["content"])
+                    if overwrite and r.get("replaced"):
+                        remove(r["replaced"])
                     rows.append((r["protocol_id"], r["target"], "downloaded", f"{r['protocol_id']}: wrote {r['target']}"))
             yield pd.DataFrame(rows, columns=schema.names, dtype=object)
 
-    return downloads.select("protocol_id", "target", "status", "message", "target_error", "content").mapInPandas(call, schema)
+    replaced = F.col("replaced") if "replaced" in downloads.columns else F.lit(None).cast("string").alias("replaced")
+    return downloads.select("protocol_id", "target", "status", "message", "target_error", "content", replaced).mapInPandas(call, schema)
 
 
 def exit_code(statuses: DataFrame) -> int:
