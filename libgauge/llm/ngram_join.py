@@ -11,10 +11,11 @@ step, and no step drops a pair it can't exclude:
    sorted, one bucket at a time.  A set with more than |a| - T(a) shingles that nobody else has
    links with nothing and leaves.
 2. T-occurrence search.  What remains is dealt by its least hash; equal sets count once.  In each deal
-   an inverted index answers for each set which earlier ones reach T, by DivideSkip: short lists are
-   merged and counted, long lists are probed by binary search for those that may still reach T.
-3. The rest.  Sets that link but differ in their least hash share one of their |a| - T(a) + 1 least
-   hashes.  Those lists that hold more than one component so far are compared once more: the pairs
+   an inverted index of up to BLOCK sets and the last CARRIED roots of earlier blocks answers for each
+   set which earlier ones of these reach T, by DivideSkip: short lists are merged and counted, long
+   lists are probed by binary search for those that may still reach T.
+3. The rest.  Sets that link but were not searched together (another least hash, or an earlier block)
+   share one of their |a| - T(a) + 1 least hashes.  Those lists that hold more than one component so far are compared once more: the pairs
    that their sizes and the parity of their hashes (a lower bound of the symmetric difference) don't
    exclude are counted exactly; first a spanning forest of them, then all that still join different
    components.
