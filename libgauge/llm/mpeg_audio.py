@@ -7,8 +7,9 @@ the stream.  All frames but the last have 320 kbit/s, the last has the least rat
 rest, so the stream has a variable bitrate.
 
 Reading: tags are parsed and skipped, frame headers are found again after foreign bytes (a header
-counts when the next one follows it or the stream ends there), frame and music checksums are
-verified, and the exact duration (samples over rate) and a seek table come out.
+counts when the next one follows it or the stream ends there), the checksums of Layer III
+frames (not of Layers I and II) and of the music are verified, and the exact duration (samples over
+rate), the offset of every frame and the stream's own seek table (Xing, VBRI) come out.
 
 Defined results: a null or empty payload is stored as 64 zero bytes by the query; bytes without any
 frame give 0 frames, duration 0 and no seek points; a stream cut inside a frame ends before it;
@@ -43,7 +44,6 @@ HZ = {1: (44100, 48000, 32000), 2: (22050, 24000, 16000), 2.5: (11025, 12000, 80
 
 SIDE = 32
 OVERHEAD = 4 + 2 + SIDE
-SEEK_FRAMES = 64
 OWNER = b"payload-bytes\x00"
 
 
@@ -210,21 +210,22 @@ def probe(data: bytes) -> dict:
     size = int.from_bytes(private[len(OWNER) :], "big") if private.startswith(OWNER) else len(whole)
     return {
         "frames": len(starts), "samples": samples, "hz": hz, "kbps": sorted(rates), "crc_good": good, "crc_bad": bad, "resyncs": resyncs, "skipped": skipped,
-        "vbr": table, "duration_us": samples * 1_000_000 // hz if hz else 0, "seek_offsets": starts[::SEEK_FRAMES], "tags": sorted(tags), "payload": whole[:size],
+        "vbr": table, "duration_us": samples * 1_000_000 // hz if hz else 0, "seek_offsets": starts, "tags": sorted(tags), "payload": whole[:size],
     }
 
 
 def _vbr(tag: bytes) -> dict:
     """A Xing, Info or VBRI table."""
     if tag[:4] == b"VBRI" and len(tag) >= 26:
-        return {"kind": "VBRI", "bytes": int.from_bytes(tag[10:14], "big"), "frames": int.from_bytes(tag[14:18], "big")}
+        points, scale, n, each = (int.from_bytes(tag[k : k + 2], "big") for k in (18, 20, 22, 24))
+        toc = [scale * int.from_bytes(tag[k : k + n], "big") for k in range(26, 26 + n * points, n or 1) if k + n <= len(tag)]
+        return {"kind": "VBRI", "bytes": int.from_bytes(tag[10:14], "big"), "frames": int.from_bytes(tag[14:18], "big"), "toc": toc, "frames_a_point": each}
     out: dict = {"kind": tag[:4].decode("latin-1")}
     flags, at = int.from_bytes(tag[4:8], "big"), 8
     for bit, name, n in ((1, "frames", 4), (2, "bytes", 4), (4, "toc", 100), (8, "quality", 4)):
         if flags & bit and at + n <= len(tag):
-            out[name] = tag[at : at + n].hex() if name == "toc" else int.from_bytes(tag[at : at + n], "big")
+            out[name] = list(tag[at : at + n]) if name == "toc" else int.from_bytes(tag[at : at + n], "big")
             at += n
-    out.pop("toc", None)
     if at + 36 <= len(tag) and flags == 15 and tag[at : at + 9].strip(b"\0"):
         out |= {"encoder": tag[at : at + 9].decode("latin-1"), "music_crc": int.from_bytes(tag[at + 32 : at + 34], "big"), "tag_crc": int.from_bytes(tag[at + 34 : at + 36], "big")}
     return out
