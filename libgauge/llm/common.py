@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
@@ -23,23 +25,46 @@ def bounded_batches(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a folder of our own only where none is set."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints").rstrip("/")
+    """The folder that driver and executors share.  Where none is set, local mode uses one of its own; a
+    cluster is an error, as each executor would write to its own disk."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return (named or "file:///tmp/checkpoints").rstrip("/")
+
+
+def fresh(columns: Iterable[str], *names: str) -> list[str]:
+    """Column names like these that are not among ``columns`` (whatever the case of their letters)."""
+    taken = {c.lower() for c in columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
 
 
 class Workspace:
     """Tables written to the shared folder.  They cut lineage and survive the loss of executors.
 
     ``save`` writes a DataFrame once and gives it back as a scan; ``drop`` removes tables that
-    no later step reads.
+    no later step reads.  An operator's result reads its workspace, so that stays until ``close``, or until
+    ``close_all``, which a caller may call when its results are written and which runs when Python ends.
     """
 
     #: Workspaces of this process that still hold tables.
     live: list[Workspace] = []
 
+    @classmethod
+    def close_all(cls) -> None:
+        while cls.live:
+            cls.live[-1].close()
+
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
-        self.root = f"{shared_dir(spark)}/libgauge/{name}-{uuid.uuid4().hex}"
+        self.name = f"{name}-{uuid.uuid4().hex}"
+        self.root = f"{shared_dir(spark)}/libgauge/{self.name}"
         Workspace.live.append(self)
 
     def path(self, table: str) -> str:
@@ -61,8 +86,14 @@ class Workspace:
                 self._delete(status.getPath().toString())
 
     def close(self) -> None:
+        if self in Workspace.live:
+            Workspace.live.remove(self)
         self._delete(self.root)
 
+    def read_by(self, df: DataFrame) -> bool:
+        """Does a DataFrame still read tables of this workspace?"""
+        return any(f"/{self.name}/" in file for file in df.inputFiles())
+
     def _files(self, path):
         return path.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf())
 
@@ -71,6 +102,12 @@ class Workspace:
         self._files(path).delete(path, True)
 
 
+@atexit.register
+def _close_all() -> None:
+    with contextlib.suppress(Exception):  # the session may have ended before
+        Workspace.close_all()
+
+
 def texts(batch: pa.RecordBatch, column: str) -> list[bytes]:
     """A string column as UTF-8 bytes; null gives the empty text."""
     return [b"" if x is None else x for x in batch.column(column).cast(pa.binary()).to_pylist()]

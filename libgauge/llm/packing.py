@@ -2,9 +2,10 @@
 
 A document's ids and END_ID are one piece if they fit into a sequence; longer ones are cut from the
 end into pieces of full length, so that only the first piece may be shorter.  Pieces are dealt by a
-hash to tasks of about PACK_ROWS, and each task packs its own, the longest first: a piece goes to the
-open bin whose free space is the least that holds it, found in a bitset keyed by free space.  At most
-OPEN_BINS bins are open; when one more is needed, the fullest closes.
+hash to tasks of about PACK_ROWS.  A task takes them in the order of that hash, reads AHEAD at a time
+and places those the longest first: a piece goes to the open bin whose free space is the least that
+holds it, found in a bitset keyed by free space.  At most OPEN_BINS bins are open; when one more is
+needed, the fullest closes.
 
 Only ids' lengths and checksums are dealt out, never texts.  Packing is a function of the pieces, so
 a task that is run again gives the same sequences.
@@ -23,11 +24,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .common import Workspace, as_columns, bounded_batches, rows_out
-from .tokens import encoder, vocabulary_path
+from .tokens import encoder
 
 LENGTH = 1024
 END_ID = 2
-OPEN_BINS = 1 << 17
+#: Bins open at a time, and pieces read before the longest of them is placed.
+OPEN_BINS, AHEAD = 256, 512
 PACK_ROWS = 1 << 17
 
 
@@ -74,14 +76,13 @@ PIECES = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.
 PIECE_DDL = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
-def cut_documents(df: DataFrame, length: int = LENGTH, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text", ranks_path: str | None = None) -> DataFrame:
+def cut_documents(df: DataFrame, length: int = LENGTH, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text", ranks_path: str | None = None, json_path: str | None = None) -> DataFrame:
     """The pieces of every document."""
     bounded_batches(df.sparkSession)
-    path = ranks_path or vocabulary_path()
     end = end_id.to_bytes(4, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(path).whole
+        encode = encoder(ranks_path, json_path).ids
 
         def rows():
             for b in batches:
@@ -95,17 +96,23 @@ def cut_documents(df: DataFrame, length: int = LENGTH, end_id: int = END_ID, id_
     return df.select(*as_columns(id_col, text_col)).mapInArrow(run, PIECE_DDL)
 
 
-def pack_pieces(pieces: DataFrame, tasks: int, length: int = LENGTH, open_bins: int = OPEN_BINS) -> DataFrame:
+def pack_pieces(pieces: DataFrame, tasks: int, length: int = LENGTH, open_bins: int = OPEN_BINS, ahead: int = AHEAD) -> DataFrame:
     """Pieces with sequence_id and offset."""
     schema = pa.schema([*PIECES, ("sequence_id", pa.int64()), ("offset", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer, base = BestFit(length, open_bins), TaskContext.get().partitionId() << 40
-        for b in batches:
-            placed = [packer.place(n) for n in b.column("length").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([base + k for k, _ in placed], pa.int64()), pa.array([o for _, o in placed], pa.int64())], schema=schema)
-
-    dealt = pieces.repartition(tasks, F.xxhash64("doc_id", "piece", "ids_crc32")).sortWithinPartitions(F.desc("length"), "doc_id", "piece", "ids_crc32")
+        for batch in batches:
+            for at in range(0, batch.num_rows, ahead):
+                b = batch.slice(at, ahead)
+                sizes = b.column("length").to_pylist()
+                placed: list = [None] * len(sizes)
+                for k in sorted(range(len(sizes)), key=lambda k: -sizes[k]):  # noqa: B023
+                    placed[k] = packer.place(sizes[k])
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array([base + k for k, _ in placed], pa.int64()), pa.array([o for _, o in placed], pa.int64())], schema=schema)
+
+    order = F.xxhash64("doc_id", "piece", "ids_crc32")
+    dealt = pieces.repartition(tasks, order).sortWithinPartitions(order, "doc_id", "piece", "ids_crc32", "length")
     return dealt.mapInArrow(run, PIECE_DDL + ", sequence_id long, offset long")
 
 
