@@ -179,7 +179,8 @@ def fit_table(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_c
         schema = pa.schema([("doc_id", pa.int64()), ("label", pa.int32()), ("x", pa.list_(pa.float64()))])
         yield from rows_out(schema, ((i, y, list(statistics(t)[1])) for b in batches for i, y, t in zip(b.column("doc_id").to_pylist(), b.column("label").to_pylist(), texts(b, "text"))))
 
-    table = rows.mapInArrow(run, "doc_id long, label int, x array<double>").toArrow().sort_by([("doc_id", "ascending"), ("label", "ascending")])
+    found = rows.mapInArrow(run, "doc_id long, label int, x array<double>")
+    table = found.orderBy(F.xxhash64("doc_id"), "doc_id", "label", "x").limit(fit_rows).toArrow()  # ids may repeat in the documents
     x = np.array(table.column("x").to_pylist(), float).reshape(-1, len(FEATURES))
     return fit(x, np.array(table.column("label").to_pylist(), float))
 
