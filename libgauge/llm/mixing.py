@@ -11,7 +11,7 @@ BLOCK_ROWS by a hash, stand in an order of their own: blocks permuted, rows perm
 The last epoch ends where its tokens reach the budget.  Positions come from sums of blocks and sums
 inside a block, so no source is ever brought to one task, however large.
 
-Tokens are words: runs of characters other than ASCII white space.
+Tokens are ids of the public vocabulary (``tokens.py``).
 
 Defined results: a null source is a source of its own (named by null); null and empty texts have 0
 tokens and are read in every full epoch and in the last one if they come before its end; sources
@@ -25,14 +25,14 @@ from __future__ import annotations
 import math
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from .common import Workspace
+from .common import Workspace, fresh
+from .tokens import count_tokens
 
 BLOCK_ROWS = 4096
 MAX_SOURCES = 100_000
 REPETITION_LIMIT = 1.5
-WORD = r"[^\x20\x09-\x0D]+"
 
 
 def temperature_weights(tokens: np.ndarray, exponent: float) -> np.ndarray:
@@ -107,24 +107,20 @@ def draw(rows: DataFrame, seed: int = 17, **target) -> DataFrame:
     return drawn.select("rid", "source", "tokens", F.col("epoch").cast("int").alias("epoch"), "block", position.alias("position"))
 
 
-def words(text: Column) -> Column:
-    return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(WORD)).cast("long")
-
-
 def mix(df: DataFrame, source_col: str = "source", text_col: str = "text", **target) -> DataFrame:
     """The rows of ``df`` as often as drawn, all columns kept, in no particular order."""
-    spark, work = df.sparkSession, Workspace(df.sparkSession, "mixing")
-    kept = df.columns
-    numbered = work.save(df.withColumn("__rid", F.monotonically_increasing_id()).withColumn("__tokens", words(F.col(f"`{text_col}`"))), "rows")
-    slim = numbered.select(F.col("__rid").alias("rid"), F.col(f"`{source_col}`").cast("string").alias("source"), F.col("__tokens").alias("tokens"))
-    times = draw(slim, **target).groupBy("rid").agg(F.count(F.lit(1)).cast("int").alias("__times"))
-    again = numbered.join(times, numbered["__rid"] == times["rid"]).withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times"))))
-    return again.select(*(F.col(f"`{c}`") for c in kept))
+    work = Workspace(df.sparkSession, "mixing")
+    rid, tokens, drawn, times, copy = fresh(df.columns, "rid", "tokens", "drawn", "times", "copy")
+    numbered = work.save(count_tokens(df.withColumn(rid, F.monotonically_increasing_id()), [*df.columns, rid], text_col, tokens), "rows")
+    slim = numbered.select(F.col(rid).alias("rid"), F.col(f"`{source_col}`").cast("string").alias("source"), F.col(tokens).alias("tokens"))
+    often = draw(slim, **target).groupBy(F.col("rid").alias(drawn)).agg(F.count(F.lit(1)).cast("int").alias(times))
+    again = numbered.join(often, F.col(rid) == F.col(drawn)).withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(times))))
+    return again.select(*(F.col(f"`{c}`") for c in df.columns))
 
 
 def op9_temperature_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     work = Workspace(spark, "mixing")
-    rows = work.save(docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", "source", words(F.col("text")).alias("tokens")), "rows")
+    rows = work.save(count_tokens(docs.withColumn("rid", F.monotonically_increasing_id()), ["rid", "doc_id", "source"], "text", "tokens"), "rows")
     drawn = draw(rows.select("rid", "source", "tokens"))
     return drawn.join(rows.select("rid", "doc_id"), "rid").select("doc_id", "source", "tokens", "epoch", "block", "position")

@@ -38,7 +38,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import Workspace, bounded_batches, rows_out
+from .common import Workspace, bounded_batches, fresh, rows_out
 from .suffix_dedup import DEALT, DEALT_DDL, SAMPLE_BITS, Rolling, deal, pack_sorted, tied, to_chunks, unpack_sorted, untangle
 
 WORDS, PERCENT = 3, 90
@@ -438,10 +438,11 @@ def join(df: DataFrame, words: int = WORDS, percent: int = PERCENT, id_col: str
 def keep_one(df: DataFrame, words: int = 5, percent: int = 80, text_col: str = "text") -> DataFrame:
     """The rows of ``df``, one of each component; all columns stay.  Rows with empty sets all stay."""
     work = Workspace(df.sparkSession, "ngrams")
-    numbered = work.save(df.withColumn("__row", F.monotonically_increasing_id()), "rows")
-    joined = join(numbered.select("__row", F.col(f"`{text_col}`").alias("__text")), words, percent, "__row", "__text")
-    gone = joined.filter("doc_id != component_id").select(F.col("doc_id").alias("__row"))  # fewer than what stays
-    return numbered.join(checked(gone, gone.count()), "__row", "left_anti").select(*(F.col(f"`{c}`") for c in df.columns))
+    (row,) = fresh(df.columns, "row")
+    numbered = work.save(df.withColumn(row, F.monotonically_increasing_id()), "rows")
+    joined = join(numbered.select(F.col(row).alias("doc_id"), F.col(f"`{text_col}`").alias("text")), words, percent)
+    gone = joined.filter("doc_id != component_id").select(F.col("doc_id").alias(row))  # fewer than what stays
+    return numbered.join(checked(gone, gone.count()), row, "left_anti").select(*(F.col(f"`{c}`") for c in df.columns))
 
 
 def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

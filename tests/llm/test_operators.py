@@ -14,10 +14,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from libgauge.llm import chat, licenses, mixing, mpeg_audio, ngram_join, packing, quality_classifier, quality_rules, sharding, suffix_dedup
-from libgauge.llm.tokens import encoder, vocabulary_path
+from libgauge.llm.tokens import count_tokens, encoder
 
 #: Names that operators use inside.
-CLASHES = ("shard", "chunk", "node", "root", "tokens", "kept", "carried", "score", "quality_score", "slot", "__row", "__rid")
+CLASHES = ("shard", "chunk", "node", "root", "tokens", "kept", "carried", "score", "quality_score", "slot", "row", "rid", "times", "copy", "drawn", "__row", "__rid", "__times", "__tokens", "__copy")
 
 
 def words_of(rng, n, vocabulary=400):
@@ -152,7 +152,7 @@ def test_difference_cover():
 
 def test_packing(docs, nothing):
     rows = packing.pack(docs, length=64).collect()
-    text, encode = dict(corpus()), encoder(vocabulary_path()).ids
+    text, encode = dict(corpus()), encoder().ids
     sequences, pieces = defaultdict(list), defaultdict(list)
     for r in rows:
         sequences[r.sequence_id].append((r.offset, r.length))
@@ -186,10 +186,9 @@ def test_tokens():
     from tokenizers import Tokenizer
 
     whole = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    whole.encode_special_tokens = True
     odd = ["a  b", "a   b", " a", "a ", "\n a", "a \n b", "a\n\nb", "it's I'LL 'd", "x\x1c y", "a  b", "<|endoftext|> x", "", "日本語 12½", "a\tb", "a\x85b", "　x"]
     for t in [t or "" for _, t in corpus()] + odd:
-        ids = encoder(vocabulary_path()).ids(t)
+        ids = encoder().ids(t)
         assert list(struct.unpack(f"<{len(ids) // 4}I", ids)) == whole.encode(t, add_special_tokens=False).ids
 
 
@@ -298,7 +297,7 @@ def test_compression_classifier(spark, docs, nothing):
     scores = {r.doc_id: r.quality_score for r in quality_classifier.score_table(docs, model).collect()}
     assert all(0 <= s <= 1 for s in scores.values()) and scores[0] == scores[40] == scores[41] and len(scores) == len(corpus())
     kept = quality_classifier.keep_good(docs, model)
-    assert kept.columns == [c for c in docs.columns if c != "quality_score"] and kept.count() == sum(s >= 0.3 for s in scores.values())
+    assert kept.columns == docs.columns and {r.quality_score for r in kept.collect()} == {"clash"} and kept.count() == sum(s >= 0.3 for s in scores.values())
     assert quality_classifier.score_table(nothing, model).count() == 0
     plain = quality_classifier.fit_table(df, labels.limit(0))
     assert {r.quality_score for r in quality_classifier.score_table(docs, plain).collect()} == {0.5}
@@ -316,12 +315,13 @@ def test_exponent():
 
 
 def test_mixing(spark, docs, nothing):
-    rows = docs.select(F.col("doc_id").alias("rid"), "source", mixing.words(F.col("text")).alias("tokens")).collect()
+    encode = encoder().ids
+    rows = count_tokens(docs.drop("rid").withColumnRenamed("doc_id", "rid"), ["rid", "source"], "text", "tokens").collect()
     df = spark.createDataFrame(rows, "rid long, source string, tokens long")
     got = mixing.draw(df).collect()
     tokens, size = Counter(), {r.rid: r.tokens for r in rows}
     for r in rows:
-        assert r.tokens == len(utf8(dict(corpus())[r.rid]).split())
+        assert r.tokens == len(encode(dict(corpus())[r.rid] or "")) // 4
         tokens[r.source] += r.tokens
     names = sorted(tokens, key=lambda s: (s is not None, s or ""))
     plan = {b[0]: b for b in mixing.budgets(names, [tokens[s] for s in names])}
@@ -338,8 +338,8 @@ def test_mixing(spark, docs, nothing):
         cut = sum(size[i] for _, i in taken[s, full])
         assert cut <= rest
     assert max(b[3] / b[1] for b in plan.values() if b[1]) <= 1.51 and sorted(map(tuple, mixing.draw(df).collect())) == sorted(map(tuple, got))
-    again = mixing.mix(docs.drop("__rid"))
-    assert again.columns == docs.drop("__rid").columns and {r.doc_id for r in again.collect()} == {i for i, _ in corpus()}
+    again = mixing.mix(docs)
+    assert again.columns == docs.columns and again.filter("__rid = 'clash' AND tokens = 'clash'").count() == again.count() and {r.doc_id for r in again.collect()} == {i for i, _ in corpus()}
     assert mixing.draw(df.limit(0)).count() == 0
 
 
@@ -380,8 +380,8 @@ def test_ngram_join(spark, docs, nothing, words, percent):
 
 
 def test_ngram_rows(docs, nothing):
-    one = ngram_join.keep_one(docs.drop("__row"))
-    assert one.columns == docs.drop("__row").columns
+    one = ngram_join.keep_one(docs)
+    assert one.columns == docs.columns and {(r["row"], r["__row"]) for r in one.collect()} == {("clash", "clash")}
     expected = slow_components(corpus(), 5, 80)
     assert one.count() == len({c for _, c in expected.values()}) and len({expected[r.doc_id][1] for r in one.collect()}) == one.count()
     assert ngram_join.join(nothing).count() == 0
