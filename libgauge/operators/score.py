@@ -9,9 +9,9 @@ from ..functions.text import similarity
 
 
 def pair(models: DataFrame, protocols: DataFrame) -> DataFrame:
-    """Every model with every protocol.  Models are a small configuration table: it is broadcast, so the
-    protocols keep their partitions."""
-    return protocols.crossJoin(F.broadcast(models))
+    """Every model with every protocol.  Models are a small configuration table; Spark broadcasts it if its
+    size is known to be under the session's threshold, so that the protocols keep their partitions."""
+    return protocols.crossJoin(models)
 
 
 def spread(runs: DataFrame, tasks: int | None = None) -> DataFrame:

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.text import filled, strip
+from .number import number_rows
 
 
 def wanted_ids(ids: DataFrame, column: str) -> DataFrame:
@@ -35,28 +36,45 @@ def first_rows(rows: DataFrame, n: int | None, *order: Column | str) -> DataFram
         return rows
     if n >= 0:
         return rows.orderBy(*order).limit(n)
-    place, total = F.row_number().over(Window.orderBy(*order)), F.count(F.lit(1)).over(Window.partitionBy())
-    return rows.withColumn("__place", place).withColumn("__total", total).filter(F.col("__place") <= F.col("__total") + n).drop("__place", "__total")
+    last = rows.count() + n
+    return number_rows(rows, "__place", *order).filter(F.col("__place") <= last).drop("__place")
 
 
 def run_numbers(runs: DataFrame, *order: Column | str) -> DataFrame:
     """run_number from 1 in the given order."""
-    return runs.withColumn("run_number", F.row_number().over(Window.orderBy(*order)).cast("long"))
+    return number_rows(runs, "run_number", *order)
+
+
+def choose(protocols: DataFrame, ids: list[str] | None = None, limit: int | None = None) -> DataFrame:
+    """Descriptions with the wanted ids (all if none is left after blanks are dropped), the first ``limit``
+    of them in path order.  Unknown ids and an empty choice stop the run."""
+    wanted = sorted({i.strip() for i in ids or () if i.strip()})
+    if wanted:
+        asked = protocols.sparkSession.createDataFrame([(i,) for i in wanted], "protocol_id string")
+        refuse_unknown(protocols, asked, "protocol_id")
+        protocols = keep_wanted(protocols, asked, "protocol_id")
+    chosen = first_rows(protocols, limit, "file_name")
+    if chosen.isEmpty():
+        raise ValueError("No protocols selected for benchmarking")
+    return chosen
 
 
 MESSAGES = {"pdf": "missing protocol PDF", "text": "missing protocol text", "url": "missing protocol URL"}
 
 
-def route_input(rows: DataFrame, mode: str, pdf: str = "pdf_path", text: str = "text_path", url: str = "protocol_url") -> DataFrame:
-    """source_used and error by input mode; ``auto`` takes the first of PDF, text and URL."""
-    columns = {"pdf": F.col(pdf), "text": F.col(text), "url": filled(F.col(url))}
+def route_input(rows: DataFrame, mode: str, pdf: str = "pdf_path", text: str = "text_path", url: str = "protocol_url", pdf_there: str | None = None, text_there: str | None = None) -> DataFrame:
+    """source_used, source_kind and error by input mode; ``auto`` takes the first of PDF, text and URL.  A path
+    counts if it isn't null and, where a column tells whether the file is there, that is true."""
+    known = lambda path, there: F.col(path) if there is None else F.when(F.col(there), F.col(path))
+    columns = {"pdf": known(pdf, pdf_there), "text": known(text, text_there), "url": filled(F.col(url))}
     if mode == "auto":
-        used, message = F.coalesce(*columns.values()), "no usable input source found"
+        message = "no usable input source found"
     elif mode in columns:
-        used, message = columns[mode], MESSAGES[mode]
+        columns, message = {mode: columns[mode]}, MESSAGES[mode]
     else:
         raise ValueError(f"Unsupported input mode: {mode}")
-    return rows.withColumn("source_used", F.coalesce(used, F.lit(""))).withColumn("error", F.when(used.isNull(), F.lit(message)))
+    used, kind = F.coalesce(*columns.values()), F.coalesce(*(F.when(c.isNotNull(), F.lit(k)) for k, c in columns.items()))
+    return rows.withColumns({"source_used": F.coalesce(used, F.lit("")), "source_kind": kind, "error": F.when(used.isNull(), F.lit(message))})
 
 
 def skip_existing(rows: DataFrame, existing: DataFrame, column: str) -> DataFrame:

@@ -1,13 +1,15 @@
-"""A benchmark run, from descriptions to summaries, as one lazy plan."""
+"""A benchmark run, from descriptions to summaries."""
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
+from datetime import UTC, datetime
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators import aggregate, score, select
-from ..sources import readers, seams
+from ..operators.number import checkpointed
+from ..sources import readers, seams, sinks
 
 
 @dataclass
@@ -16,23 +18,66 @@ class Benchmark:
     regions: DataFrame
     by_model: DataFrame
     by_model_and_region: DataFrame
+    #: Descriptions and models that took part.
+    counts: tuple[int, int] = (0, 0)
+    files: dict[str, str] = field(default_factory=dict)
 
 
-def plan_runs(models: DataFrame, protocols: DataFrame, mode: str = "pdf", limit: int | None = None) -> DataFrame:
-    """Model by protocol in configuration and path order, with the input that each run uses."""
-    chosen = select.first_rows(protocols, limit, "file_name")
+def plan_runs(models: DataFrame, chosen: DataFrame, mode: str = "pdf") -> DataFrame:
+    """Model by description, with the input that each run uses.  Whether a file is there is known if
+    ``readers.with_contents`` has added the contents."""
     paired = score.pair(models.withColumnsRenamed({"name": "model_name"}), chosen)
-    return select.route_input(paired, mode).withColumn("input_mode", F.lit(mode)).withColumn("model_id", F.col("model"))
+    there = {f"{k}_there": f"{k}_there" for k in ("pdf", "text") if f"{k}_there" in chosen.columns}
+    routed = select.route_input(paired, mode, **there).drop("pdf_there", "text_there")
+    return routed.withColumn("input_mode", F.lit(mode)).withColumn("model_id", F.col("model"))
 
 
-def evaluate(runs: DataFrame) -> Benchmark:
+def evaluate(runs: DataFrame, include_raw: bool = False) -> Benchmark:
     """Score runs that have a response or an error."""
     typed = readers.predictions(runs)
     truth = typed.withColumnsRenamed({"library_sequence": "gt_library", "segments": "gt_segments", "placeholders": "gt_placeholders"})
     scored = score.score_runs(score.spread(truth))
-    regions = score.region_rows(scored, "protocol_id", "model_name")
-    return Benchmark(scored, regions, aggregate.by_model(scored), aggregate.by_model_and_region(regions))
+    scored = scored.withColumn("source_used", F.when(~score.failed(), F.col("source_used")).otherwise("")) if "source_used" in scored.columns else scored
+    scored = scored.withColumn("prediction", F.when(~score.failed(), F.col("prediction")))
+    scored = scored if include_raw else scored.drop("raw_output")
+    keys = [c for c in ("model_pos", "file_name") if c in scored.columns]
+    regions = score.region_rows(scored, *keys, "protocol_id", "model_name")
+    return Benchmark(scored, regions, aggregate.by_model(scored), aggregate.by_model_and_region(regions.drop(*keys)))
 
 
-def run(models: DataFrame, protocols: DataFrame, transport: seams.Transport, mode: str = "pdf", limit: int | None = None, delay: float = 0.0) -> Benchmark:
-    return evaluate(seams.infer(plan_runs(models, protocols, mode, limit), transport, delay))
+def run(
+    models: DataFrame, protocols: DataFrame, transport: seams.Transport, mode: str = "pdf", limit: int | None = None, delay: float = 0.0, ids: list[str] | None = None,
+    include_raw: bool = False, contents: tuple[DataFrame, DataFrame] | None = None, requests_at_once: int | None = None,
+) -> Benchmark:
+    """Ask every model about every chosen description.  ``contents`` are the PDFs (path, content) and texts
+    (path, value) that are there; without them paths are taken as they stand.  Replies are kept in the shared
+    folder, so that no request goes out twice."""
+    chosen = select.choose(protocols, ids, limit)
+    counts = (chosen.count(), models.count())
+    if contents is not None:
+        chosen = readers.with_contents(chosen, *contents)
+    replies = checkpointed(seams.infer(plan_runs(models, chosen, mode), transport, delay, requests_at_once))
+    result = evaluate(replies, include_raw)
+    result.counts = counts
+    return result
+
+
+def run_folder(
+    spark: SparkSession, models_file: str, root: str, output_dir: str, protocol_dir: str = "protocols", text_dir: str = "protocol_texts", mode: str = "pdf", ids: list[str] | None = None, limit: int | None = None,
+    delay: float = 0.0, timeout: float = 360.0, include_raw: bool = False, transport: seams.Transport | None = None,
+) -> Benchmark:
+    """The whole program: read a folder of descriptions, ask, score, and write the envelope (JSON lines of one
+    document) and the two CSV files under names with the time of the start."""
+    started = datetime.now(UTC)
+    protocols = readers.load_protocols(spark, root, protocol_dir, text_dir)
+    pdfs = readers.read_binaries(spark, root, recursive=True)
+    texts = readers.read_texts(spark, f"{root.rstrip('/')}/{text_dir}") if not readers.listing(spark, f"{root.rstrip('/')}/{text_dir}").isEmpty() else spark.createDataFrame([], "file_name string, path string, value string")
+    models = readers.models(spark, models_file)
+    result = run(models, protocols, transport or seams.http_transport(timeout), mode, limit, delay, ids, include_raw, (pdfs, texts))
+    mark = spark.range(1).select(sinks.stamp(F.lit(started))).first()[0]
+    names = {"json": f"benchmark-{mark}.json", "runs": f"benchmark-runs-{mark}.csv", "regions": f"benchmark-regions-{mark}.csv"}
+    result.files = {k: f"{output_dir.rstrip('/')}/{n}" for k, n in names.items()}
+    sinks.envelope(result.runs, result.regions, result.by_model, result.by_model_and_region, result.counts, started.isoformat(), datetime.now(UTC).isoformat(), mode, models_file).write.text(result.files["json"])
+    sinks.write_csv(result.runs, sinks.RUN_COLUMNS, result.files["runs"], ("model_pos", "file_name"))
+    sinks.write_csv(result.regions, sinks.REGION_COLUMNS, result.files["regions"], ("model_pos", "file_name", "segment_index"))
+    return result

@@ -1,10 +1,13 @@
 """The registered queries over the driver's tables, each with its SQL where SQL can say it.
 
 The tables hold no library structures, so conversations stand in for them: a conversation is a
-library, a row a segment at its turn's place.  The text without characters outside printable ASCII is
-the sequence; user rows are known segments, assistant rows barcodes (letter B) or, at every fourth
+library, a row a segment at its turn's place.  The whole text is the sequence; user rows are known segments, assistant rows barcodes (letter B) or, at every fourth
 place, ligation sites (letter L), system rows UMIs (letter U).  Model k of three "predicts" the
 library k places further on, in a circle; a run fails if its library opens with a system row.
+
+DuckDB's edit distance counts bytes.  The SQL therefore first puts a control character, which the texts don't
+hold, in the place of each of their accented letters: one byte for one character, and so the distance of
+whole texts in characters.
 """
 
 from __future__ import annotations
@@ -13,11 +16,12 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from ..functions.segments import integer_at, object_at, string_at
+from ..functions.segments import SEGMENT, integer_at, object_at, string_at
 from ..functions.text import newline_count, safe_filename, similarity, strip
-from ..functions.urls import guess_extension
+from ..functions.urls import EXTENSIONS, guess_extension
 from ..operators import aggregate, score, select
-from ..sources import seams, sinks
+from ..operators.number import number_rows
+from ..sources import readers, seams, sinks
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -37,7 +41,7 @@ def six(x: Column | str, name: str | None = None) -> Column:
 def libraries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """protocol_id, library, segments, n_roles, place (1..n), n."""
     c = table(spark, sf_dir, "conversations")
-    sequence = F.regexp_replace(F.coalesce("text", F.lit("")), "[^ -~]", "")
+    sequence = F.coalesce("text", F.lit(""))
     kind = F.when(F.col("role") == "user", "known").when(F.col("role") == "assistant", "barcode").otherwise("umi")
     char = F.when(F.col("role") == "user", "").when(F.col("role") == "system", "U").when(F.col("turn").bitwiseAND(F.lit(3).cast("long")) == 1, "B").otherwise("L")
     segment = F.struct("turn", F.struct(F.concat("role", F.col("turn").cast("string")).alias("name"), kind.alias("type"), char.alias("char"), sequence.alias("sequence"), F.lit(None).cast("long").alias("length"), F.lit(False).alias("empty")).alias("s"))
@@ -45,15 +49,12 @@ def libraries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whole.select("protocol_id", F.array_join(F.transform("segments", lambda s: s["sequence"]), "").alias("library"), "segments")
 
 
-def numbered(libs: DataFrame) -> DataFrame:
-    return libs.select("protocol_id", F.row_number().over(Window.orderBy("protocol_id")).alias("place"), F.count(F.lit(1)).over(Window.partitionBy()).alias("n"))
-
-
 def stand_in(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The scored runs of three models over all libraries."""
     libs = libraries(spark, sf_dir)
     models = spark.createDataFrame([("m-near", 1), ("m-mid", 2), ("m-far", 3)], "model_name string, k int")
-    places = numbered(table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("protocol_id")).distinct())
+    places = number_rows(table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("protocol_id")).distinct(), "place", "protocol_id")
+    places = places.crossJoin(places.agg(F.count(F.lit(1)).alias("n")))
     wanted = score.pair(models, places).withColumn("to", F.when(F.col("place") + F.col("k") > F.col("n"), F.col("place") + F.col("k") - F.col("n")).otherwise(F.col("place") + F.col("k")))
     other = places.select(F.col("protocol_id").alias("other_id"), F.col("place").alias("to"))
     pairs = wanted.join(other, "to").select("model_name", "k", "protocol_id", "other_id")
@@ -64,11 +65,20 @@ def stand_in(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score.score_runs(score.spread(runs).withColumn("error", F.when(F.col("gt_segments")[0]["type"] == "umi", "no answer")).withColumn("duration_seconds", (F.col("k") + F.size("gt_segments")).cast("double")))
 
 
+#: One byte for each character: the accented letters of the test texts become control characters.
+ACCENTS = "ÉÈÊÇÄÖÜÑÓÍéèêçäöüñóíß"
+BYTES = " || ".join(f"chr({k})" for k in [*range(1, 9), *range(14, 27)])
+
+
+def one_byte(x: str) -> str:
+    return f"translate({x}, '{ACCENTS}', {BYTES})"
+
+
 #: The same in DuckDB: runs with their scores, aligned with their region rows.
 STAND_IN = """
 WITH seg AS (
   SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS idx, role || turn AS name,
-    regexp_replace(coalesce(text, ''), '[^ -~]', '', 'g') AS seq,
+    ONE_BYTE AS seq,
     CASE role WHEN 'user' THEN 'known' WHEN 'assistant' THEN 'barcode' ELSE 'umi' END AS type,
     CASE WHEN role = 'user' THEN '' WHEN role = 'system' THEN 'U' WHEN (turn & 3) = 1 THEN 'B' ELSE 'L' END AS chr,
     CASE WHEN role = 'user' THEN 'known' WHEN role = 'system' THEN 'umi' WHEN (turn & 3) = 1 THEN 'barcode' ELSE 'ligation' END AS region
@@ -99,7 +109,7 @@ scored AS (
     CASE WHEN error IS NULL THEN region_hits::DOUBLE / acc.n ELSE 0.0::DOUBLE END AS ra, CASE WHEN error IS NULL THEN sequence_hits::DOUBLE / acc.n ELSE 0.0::DOUBLE END AS sa,
     CASE WHEN error IS NULL THEN length_hits::DOUBLE / acc.n ELSE 0.0::DOUBLE END AS la
   FROM run LEFT JOIN acc USING (model_name, protocol_id))
-"""
+""".replace("ONE_BYTE", one_byte("coalesce(text, '')"))
 
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
@@ -127,25 +137,26 @@ def q01_pair_similarity(spark, d):
     return pairs.select("n_name", "r_name", F.levenshtein("n_name", "r_name").cast("long").alias("distance"), six(similarity(F.col("n_name"), F.col("r_name")), "similarity"))
 
 
-def _ends(spark, d):
-    """First and last line of each document, without characters outside printable ASCII."""
-    lines = table(spark, d, "documents").select("source", F.split(F.coalesce("text", F.lit("")), "\n").alias("l"))
-    clean = lambda x: F.regexp_replace(x, "[^ -~]", "")
-    return lines.select("source", clean(F.col("l")[0]).alias("first"), clean(F.element_at("l", -1)).alias("last"))
-
-
-ENDS = "WITH e AS (SELECT source, regexp_replace(l[1], '[^ -~]', '', 'g') AS first, regexp_replace(l[-1], '[^ -~]', '', 'g') AS last FROM (SELECT source, string_split(coalesce(text, ''), chr(10)) AS l FROM documents))"
-
-
-@query(ENDS + """
-SELECT source, count(*)::BIGINT AS n, round(avg(CASE WHEN first = last THEN 1.0::DOUBLE ELSE 1.0::DOUBLE - levenshtein(first, last)::DOUBLE / greatest(length(first), length(last))::DOUBLE END), 6) AS avg_similarity FROM e GROUP BY source""")
+@query(f"""
+WITH e AS (SELECT role, {one_byte("coalesce(text, '')")} AS one, {one_byte("coalesce(lead(text) OVER (PARTITION BY conv_id ORDER BY turn), '')")} AS next FROM conversations)
+SELECT role, count(*)::BIGINT AS n, round(avg(CASE WHEN one = next THEN 1.0::DOUBLE ELSE 1.0::DOUBLE - levenshtein(one, next)::DOUBLE / greatest(length(one), length(next))::DOUBLE END), 6) AS avg_similarity FROM e GROUP BY role""")
 def q02_similarity_by_source(spark, d):
-    return _ends(spark, d).groupBy("source").agg(F.count(F.lit(1)).alias("n"), six(aggregate.mean(similarity(F.col("first"), F.col("last"))), "avg_similarity"))
+    """The whole text of each turn against the next one's, by who speaks."""
+    after = F.lead("text").over(Window.partitionBy("conv_id").orderBy("turn"))
+    pairs = table(spark, d, "conversations").select("role", F.coalesce("text", F.lit("")).alias("one"), F.coalesce(after, F.lit("")).alias("next"))
+    return pairs.groupBy("role").agg(F.count(F.lit(1)).alias("n"), six(aggregate.mean(similarity(F.col("one"), F.col("next"))), "avg_similarity"))
 
 
-@query(ENDS + "SELECT source, round(avg(CASE WHEN first = last THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), 6) AS exact_rate FROM e GROUP BY source")
+@query("""
+WITH f AS (SELECT source, length(coalesce(text, '')) AS chars, arg_min(coalesce(text, ''), doc_id) AS first FROM documents GROUP BY ALL)
+SELECT d.source, count(*)::BIGINT AS n, round(avg(CASE WHEN coalesce(text, '') = first THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), 6) AS exact_rate
+FROM documents d JOIN f ON f.source IS NOT DISTINCT FROM d.source AND f.chars = length(coalesce(text, '')) GROUP BY d.source""")
 def q03_exact_rate(spark, d):
-    return _ends(spark, d).groupBy("source").agg(six(aggregate.rate(F.col("first") == F.col("last")), "exact_rate"))
+    """Whole documents against the first one of their source and length."""
+    docs = table(spark, d, "documents").select("doc_id", "source", F.coalesce("text", F.lit("")).alias("text"))
+    first = docs.groupBy(F.col("source").alias("of"), F.length("text").alias("chars")).agg(F.min_by("text", "doc_id").alias("first"))
+    pairs = docs.join(first, docs["source"].eqNullSafe(F.col("of")) & (F.length("text") == F.col("chars")))
+    return pairs.groupBy("source").agg(F.count(F.lit(1)).alias("n"), six(aggregate.rate(F.col("text") == F.col("first")), "exact_rate"))
 
 
 # ---- runs, alignment and summaries
@@ -190,9 +201,16 @@ def q10_char_exact_tristate(spark, d):
     return score.region_rows(stand_in(spark, d), "model_name").groupBy("model_name", "gt_region", "char_exact").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(STAND_IN + "SELECT model_name, protocol_id, placeholder_key_exact FROM scored")
+@query("""SELECT event_id, event_type = 'view' OR user_id % 3 = 0 AS placeholder_key_exact FROM events""")
 def q11_map_equality(spark, d):
-    return stand_in(spark, d).select("model_name", "protocol_id", "placeholder_key_exact")
+    """Placeholder maps of a description and a reply, whose keys come in another order."""
+    user = F.col("user_id").cast("string")
+    other = F.when(F.col("user_id") % 3 == 0, user).otherwise(F.concat(F.lit("not "), user))
+    truth = F.concat(F.lit('{"B": {"kind": "'), "event_type", F.lit('", "user": "'), user, F.lit('"}, "U": ["umi"]}'))
+    reply = F.concat(F.lit('{"result": {"placeholder_key": {"U": ["umi"], "B": {"user": "'), F.when(F.col("event_type") == "view", user).otherwise(other), F.lit('", "kind": "'), "event_type", F.lit('"}}}}'))
+    none = F.array().cast(f"array<{SEGMENT}>")
+    runs = table(spark, d, "events").select("event_id", F.to_json(F.parse_json(truth)).alias("gt_placeholders"), reply.alias("response"), F.lit("").alias("gt_library"), none.alias("gt_segments"))
+    return score.score_runs(readers.predictions(runs)).select("event_id", "placeholder_key_exact")
 
 
 @query(STAND_IN + "SELECT model_name, count(*)::BIGINT AS runs, count(*) FILTER (WHERE ok)::BIGINT AS successes, count(*) FILTER (WHERE NOT ok)::BIGINT AS failures FROM scored GROUP BY model_name")
@@ -228,9 +246,10 @@ def q16_char_rate_zero_default(spark, d):
     return rows.groupBy("region").agg(six(aggregate.rate(F.col("char_exact"), F.col("char_exact").isNotNull()), "char_exact_rate"))
 
 
-@query("SELECT event_type, round(coalesce(avg(value) FILTER (WHERE value < 0), 0.0::DOUBLE), 6) AS mean_of_none FROM events GROUP BY event_type")
+@query("SELECT user_id, round(coalesce(avg(value) FILTER (WHERE event_type = 'purchase'), 0.0::DOUBLE), 6) AS mean_of_some FROM events GROUP BY user_id")
 def q17_empty_group_mean(spark, d):
-    return table(spark, d, "events").groupBy("event_type").agg(six(aggregate.mean(F.col("value"), F.col("value") < 0), "mean_of_none"))
+    """Many users have no purchase: their mean is 0."""
+    return table(spark, d, "events").groupBy("user_id").agg(six(aggregate.mean(F.col("value"), F.col("event_type") == "purchase"), "mean_of_some"))
 
 
 @query(STAND_IN + """SELECT model_name, protocol_id, error, length(gl)::BIGINT AS gt_library_length, pred_library_length::BIGINT AS pred_library_length, gn::BIGINT AS gt_segment_count, pn::BIGINT AS pred_segment_count,
@@ -281,18 +300,31 @@ def q24_safe_filename(spark, d):
     return table(spark, d, "pages").select("page_id", safe_filename(F.col("url")).alias("file_name"))
 
 
-@query(r"""SELECT page_id, coalesce(nullif(lower(regexp_extract(regexp_extract(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1), '([^/]*)/*$', 1), '[^.].*?(\.[^.]+)$', 1)), ''), '.bin') AS extension FROM pages""")
+#: By the page's number: one of the known content types, an unknown one, or none.
+TYPES = [*EXTENSIONS, "application/x-unknown", None]
+
+
+@query(f"""WITH t AS (SELECT *, list_extract({[x or "" for x in TYPES]}, (page_id % {len(TYPES)} + 1)::BIGINT) AS content_type FROM pages)
+SELECT page_id, coalesce(map_extract(map({list(EXTENSIONS)}, {list(EXTENSIONS.values())}), content_type)[1],
+  nullif(lower(regexp_extract(regexp_extract(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1), '([^/]*)/*$', 1), '[^.].*?(\\.[^.]+)$', 1)), ''), '.bin') AS extension FROM t""")
 def q25_guess_extension(spark, d):
-    return table(spark, d, "pages").select("page_id", guess_extension(F.lit(None).cast("string"), F.col("url")).alias("extension"))
+    kind = F.get(F.array(*map(F.lit, TYPES)), F.pmod("page_id", F.lit(len(TYPES))).cast("int"))
+    return table(spark, d, "pages").select("page_id", guess_extension(kind, F.col("url")).alias("extension"))
 
 
-@query("""SELECT d.doc_id, coalesce(CASE WHEN quality = 1 THEN 'pdf/' || d.doc_id END, CASE WHEN toxic = 0 THEN 'text/' || d.doc_id END, CASE WHEN lang <> 'en' THEN source END, '') AS source_used,
-  CASE WHEN quality = 1 OR toxic = 0 OR lang <> 'en' THEN NULL ELSE 'no usable input source found' END AS error FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id""")
+@query("""WITH r AS (SELECT d.doc_id, CASE WHEN quality = 1 AND d.doc_id % 3 <> 0 THEN 'pdf/' || d.doc_id END AS pdf, CASE WHEN toxic = 0 AND d.doc_id % 5 <> 0 THEN 'text/' || d.doc_id END AS txt, CASE WHEN lang <> 'en' THEN source END AS url
+  FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id)
+SELECT doc_id, coalesce(pdf, txt, url, '') AS source_used, CASE WHEN pdf IS NOT NULL THEN 'pdf' WHEN txt IS NOT NULL THEN 'text' WHEN url IS NOT NULL THEN 'url' END AS source_kind,
+  CASE WHEN coalesce(pdf, txt, url) IS NULL THEN 'no usable input source found' END AS error FROM r""")
 def q26_input_routing(spark, d):
+    """Described PDFs and texts of which some aren't there: the next source serves."""
     rows = table(spark, d, "documents").select("doc_id", "lang", "source").join(table(spark, d, "labels"), "doc_id", "left")
-    path = lambda folder: F.concat(F.lit(folder), F.col("doc_id").cast("string"))
-    inputs = rows.select("doc_id", F.when(F.col("quality") == 1, path("pdf/")).alias("pdf_path"), F.when(F.col("toxic") == 0, path("text/")).alias("text_path"), F.when(F.col("lang") != "en", F.col("source")).alias("protocol_url"))
-    return select.route_input(inputs, "auto").select("doc_id", "source_used", "error")
+    path = lambda folder, id_: F.concat(F.lit(folder), id_.cast("string"))
+    inputs = rows.select("doc_id", F.when(F.col("quality") == 1, path("pdf/", F.col("doc_id"))).alias("pdf_path"), F.when(F.col("toxic") == 0, path("text/", F.col("doc_id"))).alias("text_path"), F.when(F.col("lang") != "en", F.col("source")).alias("protocol_url"))
+    ids = table(spark, d, "documents").select("doc_id").distinct()
+    pdfs = ids.filter("doc_id % 3 <> 0").select(path("pdf/", F.col("doc_id")).alias("path"), F.lit(b"%PDF").alias("content"))
+    texts = ids.filter("doc_id % 5 <> 0").select(path("text/", F.col("doc_id")).alias("path"), F.lit("").alias("value"))
+    return select.route_input(readers.with_contents(inputs, pdfs, texts), "auto", pdf_there="pdf_there", text_there="text_there").select("doc_id", "source_used", "source_kind", "error")
 
 
 @query("""SELECT conv_id, string_agg('--- Page ' || (turn + 1) || ' ---' || chr(10) || text, chr(10) || chr(10) ORDER BY turn) AS text FROM conversations WHERE regexp_matches(text, '[^\\s]') GROUP BY conv_id""".replace("\\\\", "\\"))
@@ -301,10 +333,14 @@ def q27_page_assemble(spark, d):
     return aggregate.join_pages(pages, "conv_id").select("conv_id", "text")
 
 
-@query("SELECT event_id, (props::JSON->>'k')::BIGINT AS k, '' AS name, '{}' AS nested FROM events")
+@query("""SELECT event_id, (props::JSON->>'k')::BIGINT AS k, '' AS k_text, event_type AS name, user_id % 2 = 0 AND event_type <> '' AS object, CASE WHEN user_id % 2 = 0 THEN '{"kind":"' || event_type || '"}' ELSE '{}' END AS nested FROM events""")
 def q28_json_guards(spark, d):
-    events = table(spark, d, "events").select("event_id", F.try_parse_json("props").alias("v"))
-    return events.select("event_id", F.expr(integer_at("v", "$.k")).alias("k"), F.expr(string_at("v", "$.k")).alias("name"), F.to_json(F.expr(object_at("v", "$.k"))).alias("nested"))
+    """A number, a string, and at some rows an object where others hold a list."""
+    nested = F.when(F.col("user_id") % 2 == 0, F.concat(F.lit('{"kind": "'), "event_type", F.lit('"}'))).otherwise(F.lit("[1]"))
+    whole = F.concat(F.lit('{"props": '), "props", F.lit(', "name": "'), "event_type", F.lit('", "nested": '), nested, F.lit("}"))
+    events = table(spark, d, "events").select("event_id", F.try_parse_json(whole).alias("v"))
+    found = F.to_json(F.expr(object_at("v", "$.nested")))
+    return events.select("event_id", F.expr(integer_at("v", "$.props.k")).alias("k"), F.expr(string_at("v", "$.props.k")).alias("k_text"), F.expr(string_at("v", "$.name")).alias("name"), (found != "{}").alias("object"), found.alias("nested"))
 
 
 @query("SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
@@ -326,41 +362,47 @@ def q31_newline_stats(spark, d):
 # ---- reports and seams
 
 
-@query()
+@query(STAND_IN + """, by_model AS (SELECT model_name, count(*) AS runs, count(*) FILTER (WHERE ok) AS successes, coalesce(avg(library_similarity) FILTER (WHERE ok), 0) AS s, coalesce(avg(library_exact::INT) FILTER (WHERE ok), 0) AS e, coalesce(avg(ra) FILTER (WHERE ok), 0) AS r FROM scored GROUP BY 1),
+by_region AS (SELECT model_name, gt_region AS region, avg(sequence_similarity) AS s, avg(sequence_exact::INT) AS e, avg(length_exact::INT) AS l, avg(region_exact::INT) AS r FROM region_row GROUP BY ALL)
+SELECT section, line FROM (VALUES (1, ''), (1, 'Average by model:'), (2, ''), (2, 'Stratified by region:')) v(section, line)
+UNION ALL SELECT 1, printf('  %s: similarity=%.3f exact=%.3f region=%.3f success=%d/%d', model_name, s::DOUBLE, e::DOUBLE, r::DOUBLE, successes, runs) FROM by_model
+UNION ALL SELECT 2, printf('  %s | %s: seq=%.3f exact=%.3f len=%.3f type=%.3f', model_name, region, s::DOUBLE, e::DOUBLE, l::DOUBLE, r::DOUBLE) FROM by_region""")
 def q32_report_lines(spark, d):
     scored = stand_in(spark, d)
     return sinks.report_lines(aggregate.by_model(scored), aggregate.by_model_and_region(score.region_rows(scored, "model_name")))
 
 
-@query()
+@query(STAND_IN + """, rr AS (SELECT {'model_name': model_name, 'protocol_id': protocol_id, 'library_exact': library_exact, 'error': error} AS o, row_number() OVER (ORDER BY model_name, protocol_id) AS k FROM scored),
+gg AS (SELECT {'model_name': model_name, 'protocol_id': protocol_id, 'gt_region': gt_region, 'pred_region': pred_region, 'sequence_exact': sequence_exact, 'char_exact': char_exact} AS o, row_number() OVER (ORDER BY model_name, protocol_id, segment_index) AS k FROM region_row)
+SELECT CASE WHEN k > 1 THEN ', ' ELSE '' END || to_json(o)::VARCHAR AS value FROM rr UNION ALL SELECT CASE WHEN k > 1 THEN ', ' ELSE '' END || to_json(o)::VARCHAR FROM gg""")
 def q33_json_envelope(spark, d):
+    """The entries of the envelope's two lists."""
     scored = stand_in(spark, d)
-    regions = score.region_rows(scored, "model_name", "protocol_id")
-    runs = scored.select("model_name", "protocol_id", "library_similarity", "error")
-    slim = regions.select("model_name", "protocol_id", "segment_index", "gt_region", "pred_region", "sequence_exact")
-    return sinks.envelope(runs, slim, aggregate.by_model(scored), aggregate.by_model_and_region(regions), "2024-01-01T00:00:00+00:00", "2024-01-01T00:00:01+00:00", "text")
+    runs = sinks.json_entries(scored, ("model_name", "protocol_id", "library_exact", "error"), ("model_name", "protocol_id"))
+    regions = sinks.json_entries(score.region_rows(scored, "model_name", "protocol_id"), ("model_name", "protocol_id", "gt_region", "pred_region", "sequence_exact", "char_exact"), ("model_name", "protocol_id", "segment_index"))
+    return runs.select("value").unionByName(regions.select("value"))
 
 
-def _echo(model: str, api: str, source: str, payload) -> str:
-    """A transport that answers with the assay's own text, and fails on empty ones."""
+def _echo(r: seams.Request) -> str:
+    """A transport that answers with the text it is asked about, and fails on empty ones."""
     import json
 
-    if not source:
+    if not r.content:
         raise RuntimeError("Request failed: empty source")
-    return json.dumps({"result": {"library_sequence": source}, "raw": model})
+    return json.dumps({"result": {"library_sequence": r.content}, "raw": r.model})
 
 
-@query()
+@query("SELECT conv_id, turn, CASE WHEN text <> '' THEN text ELSE '' END AS pred_library, CASE WHEN coalesce(text, '') = '' THEN 'Request failed: empty source' END AS error, CASE WHEN text <> '' THEN 'conversations' ELSE '' END AS source_used FROM conversations")
 def q34_infer_seam(spark, d):
-    runs = table(spark, d, "conversations").select("conv_id", "turn", F.lit("echo").alias("model"), F.lit("local").alias("api"), F.col("text").alias("source_used"), F.lit(None).cast("string").alias("error"))
-    return seams.infer(runs, _echo).select("conv_id", "turn", "response", "error")
+    runs = table(spark, d, "conversations").select("conv_id", "turn", F.lit("echo").alias("model"), F.lit("local").alias("api"), F.lit("text").alias("source_kind"), F.lit("conversations").alias("source_used"), F.col("text").alias("text_content"), F.lit(None).cast("string").alias("error"))
+    return readers.predictions(seams.infer(runs, _echo)).select("conv_id", "turn", "pred_library", "error", "source_used")
 
 
 def _lines(content: bytes) -> list[str]:
     return content.decode("utf-8", errors="replace").split("\n")
 
 
-@query()
+@query("SELECT page_id, unnest(range(1, len(l) + 1))::INT AS page, unnest(l) AS text FROM (SELECT page_id, string_split(coalesce(html, ''), chr(10)) AS l FROM pages)")
 def q35_page_udtf(spark, d):
     seams.register_page_reader(spark, _lines)
     table(spark, d, "pages").select("page_id", F.encode("html", "UTF-8").alias("content")).createOrReplaceTempView("libgauge_pages")
@@ -372,3 +414,23 @@ def q36_union_counts(spark, d):
     docs = table(spark, d, "documents")
     count = lambda c: docs.groupBy(F.col(c).alias("source")).agg(F.sum(F.length("text")).alias("chars"), F.count(F.lit(1)).alias("n"))
     return count("source").unionByName(count("lang"))
+
+
+@query(STAND_IN + """, numbered AS (SELECT *, row_number() OVER (ORDER BY model_name, protocol_id) AS number, count(*) OVER () AS total FROM scored)
+SELECT number::BIGINT AS run_number, printf('[%d/%d] %s | %s ...', number, total, model_name, protocol_id::VARCHAR) || CASE WHEN ok THEN printf(' similarity=%.3f region=%.3f', library_similarity, ra) ELSE ' ERROR: ' || error END AS line FROM numbered""")
+def q37_progress_lines(spark, d):
+    scored = stand_in(spark, d).select("model_name", F.col("protocol_id").cast("string").alias("protocol_id"), F.col("protocol_id").alias("at"), "library_similarity", "ordered_region_accuracy", "error")
+    return sinks.progress_lines(select.run_numbers(scored, "model_name", "at"), scored.count())
+
+
+@query("SELECT doc_id, length(text)::BIGINT AS chars, format('{:,}', length(text)) AS shown FROM documents WHERE text IS NOT NULL")
+def q38_thousands(spark, d):
+    return table(spark, d, "documents").filter("text IS NOT NULL").select("doc_id", F.length("text").cast("long").alias("chars"), sinks.thousands(F.length("text")).alias("shown"))
+
+
+@query("SELECT event_id, strftime(ts, '%Y%m%dT%H%M%SZ') AS stamp, strftime(ts, '%Y-%m-%dT%H:%M:%S') || CASE WHEN date_part('us', ts)::BIGINT % 1000000 = 0 THEN '' ELSE strftime(ts, '.%f') END || '+00:00' AS iso, user_id::VARCHAR || '::' || event_type || '::x' AS label, event_type || '::x' AS rest FROM events")
+def q39_times_and_labels(spark, d):
+    """Stamps and ISO times, and labels split at their first ::."""
+    events = table(spark, d, "events")
+    labels = aggregate.region_labels(events.select("event_id", "ts", F.col("user_id").cast("string").alias("model_name"), F.concat("event_type", F.lit("::x")).alias("region")))
+    return labels.select("event_id", sinks.stamp(F.col("ts")).alias("stamp"), sinks.isoformat(F.col("ts")).alias("iso"), "label", F.col("label_region").alias("rest"))

@@ -3,13 +3,12 @@
 from __future__ import annotations
 
 import contextlib
-import os
 from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from ..functions.text import path_stem, path_suffix, safe_filename
+from ..functions.text import path_name, path_stem, path_suffix, safe_filename
 from ..functions.urls import guess_extension
 
 
@@ -27,7 +26,7 @@ def plan_targets(plan: DataFrame, files: DataFrame, root: str, folder: str) -> D
     """Adds target and target_exists before anything is downloaded: the description's own path, else a
     file of the id's name with any extension, else that name.  existing is the target if it exists."""
     stem = safe_filename(F.col("protocol_id"))
-    there = existing_targets(files)
+    there = existing_targets(files.filter(F.col("path") == F.concat(F.lit(folder.rstrip("/") + "/"), path_name(F.col("path")))))
     named = files.select(F.col("path").alias("__there")).distinct()
     found = plan.withColumn("__stem", stem).join(there, F.col("__stem") == F.col("stem"), "left")
     aimed = found.withColumn("target", F.when(F.col("target_path").isNotNull(), own_target(F.col("target_path"), root)).otherwise(F.coalesce("existing", F.concat(F.lit(folder.rstrip("/") + "/"), "__stem"))))
@@ -56,18 +55,27 @@ def final_targets(downloads: DataFrame, root: str, folder: str) -> DataFrame:
     return done.withColumn("replaced", F.when(F.col("existing") != F.col("target"), F.col("existing"))) if "existing" in downloads.columns else done
 
 
+def _store_of(path: str):
+    from pyarrow import fs
+
+    return (fs.LocalFileSystem(), path) if path.startswith("/") else fs.FileSystem.from_uri(path)
+
+
 def replace_file(path: str, content: bytes) -> None:
-    """Write beside the target, then rename."""
-    os.makedirs(os.path.dirname(path), exist_ok=True)
-    with open(path + ".part", "wb") as f:
+    """Write beside the target, then rename.  A path with a scheme goes to that store; on a cluster a path
+    without one must lie in a folder that all machines mount."""
+    store, place = _store_of(path)
+    store.create_dir(place.rpartition("/")[0], recursive=True)
+    with store.open_output_stream(place + ".part") as f:
         f.write(content)
-    os.replace(path + ".part", path)
+    store.move(place + ".part", place)
 
 
 def remove_file(path: str) -> None:
     """The file may be gone: a task may run twice."""
+    store, place = _store_of(path)
     with contextlib.suppress(FileNotFoundError):
-        os.remove(path)
+        store.delete_file(place)
 
 
 def store(downloads: DataFrame, put: Callable[[str, bytes], None] = replace_file, remove: Callable[[str], None] = remove_file, overwrite: bool = False) -> DataFrame:
@@ -98,5 +106,3 @@ def store(downloads: DataFrame, put: Callable[[str, bytes], None] = replace_file
 def exit_code(statuses: DataFrame) -> int:
     """1 if any row has the status error."""
     return int(not statuses.filter("status = 'error'").isEmpty())
-
-

@@ -2,23 +2,67 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.segments import object_at, segments_at, string_at
-from ..functions.text import filled, path_name, path_stem, strip
+from ..functions.text import filled, path_stem, path_suffix, strip
 from ..functions.urls import is_web
 
 MODEL_SCHEMA = "model_pos int, name string, model string, api string"
 
 
+def plain_path(path: Column) -> Column:
+    """A local file's path without its scheme; other stores keep theirs."""
+    return F.regexp_replace(path, "^file:/+", "/")
+
+
+def require_folder(spark: SparkSession, folder: str, what: str = "Input directory not found") -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    if not path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(path):
+        raise FileNotFoundError(f"{what}: {folder}")
+
+
 def read_texts(spark: SparkSession, folder: str, pattern: str = "*.txt") -> DataFrame:
-    """file_name, value: whole UTF-8 files."""
-    return spark.read.text(folder, wholetext=True, pathGlobFilter=pattern).select(F.col("_metadata.file_name").alias("file_name"), "value")
+    """file_name, path, value: whole UTF-8 files."""
+    return spark.read.text(folder, wholetext=True, pathGlobFilter=pattern).select(F.col("_metadata.file_name").alias("file_name"), plain_path(F.col("_metadata.file_path")).alias("path"), "value")
 
 
-def read_binaries(spark: SparkSession, folder: str, pattern: str = "*.pdf") -> DataFrame:
+def read_binaries(spark: SparkSession, folder: str, pattern: str = "*.pdf", recursive: bool = False) -> DataFrame:
     """path, content: whole files, in no order."""
-    return spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder).select("path", "content")
+    return spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", str(recursive).lower()).load(folder).select(plain_path(F.col("path")).alias("path"), "content")
+
+
+def is_pdf(path: Column) -> Column:
+    return F.lower(path_suffix(path)) == ".pdf"
+
+
+def pdf_files(spark: SparkSession, folder: str, file: str | None = None) -> DataFrame:
+    """path, content of a folder's PDFs in path order, or of one file.  A missing folder or file, a file
+    of another kind and a folder without PDFs are errors."""
+    if file is not None:
+        require_folder(spark, file, "File not found")
+        if not spark.range(1).select(is_pdf(F.lit(file))).first()[0]:
+            raise ValueError(f"Expected a PDF file, got: {file}")
+        return read_binaries(spark, file, "*")
+    require_folder(spark, folder)
+    found = read_binaries(spark, folder).orderBy("path")
+    if found.select("path").isEmpty():
+        raise FileNotFoundError(f"No PDFs found in {folder.rstrip('/')}/")
+    return found
+
+
+def listing(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
+    """path of each file of a folder, whose contents are not read; none if there is no folder."""
+    try:
+        require_folder(spark, folder)
+    except FileNotFoundError:
+        return spark.createDataFrame([], "path string")
+    return spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder).select(plain_path(F.col("path")).alias("path"))
+
+
+def listing_below(spark: SparkSession, folder: str) -> DataFrame:
+    """path of each file in a folder and the folders inside."""
+    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select(plain_path(F.col("path")).alias("path"))
 
 
 def read_json_files(spark: SparkSession, folder: str, strict: bool = True) -> DataFrame:
@@ -45,12 +89,29 @@ def protocols(files: DataFrame, texts: DataFrame, root: str = "") -> DataFrame:
         F.when(strip(pdf) != "", F.when(pdf.startswith("/"), pdf).otherwise(F.concat(F.lit(root.rstrip("/") + "/"), pdf))).alias("pdf_path"), link.alias("protocol_url"),
         F.expr(string_at("doc", "$.library_sequence")).alias("library_sequence"), F.expr(segments_at("doc", "$.segments")).alias("segments"), F.to_json(F.expr(object_at("doc", "$.placeholder_key"))).alias("placeholders"),
     )
-    by_stem = texts.select(F.col("file_name").alias("stem_text"), path_stem(F.col("file_name")).alias("stem"))
-    by_id = texts.select(F.col("file_name").alias("id_text"), path_stem(F.col("file_name")).alias("id_stem"))
+    by_stem = texts.select(F.col("path").alias("stem_text"), path_stem(F.col("file_name")).alias("stem"))
+    by_id = texts.select(F.col("path").alias("id_text"), path_stem(F.col("file_name")).alias("id_stem"))
     found = typed.join(by_stem, path_stem(F.col("pdf_path")) == F.col("stem"), "left").join(by_id, F.col("protocol_id") == F.col("id_stem"), "left")
     return found.withColumn("text_path", F.coalesce("stem_text", "id_text")).drop("stem_text", "stem", "id_text", "id_stem")
 
 
+def load_protocols(spark: SparkSession, root: str, protocol_dir: str = "protocols", text_dir: str = "protocol_texts") -> DataFrame:
+    """The descriptions of a folder in path order; relative folders are taken from the root."""
+    within = lambda d: d if d.startswith("/") or "://" in d else f"{root.rstrip('/')}/{d}"
+    require_folder(spark, within(protocol_dir), "Protocol directory does not exist")
+    texts = read_texts(spark, within(text_dir)) if not listing(spark, within(text_dir)).isEmpty() else spark.createDataFrame([], "file_name string, path string, value string")
+    return protocols(read_json_files(spark, within(protocol_dir)), texts, root).orderBy("file_name")
+
+
+def with_contents(rows: DataFrame, pdfs: DataFrame, texts: DataFrame) -> DataFrame:
+    """Adds pdf_content and text_content, null where the file isn't there, and tells so in pdf_there and
+    text_there.  Each file is read once, for the description that names it."""
+    p = pdfs.select(F.col("path").alias("pdf_path"), F.col("content").alias("pdf_content"), F.lit(True).alias("pdf_there"))
+    t = texts.select(F.col("path").alias("text_path"), F.col("value").alias("text_content"), F.lit(True).alias("text_there"))
+    found = rows.join(p, "pdf_path", "left").join(t, "text_path", "left")
+    return found.withColumns({c: F.coalesce(c, F.lit(False)) for c in ("pdf_there", "text_there")})
+
+
 def models(spark: SparkSession, folder_or_json: str, inline: bool = False) -> DataFrame:
     """Model configurations from a JSON list or an object with a list ``models``.  An invalid entry stops
     the query with its number, counted from 1."""
@@ -74,7 +135,7 @@ def predictions(rows: DataFrame, response: str = "response") -> DataFrame:
         "error": F.coalesce(F.col("error"), fault) if "error" in rows.columns else fault,
         "prediction_protocol_name": F.expr(string_at("__r", "$.protocol_name")), "pred_library": F.expr(string_at("__r", "$.library_sequence")),
         "pred_segments": F.expr(segments_at("__r", "$.segments")), "pred_placeholders": F.to_json(F.expr(object_at("__r", "$.placeholder_key"))),
-        "raw_output": F.expr("to_json(variant_get(__v, '$.raw', 'variant'))"),
+        "prediction": F.expr("to_json(variant_get(__v, '$.result', 'variant'))"), "raw_output": F.expr("to_json(variant_get(__v, '$.raw', 'variant'))"),
     }).drop("__v", "__r")
 
 
@@ -91,14 +152,3 @@ def download_plan(files: DataFrame) -> DataFrame:
     moved = text("protocol_link").isNull() & is_web(text("protocol_pdf"))
     plan = kept.select("file_name", named.alias("protocol_id"), F.when(moved, text("protocol_pdf")).otherwise(text("protocol_link")).alias("url"), F.when(~moved, text("protocol_pdf")).alias("target_path"), issue.alias("issue"))
     return plan.withColumn("url", F.when(F.col("issue").isNull(), F.col("url"))).withColumn("target_path", F.when(F.col("issue").isNull(), F.col("target_path")))
-
-
-def is_pdf(path: Column) -> Column:
-    return F.lower(path).endswith(".pdf")
-
-
-def listing(files: DataFrame, path: str = "path") -> DataFrame:
-    return files.select(path_name(F.col(path)).alias("file_name"), path_stem(F.col(path)).alias("stem"))
-
-
-RESPONSE = T.StructType([T.StructField("response", T.StringType()), T.StructField("error", T.StringType()), T.StructField("duration_seconds", T.DoubleType())])

@@ -8,12 +8,23 @@ from __future__ import annotations
 
 import time
 from collections.abc import Callable, Iterable, Iterator
+from typing import NamedTuple
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-#: (model, api, source_used, payload) to the reply's text.
-Transport = Callable[[str, str, str, bytes | None], str]
+class Request(NamedTuple):
+    """One question to a model: kind is pdf, text or url; content is the PDF's bytes or the text."""
+
+    model: str
+    api: str
+    kind: str
+    source: str
+    content: bytes | str | None = None
+
+
+#: A request to the reply's text.
+Transport = Callable[[Request], str]
 
 
 class HttpStatus(RuntimeError):
@@ -34,18 +45,24 @@ def multipart(fields: dict[str, str], files: Iterable[tuple[str, str, bytes, str
     return b"".join(lines) + f"--{boundary}--\r\n".encode()
 
 
+def request_parts(r: Request) -> tuple[dict[str, str], list[tuple[str, str, bytes, str]]]:
+    """The fields and files of a request: a PDF goes as the file, a text or an address as a field."""
+    if r.kind == "pdf":
+        return {"model": r.model}, [("file", r.source.rpartition("/")[2], bytes(r.content), "application/pdf")]
+    return {"model": r.model, r.kind: r.content if r.kind == "text" else r.source}, []
+
+
 def http_transport(timeout: float = 360.0) -> Transport:
     """POST to the model's API."""
 
-    def send(model: str, api: str, source: str, payload: bytes | None) -> str:
+    def send(r: Request) -> str:
         import uuid
         from urllib import error, request
 
         boundary = uuid.uuid4().hex
-        files = [("file", source.rpartition("/")[2], payload, "application/pdf")] if payload is not None else []
-        body = multipart({"model": model} | ({} if files else {"text": source}), files, boundary)
+        body = multipart(*request_parts(r), boundary)
         try:
-            with request.urlopen(request.Request(api, body, {"Content-Type": f"multipart/form-data; boundary={boundary}"}), timeout=timeout) as reply:
+            with request.urlopen(request.Request(r.api, body, {"Content-Type": f"multipart/form-data; boundary={boundary}"}), timeout=timeout) as reply:
                 return reply.read().decode()
         except error.HTTPError as e:
             raise HttpStatus(e.code, e.read()) from e
@@ -55,31 +72,59 @@ def http_transport(timeout: float = 360.0) -> Transport:
     return send
 
 
+def http_getter(timeout: float = 60.0, user_agent: str = "libgauge/1.0") -> Callable[[str], tuple[bytes, str | None, str]]:
+    """GET: content, content type without parameters, and the address after redirections."""
+
+    def get(url: str) -> tuple[bytes, str | None, str]:
+        from urllib import request
+
+        with request.urlopen(request.Request(url, headers={"User-Agent": user_agent}), timeout=timeout) as reply:
+            return reply.read(), reply.headers.get_content_type(), reply.geturl()
+
+    return get
+
+
 def infer(runs: DataFrame, transport: Transport, delay: float = 0.0, requests_at_once: int | None = None) -> DataFrame:
-    """Runs (model, api, source_used, error, optional payload) with response, error, duration_seconds.
-    Rows that already have an error aren't sent.  ``requests_at_once`` bounds the partitions."""
+    """Runs (model, api, source_kind, source_used, error, optional pdf_content and text_content) with
+    response, error, duration_seconds, without the contents.  Rows that already have an error aren't sent; a
+    run that failed has used no source.  ``requests_at_once`` bounds the partitions; with a ``delay`` it
+    is 1 unless given, and each of N partitions waits N delays, so that one request goes out a delay."""
+    if delay > 0 and not requests_at_once:
+        requests_at_once = 1
+    contents = [c for c in ("pdf_content", "text_content") if c in runs.columns]
     base = runs.drop("response", "duration_seconds")
-    schema = T.StructType([*base.schema.fields, T.StructField("response", T.StringType()), T.StructField("duration_seconds", T.DoubleType())])
+    kept = base.drop(*contents)
+    schema = T.StructType([*kept.schema.fields, T.StructField("response", T.StringType()), T.StructField("duration_seconds", T.DoubleType())])
     if requests_at_once:
         base = base.repartition(requests_at_once)
+    pause = delay * (requests_at_once or 1)
 
     def call(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sent = 0
         for batch in batches:
-            batch = batch.copy()
-            batch["error"] = batch["error"].astype(object)
-            replies, took = [], []
-            for i, row in zip(batch.index, batch.to_dict("records")):
-                began, reply = time.monotonic(), None
-                if not row["error"] or pd.isna(row["error"]):
+            errors, replies, took, used = [], [], [], []
+            for row in batch.to_dict("records"):
+                error = row["error"] if isinstance(row["error"], str) and row["error"] else None
+                reply = None
+                if error is None and sent and pause > 0:
+                    time.sleep(pause)
+                began = time.monotonic()
+                if error is None:
+                    sent += 1
+                    kind = row.get("source_kind") or "text"
                     try:
-                        reply = transport(row["model"], row["api"], row["source_used"], row.get("payload"))
+                        reply = transport(Request(row["model"], row["api"], kind, row["source_used"], row.get(f"{kind}_content")))
                     except Exception as e:  # errors are data here
-                        batch.at[i, "error"] = str(e)
-                    time.sleep(delay)
+                        error = str(e)
+                errors.append(error if error is not None else row["error"])
                 replies.append(reply)
+                used.append("" if error else row["source_used"])
                 took.append(round(time.monotonic() - began, 3))
-            batch["response"], batch["duration_seconds"] = pd.Series(replies, batch.index, object), took
-            yield batch[schema.names]
+            out = batch.drop(columns=contents).copy()
+            for name, values in (("error", errors), ("response", replies), ("source_used", used)):
+                out[name] = pd.Series(values, out.index, object)
+            out["duration_seconds"] = took
+            yield out[schema.names]
 
     return base.mapInPandas(call, schema)
 
@@ -142,3 +187,36 @@ def pick_device(available: Callable[[str], bool], wanted: str | None = None) ->
             raise ValueError(f"device {wanted} is not available")
         return wanted
     return next(d for d in ("cuda", "mps", "cpu") if d == "cpu" or available(d))
+
+
+def require_module(name: str, hint: str):
+    """An optional dependency, or an error that says how to get it."""
+    import importlib
+
+    try:
+        return importlib.import_module(name)
+    except ImportError as e:
+        raise RuntimeError(f"Missing dependency '{name}'. Install it with: {hint}") from e
+
+
+def doctr_recogniser(device: str | None = None, det_arch: str = "db_resnet50", reco_arch: str = "crnn_vgg16_bn") -> Callable[[], Callable[[bytes], str]]:
+    """A ``load`` for ``ocr`` by docTR, where that and torch are installed."""
+
+    def load() -> Callable[[bytes], str]:
+        torch = require_module("torch", "pip install torch torchvision")
+        require_module("doctr", "pip install 'python-doctr[torch]' pypdfium2")
+        from doctr.io import DocumentFile
+        from doctr.models import ocr_predictor
+
+        there = {"cuda": torch.cuda.is_available, "mps": torch.backends.mps.is_available}
+        where = torch.device(pick_device(lambda d: there[d](), device))
+        predict = ocr_predictor(det_arch=det_arch, reco_arch=reco_arch, pretrained=True).to(where)
+        return lambda content: predict(DocumentFile.from_pdf(content)).render()
+
+    return load
+
+
+def pdf_pages(content: bytes) -> list[str]:
+    """The text of each page by PyMuPDF, where that is installed."""
+    with require_module("pymupdf", "pip install pymupdf").open(stream=content, filetype="pdf") as document:
+        return [page.get_text() for page in document]

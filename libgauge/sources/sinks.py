@@ -1,8 +1,12 @@
-"""Tables, CSV projections, the JSON envelope and text files.  Spark's committer makes each write whole
-or absent, and ``mode`` says what happens to what is there."""
+"""Tables, CSV projections, the JSON envelope, report lines and text files.  Spark's committer makes each
+write whole or absent, and ``mode`` says what happens to what is there."""
 
 from __future__ import annotations
 
+import json
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 # The columns of the two CSV files, in their order.
@@ -39,29 +43,99 @@ def write_csv(rows: DataFrame, columns: tuple[str, ...], path: str, order: tuple
     return True
 
 
-def envelope(runs: DataFrame, regions: DataFrame, models: DataFrame, model_regions: DataFrame, started: str, finished: str, input_mode: str) -> DataFrame:
-    """One row with the whole result as indented JSON text.  For reports of a benchmark's size; for more,
-    write the four tables."""
-    listed = lambda df, name, *order: df.agg(F.array_sort(F.collect_list(F.struct(*order, *(c for c in df.columns if c not in order)))).alias(name))
-    keyed = lambda df, name, key: df.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(key.alias("k"), F.struct(*df.columns).alias("v"))))).alias(name))
-    sums = runs.agg(F.count_distinct("protocol_id").alias("protocol_count"), F.count_distinct("model_name").alias("model_count"), F.count(F.lit(1)).alias("total_runs"))
-    one = sums.crossJoin(listed(runs, "results", "model_name", "protocol_id")).crossJoin(listed(regions, "region_results", "model_name", "protocol_id", "segment_index"))
-    one = one.crossJoin(keyed(models, "by_model", F.col("model_name"))).crossJoin(keyed(model_regions, "by_model_and_region", F.concat_ws("::", "model_name", "region")))
-    body = F.struct(F.lit(started).alias("started_at"), F.lit(finished).alias("finished_at"), F.lit(input_mode).alias("input_mode"), "protocol_count", "model_count", "total_runs", "results", "region_results", F.struct("by_model", "by_model_and_region").alias("summary"))
-    return one.select(F.to_json(body, {"pretty": "true", "ignoreNullFields": "false"}).alias("value"))
+def ascii_json(text: Column) -> Column:
+    """JSON text with every character beyond ASCII as an escape, those beyond U+FFFF as two."""
+    four = lambda n: F.concat(F.lit("\\u"), F.lower(F.lpad(F.hex(n), 4, "0")))
+    code = lambda c: F.ascii(c).cast("long")
+    above = lambda c: code(c) - 0x10000
+    pair = lambda c: F.concat(four(F.lit(0xD800) + F.shiftright(above(c), 10)), four(F.lit(0xDC00) + above(c).bitwiseAND(F.lit(0x3FF))))
+    escaped = F.array_join(F.transform(F.split(text, ""), lambda c: F.when(code(c) < 128, c).when(code(c) < 0x10000, four(code(c))).otherwise(pair(c))), "")
+    return F.when(text.rlike(r"[^\x00-\x7f]"), escaped).otherwise(text)
+
+
+def json_entries(rows: DataFrame, columns: tuple[str, ...], order: tuple[str, ...], key: Column | None = None) -> DataFrame:
+    """value: an entry of a JSON list (or, with a key, of an object) for each row, beside the order's
+    columns.  All but the first in the order begin with a comma."""
+    body = ascii_json(F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}))
+    if key is not None:
+        body = F.concat(ascii_json(F.to_json(F.array(key))).substr(F.lit(2), F.length(ascii_json(F.to_json(F.array(key)))) - 2), F.lit(": "), body)
+    first = rows.agg(F.min(F.struct(*order)).alias("__first"))
+    shown = rows.crossJoin(first).withColumn("value", F.concat(F.when(F.struct(*order) == F.col("__first"), "").otherwise(", "), body))
+    return shown.select(*order, "value")
+
+
+def envelope(runs: DataFrame, regions: DataFrame, by_model: DataFrame, by_model_and_region: DataFrame, counts: tuple[int, int], started: str, finished: str, input_mode: str, models_file: str, order: tuple[str, ...] = ("model_pos", "file_name")) -> DataFrame:
+    """The whole result as lines of one JSON document, in order: results in model and path order, then
+    region results, then the summaries by key.  No row holds more than one result, however many there are.
+    counts: protocols and models, repeated ids counted repeatedly."""
+    spark = runs.sparkSession
+    json_columns = [c for c in ("prediction", "raw_output") if c in runs.columns]
+    told = runs.withColumns({c: F.try_parse_json(c) for c in json_columns})
+    hidden = {*order, "aligned", "gt_segments", "pred_segments", "gt_placeholders", "pred_placeholders", "response", "model", "run_number"}
+    listed = lambda df: tuple(c for c in df.columns if c not in hidden)
+    label = F.concat_ws("::", "model_name", "region")
+    parts = [
+        (1, json_entries(told, listed(told), order)),
+        (3, json_entries(regions, listed(regions), (*order, "segment_index"))),
+        (5, json_entries(by_model.withColumn("__key", F.col("model_name")), tuple(by_model.columns), ("__key",), F.col("__key"))),
+        (7, json_entries(by_model_and_region.withColumn("__key", label), tuple(by_model_and_region.columns), ("__key",), F.col("__key"))),
+    ]
+    head = {"run_started_at": started, "run_finished_at": finished, "models_file": models_file, "input_mode": input_mode, "protocol_count": counts[0], "model_count": counts[1]}
+    frame = [(0, "{" + "".join(f"{json.dumps(k)}: {json.dumps(v)}, " for k, v in head.items()) + '"results": ['), (2, '], "region_results": ['), (4, '], "summary": {"by_model": {'), (6, '}, "by_model_and_region": {'), (8, "}}}")]
+    place = lambda df, n: F.col(n) if df.schema[n].dataType.typeName() == "string" else F.format_string("%020d", F.col(n).cast("long"))
+    lines = spark.createDataFrame(frame, "section int, value string").select("section", F.array().cast("array<string>").alias("place"), "value")
+    for section, part in parts:
+        names = [c for c in part.columns if c != "value"]
+        lines = lines.unionByName(part.select(F.lit(section).alias("section"), F.array(*(place(part, n) for n in names)).alias("place"), "value"))
+    return lines.orderBy("section", "place").select("value")
+
+
+def start_lines(protocols: int, models: int, input_mode: str, models_file: str) -> list[str]:
+    return [f"Starting benchmark: {models} models x {protocols} protocols = {models * protocols} runs", f"Input mode: {input_mode}", f"Models config: {models_file}"]
+
+
+def progress_lines(scored: DataFrame, total: int) -> DataFrame:
+    """run_number, line for every scored run (run_number, model_name, protocol_id, scores, error)."""
+    label = F.format_string(f"[%d/{total}] %s | %s ...", "run_number", "model_name", "protocol_id")
+    bad = F.coalesce(F.col("error"), F.lit("")) != ""
+    end = F.when(bad, F.concat(F.lit(" ERROR: "), "error")).otherwise(F.format_string(" similarity=%.3f region=%.3f", "library_similarity", "ordered_region_accuracy"))
+    return scored.select("run_number", F.concat(label, end).alias("line"))
+
+
+HEADINGS = ("Average by model:", "Stratified by region:")
 
 
 def report_lines(models: DataFrame, regions: DataFrame) -> DataFrame:
-    """section, line: the two sections of the console report, in order of their keys."""
-    first = models.select(F.lit(1).alias("section"), F.col("model_name").alias("key"), F.format_string("  %s: similarity=%.3f exact=%.3f region=%.3f success=%d/%d", "model_name", "avg_library_similarity", "library_exact_rate", "avg_ordered_region_accuracy", "successes", "runs").alias("line"))
-    second = regions.select(F.lit(2).alias("section"), F.concat_ws("::", "model_name", "region").alias("key"), F.format_string("  %s | %s: seq=%.3f exact=%.3f len=%.3f type=%.3f", "model_name", "region", "avg_sequence_similarity", "sequence_exact_rate", "length_exact_rate", "region_exact_rate").alias("line"))
-    return first.unionByName(second).orderBy("section", "key").select("section", "line")
+    """section, line: the two sections of the console report, each under a blank line and its heading, in
+    order of their keys."""
+    heads = models.sparkSession.createDataFrame([(k, at, "", line) for k, heading in enumerate(HEADINGS, 1) for at, line in ((0, ""), (1, heading))], "section int, at int, key string, line string")
+    first = models.select(F.lit(1).alias("section"), F.lit(2).alias("at"), F.col("model_name").alias("key"), F.format_string("  %s: similarity=%.3f exact=%.3f region=%.3f success=%d/%d", "model_name", "avg_library_similarity", "library_exact_rate", "avg_ordered_region_accuracy", "successes", "runs").alias("line"))
+    second = regions.select(F.lit(2).alias("section"), F.lit(2).alias("at"), F.concat_ws("::", "model_name", "region").alias("key"), F.format_string("  %s | %s: seq=%.3f exact=%.3f len=%.3f type=%.3f", "model_name", "region", "avg_sequence_similarity", "sequence_exact_rate", "length_exact_rate", "region_exact_rate").alias("line"))
+    return heads.unionByName(first).unionByName(second).orderBy("section", "at", "key").select("section", "line")
+
+
+def thousands(x: Column) -> Column:
+    return F.format_number(x, 0)
+
 
+def write_texts(documents: DataFrame, put: Callable[[str, bytes], None]) -> DataFrame:
+    """Rows with target and text, after ``put`` has taken each text as UTF-8, empty ones too."""
+    schema = documents.schema
 
-def write_texts(documents: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """Rows (doc, text) as one folder per document; texts end with a newline, empty ones give no file."""
-    documents.filter(F.col("text") != "").select("doc", F.col("text").alias("value")).write.mode(mode).partitionBy("doc").text(path)
+    def call(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for target, text in zip(batch["target"], batch["text"]):
+                put(target, text.encode())
+            yield batch
+
+    return documents.mapInPandas(call, schema)
 
 
 def stamp(at: Column) -> Column:
+    """A time for file names, in the session's zone (UTC)."""
     return F.date_format(at, "yyyyMMdd'T'HHmmss'Z'")
+
+
+def isoformat(at: Column) -> Column:
+    """A UTC time to microseconds; a whole second shows none."""
+    return F.concat(F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss"), F.when(F.date_format(at, "SSSSSS") == "000000", "").otherwise(F.date_format(at, ".SSSSSS")), F.lit("+00:00"))

@@ -22,10 +22,10 @@ TRUTH = {"protocol_id": "demo-a", "protocol_name": "Demo A", "references": {"pro
 MODELS = json.dumps({"models": [{"name": "m1", "model": "v/m1", "api": "x"}, {"id": "m2", "api": "x"}, {"model": "m3", "api": "x"}]})
 
 
-def answer(model: str, api: str, source: str, payload) -> str:
-    if model == "m3":
+def answer(r: seams.Request) -> str:
+    if r.model == "m3":
         raise RuntimeError("Request failed: refused")
-    kept = SEGMENTS if model == "v/m1" else [SEGMENTS[0], SEGMENTS[1], SEGMENTS[3]]
+    kept = SEGMENTS if r.model == "v/m1" else [SEGMENTS[0], SEGMENTS[1], SEGMENTS[3]]
     return json.dumps({"result": {"library_sequence": "".join(s["sequence"] for s in kept), "segments": kept, "placeholder_key": {"U": "umi", "B": "cell"}, "protocol_name": "Demo"}})
 
 
@@ -48,9 +48,9 @@ def result(spark, protocols):
     return benchmark.run(readers.models(spark, MODELS, inline=True), protocols, answer, "text")
 
 
-def test_protocols(protocols):
+def test_protocols(protocols, folder):
     (r,) = protocols.collect()
-    assert (r.protocol_id, r.pdf_path, r.text_path, r.protocol_url, len(r.segments)) == ("demo-a", "/root-dir/src/demo-a.pdf", "demo-a.txt", "https://e.org/a.pdf", 4)
+    assert (r.protocol_id, r.pdf_path, r.text_path, r.protocol_url, len(r.segments)) == ("demo-a", "/root-dir/src/demo-a.pdf", f"{folder}/demo-a.txt", "https://e.org/a.pdf", 4)
 
 
 def test_models(spark):
@@ -154,10 +154,17 @@ def test_sinks(spark, result, tmp_path):
     text = "".join(p.read_text() for p in (tmp_path / "runs").glob("part-*"))
     assert text.splitlines()[0].split(",")[0] == "protocol_id" and ",True," in text and len(text.splitlines()) == 4
     assert not sinks.write_csv(result.runs.limit(0), sinks.RUN_COLUMNS, str(tmp_path / "none")) and not (tmp_path / "none").exists()
-    whole = json.loads(sinks.envelope(result.runs.select("model_name", "protocol_id", "error"), result.regions.select("model_name", "protocol_id", "segment_index"), result.by_model, result.by_model_and_region, "a", "b", "text").first().value)
-    assert (whole["total_runs"], whole["model_count"], len(whole["region_results"])) == (3, 3, 8) and "m2::umi" in whole["summary"]["by_model_and_region"]
+    assert sinks.write_csv(result.regions, sinks.REGION_COLUMNS, str(tmp_path / "regions"), ("model_name", "segment_index"))
+    text = "".join(p.read_text() for p in (tmp_path / "regions").glob("part-*")).splitlines()
+    assert text[0] == ",".join(sinks.REGION_COLUMNS) and len(text) == 9 and text[2] == "demo-a,m1,1,cb,barcode,barcode,barcode,True,4,4,True,1.0,True,B,B,True,True"
+    lines = sinks.envelope(result.runs, result.regions, result.by_model, result.by_model_and_region, result.counts, "a", "b", "text", "models.json").collect()
+    whole = json.loads("\n".join(r.value for r in lines))
+    assert list(whole) == ["run_started_at", "run_finished_at", "models_file", "input_mode", "protocol_count", "model_count", "results", "region_results", "summary"]
+    assert (whole["models_file"], whole["protocol_count"], whole["model_count"], len(whole["region_results"])) == ("models.json", 1, 3, 8) and "m2::umi" in whole["summary"]["by_model_and_region"]
+    assert [r["model_name"] for r in whole["results"]] == ["m1", "m2", "m3"] and whole["results"][0]["prediction"]["protocol_name"] == "Demo" and "raw_output" not in whole["results"][0]
+    assert (whole["results"][2]["source_used"], whole["results"][2]["prediction"], whole["results"][2]["error"]) == ("", None, "Request failed: refused")
     lines = [r.line for r in sinks.report_lines(result.by_model, result.by_model_and_region).collect()]
-    assert lines[1] == "  m2: similarity=0.800 exact=0.000 region=0.500 success=1/1"
+    assert lines[:2] == ["", "Average by model:"] and lines[3] == "  m2: similarity=0.800 exact=0.000 region=0.500 success=1/1"
 
 
 def test_extras(spark, protocols, result):
@@ -168,7 +175,7 @@ def test_extras(spark, protocols, result):
 def test_stream(spark, protocols, tmp_path):
     arriving = tmp_path / "in"
     arriving.mkdir()
-    line = json.dumps({"model_name": "m1", "protocol_id": "demo-a", "response": answer("v/m1", "", "", None), "error": None, "duration_seconds": 1.0})
+    line = json.dumps({"model_name": "m1", "protocol_id": "demo-a", "response": answer(seams.Request("v/m1", "", "text", "")), "error": None, "duration_seconds": 1.0})
     (arriving / "1.json").write_text(line + "\n")
     for expected in (1, 2):
         score_available(spark, str(arriving), protocols, str(tmp_path / "out"), str(tmp_path / "check")).awaitTermination()
@@ -179,8 +186,8 @@ def test_stream(spark, protocols, tmp_path):
 def test_mutation(spark, protocols):
     """One changed character shows in the scores."""
 
-    def wrong(model, api, source, payload):
-        return answer("v/m1", "", "", None).replace("ACGTBBBB", "ACGABBBB")
+    def wrong(r):
+        return answer(seams.Request("v/m1", "", "text", "")).replace("ACGTBBBB", "ACGABBBB")
 
     changed = benchmark.run(readers.models(spark, MODELS, inline=True), protocols, wrong, "text").by_model
     assert all(0 < r.avg_library_similarity < 1 and r.library_exact_rate == 0 for r in changed.collect())
