@@ -417,7 +417,7 @@ def join(df: DataFrame, words: int = WORDS, percent: int = PERCENT, id_col: str
     """doc_id, n_shingles, component_id, n_sets (distinct sets in the component) for every row."""
     spark, work = df.sparkSession, Workspace(df.sparkSession, "ngrams")
     bounded_batches(spark)
-    rows = df.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"), F.lit(None).cast("string").alias("carried"))
+    rows = df.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     chunks = work.save(to_chunks(rows).select("chunk", "ids", "lengths", "data"), "chunks")
     total = df.agg(F.sum(F.octet_length(F.col(f"`{text_col}`").cast("string")))).first()[0] or 0
     sets = find_sets(chunks, work, total, words, percent)

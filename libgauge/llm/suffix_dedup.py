@@ -1,39 +1,46 @@
-"""Repeated substrings, by blockwise sorting of suffixes with a difference cover.
+"""Repeated substrings, by blockwise suffix sorting with a difference cover.
 
 A byte goes if a string of ``width`` bytes that covers it also starts anywhere else, in the same
-text or another; strings never cross texts.  All starts of such strings must be found, so suffixes
-are sorted to that depth, in blocks of bounded memory:
-
-1. Cover sample.  D is a perfect difference set of period v = 133 (12 residues): any two positions
-   i, j have a shift d < v with (i + d) mod v and (j + d) mod v in D.  The strings of
-   width - v + 1 bytes at sampled positions are sorted, one bucket of the hash range at a time, which
-   gives each sample its rank class: alone, or tied with others.
-2. Suffixes.  If two suffixes tie to the full width, then for some d < v their samples tie as well.  A
-   suffix whose samples within v bytes are all alone is therefore settled by the precomputed classes
-   and never dealt out.  The others are sorted, again one bucket at a time, by a 64-bit fingerprint of
-   their first ``width`` bytes.
-
-Since a bucket's task has no access to the texts, strings are compared by fingerprint and not byte by
-byte: with n suffixes in step 2 the odds of any false tie are n * n / 2**65.  Sample hashes have 40
-bits; their false ties only send a suffix on to step 2.  A text that is there several times is dealt
-out once.
-
-Texts travel as chunks of about CHUNK bytes, saved once in a table bucketed by chunk, so that later
-steps find their replies without moving texts again.  Arrays are built for SEGMENT positions at a
-time, whatever the length of a text.
+text or another; strings never cross texts.  All starts of such strings must be found.
+
+The cover.  D is a perfect difference set of period v = 57 (8 residues, Singer): for any two positions
+i, j there is a shift s < v with (i + s) mod v and (j + s) mod v in D.  If the strings of ``width``
+bytes at i and j are equal, so are the s bytes before the sampled positions i + s and j + s, and the first
+width - s bytes of the suffixes that begin there.  Ranks of the sample's suffixes therefore decide every tie:
+
+1. Which samples can be tied at all.  Hashes of the first width - v + 1 = 144 bytes of each sampled
+   suffix are sorted, a range of them at a time.  Equal strings have equal hashes, so this loses none; a
+   false tie only costs the next step some bytes.  A text that is there several times (by its BLAKE2b
+   digest of 256 bits) goes whole and takes part in what follows once.
+2. Suffix buckets.  Equal samples share the least hash of a 16-gram among their 144 bytes; it names their
+   bucket.  Neighbouring samples mostly share it too, so that a bucket gets pieces of text: some samples
+   with up to v - 1 bytes before the first and ``width`` bytes from the last on.  One bucket at a time, and
+   in it one least hash after the other, the sampled suffixes are sorted by their bytes and given ranks for
+   every depth, and so are the bytes before them, read backwards.  The string that begins s bytes
+   before a sample is repeated if another sample has the same rank at depth width - s and the same s bytes
+   before it.  All comparisons are of bytes; no result rests on a hash of part of a text.
+3. What is found goes back to the texts as bits over the pieces' bytes.
+
+Memory.  Texts travel as chunks of about CHUNK bytes, saved once in a table bucketed by chunk, so that
+later steps find their replies without moving texts again; arrays are built for SEGMENT positions at a
+time, whatever the length of a text.  Each chunk has a fixed number of buckets, so the rows dealt out
+grow with the input.  Pieces that are equal in a chunk are sent once.  A bucket sorts the pieces of at most
+FAN_IN chunks; with more chunks, pieces left distinct meet in further rounds, so that a passage common to
+all chunks never comes to one task more than FAN_IN times.
 
 Defined results: a null text counts as empty; texts shorter than ``width`` lose nothing; repeated
 rows lose everything (if long enough); an empty table gives an empty result; other columns are
-ignored.
+ignored by ``dedup`` and kept by ``cut_repeats``.
 """
 
 from __future__ import annotations
 
 import hashlib
 import itertools
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Callable, Iterator
 from functools import lru_cache
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -41,12 +48,19 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import Workspace, bounded_batches, rows_out, texts
+from .common import Workspace, bounded_batches, fresh, rows_out, texts
 
 WIDTH = 200
-ORDER = 11
+ORDER = 7
 PERIOD = ORDER * ORDER + ORDER + 1
-CHUNK, SEGMENT = 3 << 19, 1 << 21
+CHUNK, SEGMENT = 4 << 20, 1 << 21
+#: Buckets of hashes and of suffixes; chunks whose pieces meet in one task.
+BUCKETS, FAN_IN = 512, 4096
+GRAM = 16
+#: A piece's first and last sample are less than this apart (a multiple of the period).
+SPAN = 64 * PERIOD
+#: So many samples are sorted at a time, unless more share one least hash.
+SORTED = 1 << 16
 SAMPLE_BITS = 40
 
 
@@ -157,11 +171,19 @@ def untangle(values: np.ndarray, replies: dict[int, bytes], buckets: int, bits:
     return np.concatenate([np.zeros(0, bool), *(np.unpackbits(np.frombuffer(replies[k], np.uint8), count=len(v)).astype(bool) if k in replies else np.zeros(len(v), bool) for k, v in deal(values, buckets, bits))])
 
 
+def sliding_min(h: np.ndarray, width: int) -> np.ndarray:
+    """The least of each ``width`` values in a row, by doubling."""
+    n, have = len(h) - width + 1, 1
+    while 2 * have <= width:
+        h, have = np.minimum(h[: len(h) - have], h[have:]), 2 * have
+    return np.minimum(h[:n], h[width - have : width - have + n])
+
+
 class Chunk:
     """The texts of a chunk, end to end."""
 
-    def __init__(self, lengths: list[int], data: bytes, width: int):
-        self.data, self.width = np.frombuffer(data, np.uint8), width
+    def __init__(self, lengths: list[int], data: bytes, width: int, bits: int):
+        self.data, self.width, self.bits = np.frombuffer(data, np.uint8), width, bits
         self.lengths = np.array(lengths, np.int64)
         self.ends = np.cumsum(self.lengths)
         self.starts = self.ends - self.lengths
@@ -171,53 +193,197 @@ class Chunk:
         for seg, lo in enumerate(range(0, len(self.data), SEGMENT)):
             yield seg, lo, min(len(self.data), lo + SEGMENT)
 
-    def owner(self, lo: int, hi: int) -> np.ndarray:
-        return np.searchsorted(self.ends, np.arange(lo, hi), "right")
-
     def samples(self, lo: int, hi: int) -> tuple[np.ndarray, np.ndarray]:
         """Positions of the cover sample in a segment and their hashes."""
-        doc = self.owner(lo, hi)
         at = np.arange(lo, hi)
+        doc = np.searchsorted(self.ends, at, "right")
         picked = at[COVER[(at - self.starts[doc]) % PERIOD] & (at + self.short <= self.ends[doc])]
         if not len(picked):
             return picked, np.zeros(0, np.uint64)
         h = hashes()[0].windows(self.data[lo : hi + self.short - 1], self.short)
-        return picked, h[picked - lo] >> np.uint64(64 - SAMPLE_BITS)
-
-    def suffixes(self, lo: int, hi: int, marks: np.ndarray, out: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Starts in a segment that the sample leaves open, and their fingerprints.  marks: sums of tied
-        samples before each position; out: texts of which another copy is dealt out."""
-        doc = self.owner(lo, hi)
-        at = np.arange(lo, hi)
-        fits = (at + self.width <= self.ends[doc]) & ~out[doc]
-        last = np.minimum(at + PERIOD, len(self.data))
-        picked = at[fits & (marks[last] > marks[at])]
-        if not len(picked):
-            return picked, np.zeros(0, np.uint64)
-        return picked, hashes()[1].windows(self.data[lo : hi + self.width - 1], self.width)[picked - lo]
+        return picked, h[picked - lo] >> np.uint64(64 - self.bits)
 
-    def marks(self, replies: dict[int, dict[int, bytes]], buckets: int) -> np.ndarray:
-        hit = np.zeros(len(self.data) + 1, np.int32)
+    def tied(self, replies: dict[int, dict[int, bytes]]) -> np.ndarray:
+        """Positions of the samples that step 1 couldn't tell apart from others."""
+        found = []
         for seg, lo, hi in self.segments():
             at, h = self.samples(lo, hi)
             values, inverse, counts = np.unique(h, return_inverse=True, return_counts=True)
-            ties = (counts > 1) | untangle(values, replies.get(seg, {}), buckets, SAMPLE_BITS)
-            hit[at[ties[inverse]] + 1] = 1
-        return np.cumsum(hit, dtype=np.int32)
-
-    def covered(self, marks: np.ndarray, out: np.ndarray, replies: dict[int, dict[int, bytes]], buckets: int) -> np.ndarray:
-        """Which bytes lie in a repeated string."""
+            ties = (counts > 1) | untangle(values, replies.get(seg, {}), BUCKETS, self.bits)
+            found.append(at[ties[inverse]])
+        return np.concatenate([np.zeros(0, np.int64), *found])
+
+    def pieces(self, at: np.ndarray, out: np.ndarray) -> list[Piece]:
+        """The tied samples at these positions as pieces, without texts of which another copy takes part."""
+        doc = np.searchsorted(self.ends, at, "right")
+        at, doc = at[~out[doc]], doc[~out[doc]]
+        if not len(at):
+            return []
+        keys = np.zeros(len(at), np.uint64)
+        for _, lo, hi in self.segments():
+            a, b = np.searchsorted(at, (lo, hi))
+            if a < b:
+                least = sliding_min(hashes()[1].windows(self.data[lo : hi + self.short - 1], GRAM), self.short - GRAM + 1)
+                keys[a:b] = least[at[a:b] - lo]
+        run = np.flatnonzero(np.r_[True, (keys[1:] != keys[:-1]) | (doc[1:] != doc[:-1])])
+        begin = np.repeat(at[run], np.diff(np.r_[run, len(at)]))
+        place = (at - begin) // SPAN
+        first = np.flatnonzero(np.r_[True, (begin[1:] != begin[:-1]) | (place[1:] != place[:-1])])
+        last = np.r_[first[1:], len(at)] - 1
+        lo = np.maximum(self.starts[doc[first]], at[first] - PERIOD + 1)
+        hi = np.minimum(self.ends[doc[first]], at[last] + self.width)
+        phase = (at[first] - self.starts[doc[first]]) % PERIOD
+        return [Piece(*row) for row in zip(lo.tolist(), hi.tolist(), (at[first] - lo).tolist(), (at[last] - lo).tolist(), phase.tolist(), keys[first].tolist())]
+
+    def blobs(self, pieces: list[Piece]) -> dict[int, dict[tuple, list[Piece]]]:
+        """Distinct pieces by bucket, with the places where each is."""
+        found: dict[int, dict[tuple, list[Piece]]] = defaultdict(dict)
+        for p in pieces:
+            same = (self.data[p.lo : p.hi].tobytes(), p.lead, p.tail, p.phase)
+            found[p.key % BUCKETS].setdefault(same, []).append(p)
+        return found
+
+    def confirmed(self, pieces: list[Piece], replies: dict[int, list[bytes]]) -> np.ndarray:
+        """Which bytes lie in a repeated string, by the starts that the buckets found."""
         edge = np.zeros(len(self.data) + 1, np.int32)
-        for seg, lo, hi in self.segments():
-            at, h = self.suffixes(lo, hi, marks, out)
-            values, inverse, counts = np.unique(h, return_inverse=True, return_counts=True)
-            ties = (counts > 1) | untangle(values, replies.get(seg, {}), buckets, 64)
-            found = at[ties[inverse]]
-            edge[found] += 1
-            np.subtract.at(edge, found + self.width, 1)
+        for bucket, distinct in self.blobs(pieces).items():
+            total = sum(len(same[0]) for same in distinct)
+            told = np.zeros(total, bool)
+            for bits in replies.get(bucket, ()):
+                told |= np.unpackbits(np.frombuffer(zstandard.ZstdDecompressor().decompress(bits), np.uint8), count=total).astype(bool)
+            offset = 0
+            for same, places in distinct.items():
+                n = len(same[0])
+                found = np.arange(n - self.width + 1) if len(places) > 1 else np.flatnonzero(told[offset : offset + n])
+                offset += n
+                for p in places:
+                    np.add.at(edge, p.lo + found, 1)
+                    np.subtract.at(edge, p.lo + found + self.width, 1)
         return np.cumsum(edge[:-1]) > 0
 
 
+class Piece(NamedTuple):
+    """Text from lo to hi around the cover samples between lead and tail (counted from lo); phase is the
+    first one's residue, key the least hash that they share."""
+
+    lo: int
+    hi: int
+    lead: int
+    tail: int
+    phase: int
+    key: int
+
+
+def ranked(strings: np.ndarray, valid: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Order of rows of bytes (zeros beyond their valid length, the shorter first in a tie), and how many
+    bytes each shares with the one before it in that order."""
+    order = np.argsort(valid, kind="stable")
+    order = order[np.argsort(np.ascontiguousarray(strings[order]).view(f"S{strings.shape[1]}").ravel(), kind="stable")]
+    rows, length = strings[order], valid[order]
+    differ = rows[1:] != rows[:-1]
+    shared = np.where(differ.any(1), differ.argmax(1), strings.shape[1])
+    return order, np.r_[0, np.minimum(shared, np.minimum(length[1:], length[:-1]))]
+
+
+def repeated_starts(data: np.ndarray, meta: np.ndarray, starts: np.ndarray, width: int) -> np.ndarray:
+    """Positions in ``data`` at which a string of ``width`` bytes begins that begins at another one too.
+    Pieces (length, lead, tail, phase, ...) begin at ``starts``; their samples share a least hash or more."""
+    spans = meta[:, 2] - meta[:, 1] + 1
+    inside = np.arange(spans.sum()) - np.repeat(np.cumsum(spans) - spans, spans)
+    piece = np.repeat(np.arange(len(meta)), spans)
+    picked = COVER[(meta[piece, 3] + inside) % PERIOD]
+    inside, piece = inside[picked], piece[picked]
+    at = starts[piece] + meta[piece, 1] + inside
+    before = np.minimum(PERIOD - 1, at - starts[piece])
+    after = np.minimum(width, starts[piece] + meta[piece, 0] - at)
+    padded = np.concatenate([np.zeros(PERIOD - 1, np.uint8), data, np.zeros(width, np.uint8)])
+    right = np.lib.stride_tricks.sliding_window_view(padded, width)[at + PERIOD - 1]
+    right = np.where(np.arange(width) < after[:, None], right, np.uint8(0))
+    order, shared = ranked(right, after)
+    short = width - PERIOD + 1
+    tie = (shared >= short) | np.r_[shared[1:] >= short, False]
+    shared = np.where(np.r_[False, tie[:-1]], shared, 0)[tie]
+    order = order[tie]
+    if not len(order):
+        return order
+    at, before, after = at[order], before[order], after[order]
+    left = np.lib.stride_tricks.sliding_window_view(padded, PERIOD - 1)[at][:, ::-1]
+    left_order, left_shared = ranked(np.where(np.arange(PERIOD - 1) < before[:, None], left, np.uint8(0)), before)
+    found, name = [], np.zeros(len(at), np.int64)
+    for s in range(PERIOD):
+        name[left_order] = np.cumsum(left_shared < s) if s else 0
+        fits = np.flatnonzero((before >= s) & (after >= width - s))
+        both = np.cumsum(shared < width - s)[fits] * (len(at) + 1) + name[fits]
+        o = np.argsort(both, kind="stable")
+        same = both[o[1:]] == both[o[:-1]]
+        found.append(at[fits[o[np.r_[same, False] | np.r_[False, same]]]] - s)
+    return np.unique(np.concatenate(found))
+
+
+#: Of each piece: length, lead, tail, phase, chunk (-1: no reply wanted), bytes of its blob, place in that, key.
+META = 8
+PIECES_DDL = "bucket int, salt int, n int, blob binary"
+PIECE_ROWS = pa.schema([("bucket", pa.int32()), ("salt", pa.int32()), ("n", pa.int32()), ("blob", pa.binary())])
+SETTLED_DDL = PIECES_DDL + ", chunk long, bits binary"
+
+
+def pack_pieces(meta: np.ndarray, data: bytes) -> bytes:
+    return zstandard.ZstdCompressor(level=3).compress(np.ascontiguousarray(meta.T, np.int64).tobytes() + data)
+
+
+def unpack_pieces(n: int, blob: bytes) -> tuple[np.ndarray, np.ndarray]:
+    whole = zstandard.ZstdDecompressor().decompress(blob)
+    return np.frombuffer(whole[: 8 * META * n], np.int64).reshape(META, n).T, np.frombuffer(whole, np.uint8)[8 * META * n :]
+
+
+def settle(rows: DataFrame, width: int, more: bool) -> DataFrame:
+    """Sort one bucket of pieces at a time.  Rows with bits answer a chunk: a bit for each byte of the blob
+    it sent to the bucket, set where a repeated string begins.  With ``more``, rows with a blob hold the
+    distinct pieces, for a round with those of other chunks."""
+
+    def one(table: pa.Table) -> pa.Table:
+        parts = [unpack_pieces(n, blob) for n, blob in zip(table.column("n").to_pylist(), table.column("blob").to_pylist())]
+        meta, data = np.concatenate([m for m, _ in parts]), np.concatenate([d for _, d in parts])
+        starts = np.cumsum(meta[:, 0]) - meta[:, 0]
+        whole, groups = data.tobytes(), defaultdict(list)
+        for k, (lo, n, *shape) in enumerate(np.c_[starts, meta[:, :4]].tolist()):
+            groups[whole[lo : lo + n], *shape].append(k)
+        hit = np.zeros(len(data), bool)
+        for same in groups.values():
+            if len(same) > 1:
+                for k in same:
+                    hit[starts[k] : starts[k] + meta[k, 0] - width + 1] = True
+        distinct = np.array([same[0] for same in groups.values()], np.int64)
+        distinct = distinct[np.argsort(meta[distinct, 7], kind="stable")]
+        edges = np.flatnonzero(np.r_[True, np.diff(meta[distinct, 7]) != 0, True])
+        weight = np.r_[0, np.cumsum((meta[distinct, 2] - meta[distinct, 1]) // 7 + 1)]  # about its samples
+        lo = 0
+        while lo < len(edges) - 1:
+            hi = max(lo + 1, int(np.searchsorted(weight[edges], weight[edges[lo]] + SORTED, "right")) - 1)
+            some = distinct[edges[lo] : edges[hi]]
+            lo = hi
+            if len(some) > 1 or meta[some[0], 2] > meta[some[0], 1]:
+                local = np.cumsum(meta[some, 0]) - meta[some, 0]
+                text = np.frombuffer(b"".join(whole[starts[k] : starts[k] + meta[k, 0]] for k in some), np.uint8)
+                found = repeated_starts(text, meta[some], local, width)
+                owner = np.searchsorted(local, found, "right") - 1
+                hit[starts[some[owner]] + found - local[owner]] = True
+        masks: dict[int, np.ndarray] = {}
+        for k in np.flatnonzero((meta[:, 4] >= 0) & (np.add.reduceat(hit, starts) > 0)):
+            n, _, _, _, chunk, total, offset, _ = meta[k].tolist()
+            masks.setdefault(chunk, np.zeros(total, bool))[offset : offset + n] = hit[starts[k] : starts[k] + n]
+        bucket = table.column("bucket")[0].as_py()
+        out = [(bucket, 0, 0, None, c, zstandard.ZstdCompressor(level=1).compress(np.packbits(m).tobytes())) for c, m in masks.items()]
+        if more:
+            left = meta[distinct].copy()
+            left[[len(groups[whole[starts[k] : starts[k] + meta[k, 0]], *meta[k, 1:4].tolist()]) > 1 for k in distinct], 4] = -1
+            out.append((bucket, table.column("salt")[0].as_py(), len(left), pack_pieces(left, b"".join(whole[starts[k] : starts[k] + meta[k, 0]] for k in distinct)), None, None))
+        schema = pa.schema([*PIECE_ROWS, ("chunk", pa.int64()), ("bits", pa.binary())])
+        return pa.Table.from_arrays([pa.array([r[i] for r in out], f.type) for i, f in enumerate(schema)], schema=schema)
+
+    return rows.groupBy("bucket", "salt").applyInArrow(one, SETTLED_DDL)
+
+
 def whole_characters(data: np.ndarray, covered: np.ndarray) -> np.ndarray:
     """Cover only characters that are covered with all their bytes."""
     if not len(data):
@@ -226,23 +392,16 @@ def whole_characters(data: np.ndarray, covered: np.ndarray) -> np.ndarray:
     return (np.bincount(char, ~covered) == 0)[char]
 
 
-def _by_segment(rows: list | None) -> dict[int, dict[int, bytes]]:
-    out: dict[int, dict[int, bytes]] = {}
-    for r in rows or ():
-        out.setdefault(r["seg"], {})[r["bucket"]] = r["bits"]
-    return out
-
-
-CHUNKS = pa.schema([("chunk", pa.int64()), ("ids", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int64())), ("prints", pa.list_(pa.binary())), ("carried", pa.list_(pa.string())), ("data", pa.binary())])
-CHUNK_DDL = "chunk long, ids array<long>, lengths array<long>, prints array<binary>, carried array<string>, data binary"
+CHUNKS = pa.schema([("chunk", pa.int64()), ("ids", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int64())), ("prints", pa.list_(pa.binary())), ("data", pa.binary())])
+CHUNK_DDL = "chunk long, ids array<long>, lengths array<long>, prints array<binary>, data binary"
 DEALT = pa.schema([("bucket", pa.int32()), ("chunk", pa.int64()), ("seg", pa.int32()), ("blob", pa.binary())])
 DEALT_DDL = "bucket int, chunk long, seg int, blob binary"
-KEPT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("spans", pa.list_(pa.list_(pa.int64()))), ("kept_sha256", pa.string()), ("kept", pa.string()), ("carried", pa.string())])
-KEPT_DDL = "doc_id long, n_bytes long, n_removed long, spans array<array<long>>, kept_sha256 string, kept string, carried string"
+KEPT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("spans", pa.list_(pa.list_(pa.int64()))), ("kept_sha256", pa.string()), ("kept", pa.string())])
+KEPT_DDL = "doc_id long, n_bytes long, n_removed long, spans array<array<long>>, kept_sha256 string, kept string"
 
 
-def to_chunks(rows: DataFrame) -> DataFrame:
-    """Rows (doc_id, text, carried) to chunks."""
+def to_chunks(rows: DataFrame, chunk_bytes: int = CHUNK) -> DataFrame:
+    """Rows (doc_id, text) to chunks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base, k = TaskContext.get().partitionId() << 20, itertools.count()
@@ -250,28 +409,28 @@ def to_chunks(rows: DataFrame) -> DataFrame:
 
         def close() -> tuple:
             data = zstandard.ZstdCompressor(level=3).compress(b"".join(h[1] for h in held))
-            row = (base + next(k), [h[0] for h in held], [len(h[1]) for h in held], [hashlib.blake2b(h[1], digest_size=16).digest() for h in held], [h[2] for h in held], data)
+            row = (base + next(k), [h[0] for h in held], [len(h[1]) for h in held], [hashlib.blake2b(h[1], digest_size=32).digest() for h in held], data)
             held.clear()
             return row
 
         def chunks():
             size = 0
             for b in batches:
-                for row in zip(b.column("doc_id").to_pylist(), texts(b, "text"), b.column("carried").to_pylist()):
+                for row in zip(b.column("doc_id").to_pylist(), texts(b, "text")):
                     held.append(row)
                     size += len(row[1]) + 64
-                    if size >= CHUNK:
+                    if size >= chunk_bytes:
                         yield close()
                         size = 0
             if held:
                 yield close()
 
-        yield from rows_out(CHUNKS, chunks(), size=lambda r: len(r[5]) + 64 * len(r[1]))
+        yield from rows_out(CHUNKS, chunks(), size=lambda r: len(r[4]) + 64 * len(r[1]))
 
     return rows.mapInArrow(run, CHUNK_DDL)
 
 
-def _on_chunks(df: DataFrame, width: int, schema: pa.Schema, ddl: str, make: Callable) -> DataFrame:
+def _on_chunks(df: DataFrame, width: int, bits: int, schema: pa.Schema, ddl: str, make: Callable) -> DataFrame:
     """mapInArrow over chunks; make gives the rows of one chunk."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -279,46 +438,53 @@ def _on_chunks(df: DataFrame, width: int, schema: pa.Schema, ddl: str, make: Cal
             for b in batches:
                 for i in range(b.num_rows):
                     r = b.slice(i, 1).to_pylist()[0]
-                    yield from make(r, Chunk(r["lengths"], zstandard.ZstdDecompressor().decompress(r["data"]), width))
+                    yield from make(r, Chunk(r["lengths"], zstandard.ZstdDecompressor().decompress(r["data"]), width, bits))
 
         yield from rows_out(schema, rows(), size=lambda r: sum(len(x) for x in r if isinstance(x, (bytes, str, list))))
 
     return df.mapInArrow(run, ddl)
 
 
-def dedup(df: DataFrame, width: int = WIDTH, id_col: str = "doc_id", text_col: str = "text", carried=None, keep_text: bool = False, characters: bool = False) -> DataFrame:
-    """doc_id, n_bytes, n_removed, spans ([start, length] in bytes), kept_sha256, kept, carried.
+def dedup(df: DataFrame, width: int = WIDTH, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = False, characters: bool = False, chunk_bytes: int = CHUNK, fan_in: int = FAN_IN) -> DataFrame:
+    """doc_id, n_bytes, n_removed, spans ([start, length] in bytes), kept_sha256, kept.
 
     ``kept`` is null unless ``keep_text``.  With ``characters`` only characters covered with all their
-    bytes go, so that what is left is text.  ``carried`` is a string column handed through.
+    bytes go, so that what is left is text.
     """
-    if width < PERIOD + 16:
-        raise ValueError(f"width must be at least {PERIOD + 16}")
+    if width < PERIOD + GRAM:
+        raise ValueError(f"width must be at least {PERIOD + GRAM}")
     spark, work = df.sparkSession, Workspace(df.sparkSession, "suffixes")
     bounded_batches(spark)
-    rows = df.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"), (F.lit(None).cast("string") if carried is None else carried).alias("carried"))
+    rows = df.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    fine, coarse = max(4, total // (8 << 20)), max(4, total // (24 << 20))
+    bits = min(63, max(SAMPLE_BITS, total.bit_length() + 10))
     homes = max(total // (24 << 20), int(spark.conf.get("spark.sql.shuffle.partitions")))  # with fewer, joins would deal the texts out again
     name = "libgauge_" + work.root.rpartition("-")[2]
-    to_chunks(rows).repartition(homes, "chunk").write.option("path", work.path("chunks")).option("compression", "uncompressed").bucketBy(homes, "chunk").saveAsTable(name)
-    chunks = spark.table(name)
+    try:
+        to_chunks(rows, chunk_bytes).repartition(homes, "chunk").write.option("path", work.path("chunks")).option("compression", "uncompressed").bucketBy(homes, "chunk").saveAsTable(name)
+        result = work.save(_cut_chunks(spark.table(name), work, width, bits, keep_text, characters, fan_in), "result")
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+    work.keep("result")
+    return result
+
 
+def _cut_chunks(chunks: DataFrame, work: Workspace, width: int, bits: int, keep_text: bool, characters: bool, fan_in: int) -> DataFrame:
     def sampled(r: dict, c: Chunk):
         for seg, lo, hi in c.segments():
-            for bucket, values in deal(np.unique(c.samples(lo, hi)[1]), coarse, SAMPLE_BITS):
+            for bucket, values in deal(np.unique(c.samples(lo, hi)[1]), BUCKETS, bits):
                 yield bucket, r["chunk"], seg, pack_sorted(values)
 
-    ranks = work.save(tied(_on_chunks(chunks.select("chunk", "lengths", "data"), width, DEALT, DEALT_DDL, sampled)), "ranks")
-    by_chunk = lambda t, to: t.groupBy("chunk").agg(F.collect_list(F.struct("seg", "bucket", "bits")).alias(to))
+    ties = work.save(tied(_on_chunks(chunks.select("chunk", "lengths", "data"), width, bits, DEALT, DEALT_DDL, sampled)), "ties")
+    answers = ties.groupBy("chunk").agg(F.collect_list(F.struct("seg", "bucket", "bits")).alias("ties"))
     # Copies inside a chunk are known there: a print comes once from each chunk, however common it is.
     prints = chunks.select("chunk", F.explode(F.array_distinct("prints")).alias("print"))
     owners = prints.groupBy("print").agg(F.min("chunk").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("print", "first")
     copies = prints.join(owners, "print").groupBy("chunk").agg(F.collect_list(F.struct("print", (F.col("first") != F.col("chunk")).alias("again"))).alias("copies"))
-    replies = by_chunk(ranks, "ranks").join(work.save(copies, "copies"), "chunk", "full")
-    told = chunks.join(replies.hint("shuffle_hash"), "chunk", "left")
+    told = chunks.join(answers.join(work.save(copies, "copies"), "chunk", "full").hint("shuffle_hash"), "chunk", "left")
 
-    def state(r: dict, c: Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def state(r: dict, c: Chunk) -> tuple[np.ndarray, list[Piece]]:
+        """Which texts are copied, and the pieces to sort."""
         elsewhere = {bytes(x["print"]): x["again"] for x in r["copies"] or ()}
         count, met = Counter(r["prints"]), set()
         copied, again = np.zeros(len(c.lengths), bool), np.zeros(len(c.lengths), bool)
@@ -326,21 +492,42 @@ def dedup(df: DataFrame, width: int = WIDTH, id_col: str = "doc_id", text_col: s
             copied[place] = count[p] > 1 or p in elsewhere
             again[place] = p in met or elsewhere.get(p, False)
             met.add(p)
-        return c.marks(_by_segment(r["ranks"]), coarse), copied, again
-
-    def open_suffixes(r: dict, c: Chunk):
-        marks, _, again = state(r, c)
-        for seg, lo, hi in c.segments():
-            for bucket, values in deal(np.unique(c.suffixes(lo, hi, marks, again)[1]), fine, 64):
-                yield bucket, r["chunk"], seg, pack_sorted(values)
-
-    found = work.save(tied(_on_chunks(told.select("chunk", "lengths", "prints", "data", "ranks", "copies"), width, DEALT, DEALT_DDL, open_suffixes)), "found")
-    both = told.join(by_chunk(found, "found").hint("shuffle_hash"), "chunk", "left")
+        replies: dict[int, dict[int, bytes]] = {}
+        for x in r["ties"] or ():
+            replies.setdefault(x["seg"], {})[x["bucket"]] = x["bits"]
+        return copied, c.pieces(c.tied(replies), again)
+
+    def sent(r: dict, c: Chunk):
+        for bucket, distinct in c.blobs(state(r, c)[1]).items():
+            total, offset, meta = sum(len(same[0]) for same in distinct), 0, []
+            for (text, *shape), places in distinct.items():
+                # What is there twice in the chunk is known to be repeated; it goes out for the others' sake.
+                meta.append((len(text), *shape, -1 if len(places) > 1 else r["chunk"], total, offset, places[0].key >> 1))
+                offset += len(text)
+            yield bucket, r["chunk"], len(meta), pack_pieces(np.array(meta, np.int64), b"".join(same[0] for same in distinct))
+
+    dealt = _on_chunks(told.select("chunk", "lengths", "prints", "data", "ties", "copies"), width, bits, pa.schema([("bucket", pa.int32()), ("chunk", pa.int64()), ("n", pa.int32()), ("blob", pa.binary())]), "bucket int, chunk long, n int, blob binary", sent)
+    groups = -(-chunks.count() // fan_in)
+    pieces, found = dealt.select("bucket", F.pmod(F.hash("chunk"), F.lit(max(1, groups))).alias("salt"), "n", "blob"), []
+    for turn in itertools.count():
+        done = work.save(settle(pieces, width, groups > 1), f"found_{turn}")
+        found.append(done.filter("bits IS NOT NULL").select("chunk", "bucket", "bits"))
+        if groups <= 1:
+            break
+        groups = -(-groups // fan_in)
+        pieces = done.filter("blob IS NOT NULL").select("bucket", F.pmod("salt", F.lit(groups)).alias("salt"), "n", "blob")
+    replies = found[0]
+    for more in found[1:]:
+        replies = replies.unionByName(more)
+    both = told.join(replies.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "bits")).alias("found")).hint("shuffle_hash"), "chunk", "left")
 
     def cut(r: dict, c: Chunk):
-        marks, copied, again = state(r, c)
-        covered = c.covered(marks, again, _by_segment(r["found"]), fine)
-        for i, (lo, hi, doc_id, carried) in enumerate(zip(c.starts, c.ends, r["ids"], r["carried"])):
+        copied, pieces = state(r, c)
+        answered: dict[int, list[bytes]] = defaultdict(list)
+        for x in r["found"] or ():
+            answered[x["bucket"]].append(x["bits"])
+        covered = c.confirmed(pieces, answered)
+        for i, (lo, hi, doc_id) in enumerate(zip(c.starts, c.ends, r["ids"])):
             data, gone = c.data[lo:hi], covered[lo:hi]
             if copied[i] and hi - lo >= width:
                 gone = np.ones(hi - lo, bool)
@@ -349,24 +536,23 @@ def dedup(df: DataFrame, width: int = WIDTH, id_col: str = "doc_id", text_col: s
             turns = np.flatnonzero(np.diff(np.r_[False, gone, False]))
             kept = data[~gone].tobytes()
             spans = [[int(a), int(b - a)] for a, b in turns.reshape(-1, 2)]
-            yield doc_id, int(hi - lo), int(gone.sum()), spans, hashlib.sha256(kept).hexdigest(), kept.decode() if keep_text and characters else None, carried
+            yield doc_id, int(hi - lo), int(gone.sum()), spans, hashlib.sha256(kept).hexdigest(), kept.decode() if keep_text and characters else None
 
-    result = work.save(_on_chunks(both.select("ids", "lengths", "prints", "carried", "data", "ranks", "copies", "found"), width, KEPT, KEPT_DDL, cut), "result")
-    spark.sql(f"DROP TABLE {name}")
-    work.drop("chunks", "ranks", "copies", "found")
-    return result
+    return _on_chunks(both.select("ids", "lengths", "prints", "data", "ties", "copies", "found"), width, bits, KEPT, KEPT_DDL, cut)
 
 
-def cut_repeats(df: DataFrame, width: int = WIDTH, id_col: str = "doc_id", text_col: str = "text", chars_col: str = "n_chars") -> DataFrame:
+def cut_repeats(df: DataFrame, width: int = WIDTH, text_col: str = "text", chars_col: str = "n_chars") -> DataFrame:
     """The rows of ``df`` without repeated passages in their texts; ``chars_col``, where there is one,
-    is counted anew, and the other columns stay."""
-    other = [c for c in df.columns if c not in (id_col, text_col)]
-    kind = df.select(*(F.col(f"`{c}`") for c in other)).schema
-    found = dedup(df, width, id_col, text_col, F.to_json(F.struct(*(F.col(f"`{c}`") for c in other))) if other else None, keep_text=True, characters=True)
-    back = found.select("doc_id", "kept", *([F.from_json("carried", kind).alias("carried")] if other else []))
-    value = {id_col: F.col("doc_id").cast(df.schema[id_col].dataType), text_col: F.col("kept")} | {c: F.col(f"carried.`{c}`") for c in other}
-    if chars_col in other:
-        value[chars_col] = F.length("kept").cast(df.schema[chars_col].dataType)
+    is counted anew, and the other columns stay as they are, whatever their types and names."""
+    work = Workspace(df.sparkSession, "repeats")
+    row, kept = fresh(df.columns, "row", "kept")
+    numbered = df.withColumn(row, F.monotonically_increasing_id())
+    beside = work.save(numbered.select(row, *(F.col(f"`{c}`") for c in df.columns if c != text_col)), "beside")
+    found = dedup(work.save(numbered.select(F.col(row).alias("doc_id"), F.col(f"`{text_col}`").alias("text")), "texts"), width, keep_text=True, characters=True)
+    back = found.select(F.col("doc_id").alias(row), F.col("kept").alias(kept)).join(beside, row)
+    value = {c: F.col(f"`{c}`") for c in df.columns} | {text_col: F.col(kept)}
+    if chars_col in df.columns:
+        value[chars_col] = F.length(kept).cast(df.schema[chars_col].dataType)
     return back.select(*(value[c].alias(c) for c in df.columns))
 
 

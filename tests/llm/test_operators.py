@@ -136,8 +136,10 @@ def test_suffix_dedup(docs, nothing):
 
 
 def test_suffix_text(docs):
-    left = suffix_dedup.cut_repeats(docs.drop("carried").withColumn("n_chars", F.lit(7).cast("long")))
-    assert left.columns == [*docs.drop("carried").columns, "n_chars"]
+    moment = F.to_timestamp(F.lit("2026-01-02 03:04:05.123456"))
+    left = suffix_dedup.cut_repeats(docs.withColumns({"n_chars": F.lit(7).cast("long"), "at": moment, "by": F.create_map(F.lit(3), F.lit("x")), "kept_": F.lit(1)}))
+    assert left.columns == [*docs.columns, "n_chars", "at", "by", "kept_"]
+    assert left.filter("by[3] = 'x' AND kept = 'clash' AND carried = 'clash'").filter(F.col("at") == moment).count() == docs.count()
     rows = {r.doc_id: r for r in left.collect()}
     assert len(rows) == docs.count() and rows[0].text == "" and rows[0].shard == "clash" and all(len(r.text) == r.n_chars for r in rows.values())
 
