@@ -313,11 +313,13 @@ def repeated_starts(data: np.ndarray, meta: np.ndarray, starts: np.ndarray, widt
     for s in range(PERIOD):
         name[left_order] = np.cumsum(left_shared < s) if s else 0
         fits = np.flatnonzero((before >= s) & (after >= width - s))
+        if not len(fits):
+            continue
         both = np.cumsum(shared < width - s)[fits] * (len(at) + 1) + name[fits]
         o = np.argsort(both, kind="stable")
         same = both[o[1:]] == both[o[:-1]]
         found.append(at[fits[o[np.r_[same, False] | np.r_[False, same]]]] - s)
-    return np.unique(np.concatenate(found))
+    return np.unique(np.concatenate([np.zeros(0, np.int64), *found]))
 
 
 #: Of each piece: length, lead, tail, phase, chunk (-1: no reply wanted), bytes of its blob, place in that, key.
