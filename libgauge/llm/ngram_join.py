@@ -39,7 +39,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .common import Workspace, bounded_batches, fresh, rows_out
-from .suffix_dedup import DEALT, DEALT_DDL, SAMPLE_BITS, Rolling, deal, pack_sorted, tied, to_chunks, unpack_sorted, untangle
+from .suffix_dedup import DEALT, DEALT_DDL, SAMPLE_BITS, Rolling, deal, distinct_sorted, pack_sorted, tied, to_chunks, unpack_sorted, untangle
 
 WORDS, PERCENT = 3, 90
 #: Sets of at most so many shingles are dealt out whole in step 1.
@@ -82,7 +82,7 @@ def shingle_sets(data: np.ndarray, words: int) -> np.ndarray:
     h = np.full(n, size, np.uint64)
     for k in range(size):
         h = mix(h * np.uint64(0x9E3779B97F4A7C15) + word[k : k + n])
-    return np.unique(h)
+    return distinct_sorted(h)
 
 
 def needed(n, percent: int):
@@ -217,7 +217,7 @@ def find_sets(chunks: DataFrame, work: Workspace, total: int, words: int, percen
         def rows():
             for r in _rows(batches):
                 sent = np.concatenate([np.zeros(0, np.uint64), *(asked(shingle_sets(t, words)) for t in _texts(r))])
-                for bucket, values in deal(np.unique(sent), buckets, SAMPLE_BITS):
+                for bucket, values in deal(distinct_sorted(sent), buckets, SAMPLE_BITS):
                     yield bucket, r["chunk"], 0, pack_sorted(values)
 
         yield from rows_out(DEALT, rows(), size=lambda r: len(r[3]))

@@ -22,8 +22,8 @@ width - s bytes of the suffixes that begin there.  Ranks of the sample's suffixe
 3. What is found goes back to the texts as bits over the pieces' bytes.
 
 Memory.  Texts travel as chunks of about CHUNK bytes, saved once in a table bucketed by chunk, so that
-later steps find their replies without moving texts again; arrays are built for SEGMENT positions at a
-time, whatever the length of a text.  Each chunk has a fixed number of buckets, so the rows dealt out
+later steps find their replies without moving texts again; hashes are made for STEP positions and dealt out
+for SEGMENT positions at a time, whatever the length of a text.  Each chunk has a fixed number of buckets, so the rows dealt out
 grow with the input.  Pieces that are equal in a chunk are sent once.  A bucket sorts the pieces of at most
 FAN_IN chunks; with more chunks, pieces left distinct meet in further rounds, so that a passage common to
 all chunks never comes to one task more than FAN_IN times.
@@ -40,7 +40,6 @@ import itertools
 from collections import Counter, defaultdict
 from collections.abc import Callable, Iterator
 from functools import lru_cache
-from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -53,7 +52,7 @@ from .common import Workspace, bounded_batches, fresh, rows_out, texts
 WIDTH = 200
 ORDER = 7
 PERIOD = ORDER * ORDER + ORDER + 1
-CHUNK, SEGMENT = 4 << 20, 1 << 21
+CHUNK, SEGMENT, STEP = 4 << 20, 4 << 20, 1 << 19
 #: Buckets of hashes and of suffixes; chunks whose pieces meet in one task.
 BUCKETS, FAN_IN = 512, 4096
 GRAM = 16
@@ -100,14 +99,18 @@ class Rolling:
                 p[0] = 1
                 setattr(self, name, np.multiply.accumulate(p))
 
-    def windows(self, data: np.ndarray, width: int) -> np.ndarray:
+    def windows(self, data: np.ndarray, width: int, at: np.ndarray | None = None) -> np.ndarray:
+        """Hashes of the windows at these positions (all if None)."""
         n = len(data) - width + 1
         if n <= 0:
             return np.zeros(0, np.uint64)
-        self._powers(SEGMENT + 1024 if len(data) <= SEGMENT + 1024 else len(data))
+        self._powers(STEP + 1024 if len(data) <= STEP + 1024 else len(data))
         sums = np.zeros(len(data) + 1, np.uint64)
         np.cumsum(self.value[data] * self.up[: len(data)], out=sums[1:])
-        h = (sums[width:] - sums[:-width]) * self.down[:n]
+        if at is None:
+            h = (sums[width:] - sums[:-width]) * self.down[:n]
+        else:
+            h = (sums[at + width] - sums[at]) * self.down[at]
         h ^= h >> np.uint64(32)
         h *= np.uint64(0xD6E8FEB86659FD93)
         h ^= h >> np.uint64(29)
@@ -121,6 +124,11 @@ def hashes() -> tuple[Rolling, Rolling]:
     return Rolling(11), Rolling(23)
 
 
+def distinct_sorted(values: np.ndarray) -> np.ndarray:
+    values = np.sort(values)
+    return values[np.r_[True, values[1:] != values[:-1]]] if len(values) else values
+
+
 def pack_sorted(values: np.ndarray) -> bytes:
     """Sorted 64-bit values as differences, byte planes apart, compressed."""
     steps = np.diff(values, prepend=np.uint64(0))
@@ -193,34 +201,50 @@ class Chunk:
         for seg, lo in enumerate(range(0, len(self.data), SEGMENT)):
             yield seg, lo, min(len(self.data), lo + SEGMENT)
 
+    def steps(self, lo: int, hi: int) -> Iterator[tuple[int, int]]:
+        for at in range(lo, hi, STEP):
+            yield at, min(hi, at + STEP)
+
+    def sampled(self, lo: int, hi: int) -> np.ndarray:
+        """Positions of the cover sample from lo to hi, of texts long enough for its strings."""
+        a, b = np.searchsorted(self.ends, lo, "right"), np.searchsorted(self.starts, hi, "left")
+        start, last = self.starts[a:b], self.ends[a:b] - self.short
+        first = np.maximum(0, lo - start) // PERIOD
+        periods = np.maximum(0, (np.minimum(hi - 1, last) - start) // PERIOD + 1 - first)
+        inside = np.arange(periods.sum()) - np.repeat(np.cumsum(periods) - periods, periods)
+        base = np.repeat(start + first * PERIOD, periods) + inside * PERIOD
+        at = (base[:, None] + np.flatnonzero(COVER)).ravel()
+        return at[(at >= lo) & (at < hi) & (at <= np.repeat(np.repeat(last, periods), COVER.sum()))]
+
     def samples(self, lo: int, hi: int) -> tuple[np.ndarray, np.ndarray]:
         """Positions of the cover sample in a segment and their hashes."""
-        at = np.arange(lo, hi)
-        doc = np.searchsorted(self.ends, at, "right")
-        picked = at[COVER[(at - self.starts[doc]) % PERIOD] & (at + self.short <= self.ends[doc])]
-        if not len(picked):
-            return picked, np.zeros(0, np.uint64)
-        h = hashes()[0].windows(self.data[lo : hi + self.short - 1], self.short)
-        return picked, h[picked - lo] >> np.uint64(64 - self.bits)
+        at, found = self.sampled(lo, hi), [np.zeros(0, np.uint64)]
+        for a, b in self.steps(lo, hi):
+            some = at[slice(*np.searchsorted(at, (a, b)))] - a
+            if len(some):
+                found.append(hashes()[0].windows(self.data[a : b + self.short - 1], self.short, some))
+        return at, np.concatenate(found) >> np.uint64(64 - self.bits)
 
     def tied(self, replies: dict[int, dict[int, bytes]]) -> np.ndarray:
         """Positions of the samples that step 1 couldn't tell apart from others."""
-        found = []
+        found = [np.zeros(0, np.int64)]
         for seg, lo, hi in self.segments():
             at, h = self.samples(lo, hi)
             values, inverse, counts = np.unique(h, return_inverse=True, return_counts=True)
             ties = (counts > 1) | untangle(values, replies.get(seg, {}), BUCKETS, self.bits)
             found.append(at[ties[inverse]])
-        return np.concatenate([np.zeros(0, np.int64), *found])
+        return np.concatenate(found)
 
-    def pieces(self, at: np.ndarray, out: np.ndarray) -> list[Piece]:
-        """The tied samples at these positions as pieces, without texts of which another copy takes part."""
+    def pieces(self, at: np.ndarray, out: np.ndarray) -> np.ndarray:
+        """The tied samples at these positions as pieces, without texts of which another copy takes part.
+        Columns: lo and hi in the chunk, lead and tail (first and last sample, from lo), phase (the first
+        one's residue), key (the least hash that they share, halved)."""
         doc = np.searchsorted(self.ends, at, "right")
         at, doc = at[~out[doc]], doc[~out[doc]]
         if not len(at):
-            return []
+            return np.zeros((0, 6), np.int64)
         keys = np.zeros(len(at), np.uint64)
-        for _, lo, hi in self.segments():
+        for lo, hi in self.steps(0, len(self.data)):
             a, b = np.searchsorted(at, (lo, hi))
             if a < b:
                 least = sliding_min(hashes()[1].windows(self.data[lo : hi + self.short - 1], GRAM), self.short - GRAM + 1)
@@ -232,48 +256,34 @@ class Chunk:
         last = np.r_[first[1:], len(at)] - 1
         lo = np.maximum(self.starts[doc[first]], at[first] - PERIOD + 1)
         hi = np.minimum(self.ends[doc[first]], at[last] + self.width)
-        phase = (at[first] - self.starts[doc[first]]) % PERIOD
-        return [Piece(*row) for row in zip(lo.tolist(), hi.tolist(), (at[first] - lo).tolist(), (at[last] - lo).tolist(), phase.tolist(), keys[first].tolist())]
+        return np.c_[lo, hi, at[first] - lo, at[last] - lo, (at[first] - self.starts[doc[first]]) % PERIOD, (keys[first] >> np.uint64(1)).astype(np.int64)]
 
-    def blobs(self, pieces: list[Piece]) -> dict[int, dict[tuple, list[Piece]]]:
+    def blobs(self, pieces: np.ndarray) -> dict[int, dict[tuple, list[int]]]:
         """Distinct pieces by bucket, with the places where each is."""
-        found: dict[int, dict[tuple, list[Piece]]] = defaultdict(dict)
-        for p in pieces:
-            same = (self.data[p.lo : p.hi].tobytes(), p.lead, p.tail, p.phase)
-            found[p.key % BUCKETS].setdefault(same, []).append(p)
+        found: dict[int, dict[tuple, list[int]]] = defaultdict(dict)
+        whole = self.data.tobytes()
+        for lo, hi, lead, tail, phase, key in pieces.tolist():
+            found[key % BUCKETS].setdefault((whole[lo:hi], lead, tail, phase, key), []).append(lo)
         return found
 
-    def confirmed(self, pieces: list[Piece], replies: dict[int, list[bytes]]) -> np.ndarray:
+    def confirmed(self, pieces: np.ndarray, replies: dict[int, list[bytes]]) -> np.ndarray:
         """Which bytes lie in a repeated string, by the starts that the buckets found."""
-        edge = np.zeros(len(self.data) + 1, np.int32)
+        found = [np.zeros(0, np.int64)]
         for bucket, distinct in self.blobs(pieces).items():
-            total = sum(len(same[0]) for same in distinct)
-            told = np.zeros(total, bool)
+            ends = np.cumsum([len(same[0]) for same in distinct])
+            first = np.array([places[0] for places in distinct.values()])
+            told = np.zeros(ends[-1], bool)
             for bits in replies.get(bucket, ()):
-                told |= np.unpackbits(np.frombuffer(zstandard.ZstdDecompressor().decompress(bits), np.uint8), count=total).astype(bool)
-            offset = 0
-            for same, places in distinct.items():
-                n = len(same[0])
-                found = np.arange(n - self.width + 1) if len(places) > 1 else np.flatnonzero(told[offset : offset + n])
-                offset += n
-                for p in places:
-                    np.add.at(edge, p.lo + found, 1)
-                    np.subtract.at(edge, p.lo + found + self.width, 1)
+                told |= np.unpackbits(np.frombuffer(zstandard.ZstdDecompressor().decompress(bits), np.uint8), count=len(told)).astype(bool)
+            at = np.flatnonzero(told)
+            owner = np.searchsorted(ends, at, "right")
+            found.append(first[owner] + at - np.r_[0, ends][owner])
+            found += [lo + np.arange(len(same[0]) - self.width + 1) for same, places in distinct.items() if len(places) > 1 for lo in places]
+        n, at = len(self.data) + 1, np.concatenate(found)
+        edge = np.bincount(at, minlength=n) - np.bincount(at + self.width, minlength=n)
         return np.cumsum(edge[:-1]) > 0
 
 
-class Piece(NamedTuple):
-    """Text from lo to hi around the cover samples between lead and tail (counted from lo); phase is the
-    first one's residue, key the least hash that they share."""
-
-    lo: int
-    hi: int
-    lead: int
-    tail: int
-    phase: int
-    key: int
-
-
 def ranked(strings: np.ndarray, valid: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Order of rows of bytes (zeros beyond their valid length, the shorter first in a tie), and how many
     bytes each shares with the one before it in that order."""
@@ -319,13 +329,14 @@ def repeated_starts(data: np.ndarray, meta: np.ndarray, starts: np.ndarray, widt
         o = np.argsort(both, kind="stable")
         same = both[o[1:]] == both[o[:-1]]
         found.append(at[fits[o[np.r_[same, False] | np.r_[False, same]]]] - s)
-    return np.unique(np.concatenate([np.zeros(0, np.int64), *found]))
+    return distinct_sorted(np.concatenate([np.zeros(0, np.int64), *found]))
 
 
 #: Of each piece: length, lead, tail, phase, chunk (-1: no reply wanted), bytes of its blob, place in that, key.
 META = 8
 PIECES_DDL = "bucket int, salt int, n int, blob binary"
 PIECE_ROWS = pa.schema([("bucket", pa.int32()), ("salt", pa.int32()), ("n", pa.int32()), ("blob", pa.binary())])
+SENT = pa.schema([("bucket", pa.int32()), ("chunk", pa.int64()), ("n", pa.int32()), ("blob", pa.binary())])
 SETTLED_DDL = PIECES_DDL + ", chunk long, bits binary"
 
 
@@ -474,19 +485,18 @@ def dedup(df: DataFrame, width: int = WIDTH, id_col: str = "doc_id", text_col: s
 def _cut_chunks(chunks: DataFrame, work: Workspace, width: int, bits: int, keep_text: bool, characters: bool, fan_in: int) -> DataFrame:
     def sampled(r: dict, c: Chunk):
         for seg, lo, hi in c.segments():
-            for bucket, values in deal(np.unique(c.samples(lo, hi)[1]), BUCKETS, bits):
+            for bucket, values in deal(distinct_sorted(c.samples(lo, hi)[1]), BUCKETS, bits):
                 yield bucket, r["chunk"], seg, pack_sorted(values)
 
     ties = work.save(tied(_on_chunks(chunks.select("chunk", "lengths", "data"), width, bits, DEALT, DEALT_DDL, sampled)), "ties")
-    answers = ties.groupBy("chunk").agg(F.collect_list(F.struct("seg", "bucket", "bits")).alias("ties"))
+    replied = ties.groupBy("chunk").agg(F.collect_list(F.struct("seg", "bucket", "bits")).alias("ties"))
     # Copies inside a chunk are known there: a print comes once from each chunk, however common it is.
     prints = chunks.select("chunk", F.explode(F.array_distinct("prints")).alias("print"))
     owners = prints.groupBy("print").agg(F.min("chunk").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("print", "first")
     copies = prints.join(owners, "print").groupBy("chunk").agg(F.collect_list(F.struct("print", (F.col("first") != F.col("chunk")).alias("again"))).alias("copies"))
-    told = chunks.join(answers.join(work.save(copies, "copies"), "chunk", "full").hint("shuffle_hash"), "chunk", "left")
+    told = chunks.join(replied.join(work.save(copies, "copies"), "chunk", "full").hint("shuffle_hash"), "chunk", "left")
 
-    def state(r: dict, c: Chunk) -> tuple[np.ndarray, list[Piece]]:
-        """Which texts are copied, and the pieces to sort."""
+    def sent(r: dict, c: Chunk):
         elsewhere = {bytes(x["print"]): x["again"] for x in r["copies"] or ()}
         count, met = Counter(r["prints"]), set()
         copied, again = np.zeros(len(c.lengths), bool), np.zeros(len(c.lengths), bool)
@@ -497,20 +507,20 @@ def _cut_chunks(chunks: DataFrame, work: Workspace, width: int, bits: int, keep_
         replies: dict[int, dict[int, bytes]] = {}
         for x in r["ties"] or ():
             replies.setdefault(x["seg"], {})[x["bucket"]] = x["bits"]
-        return copied, c.pieces(c.tied(replies), again)
-
-    def sent(r: dict, c: Chunk):
-        for bucket, distinct in c.blobs(state(r, c)[1]).items():
+        pieces = c.pieces(c.tied(replies), again)
+        yield -1, r["chunk"], len(pieces), zstandard.ZstdCompressor(level=1).compress(np.packbits(copied).tobytes().ljust(len(copied), b"\0") + np.ascontiguousarray(pieces.T).tobytes())
+        for bucket, distinct in c.blobs(pieces).items():
             total, offset, meta = sum(len(same[0]) for same in distinct), 0, []
-            for (text, *shape), places in distinct.items():
+            for (text, *shape, key), places in distinct.items():
                 # What is there twice in the chunk is known to be repeated; it goes out for the others' sake.
-                meta.append((len(text), *shape, -1 if len(places) > 1 else r["chunk"], total, offset, places[0].key >> 1))
+                meta.append((len(text), *shape, -1 if len(places) > 1 else r["chunk"], total, offset, key))
                 offset += len(text)
             yield bucket, r["chunk"], len(meta), pack_pieces(np.array(meta, np.int64), b"".join(same[0] for same in distinct))
 
-    dealt = _on_chunks(told.select("chunk", "lengths", "prints", "data", "ties", "copies"), width, bits, pa.schema([("bucket", pa.int32()), ("chunk", pa.int64()), ("n", pa.int32()), ("blob", pa.binary())]), "bucket int, chunk long, n int, blob binary", sent)
+    dealt = work.save(_on_chunks(told.select("chunk", "lengths", "prints", "data", "ties", "copies"), width, bits, SENT, "bucket int, chunk long, n int, blob binary", sent), "pieces")
+    layout = dealt.filter("bucket < 0").select("chunk", F.col("n").alias("n_pieces"), F.col("blob").alias("layout"))
     groups = -(-chunks.count() // fan_in)
-    pieces, found = dealt.select("bucket", F.pmod(F.hash("chunk"), F.lit(max(1, groups))).alias("salt"), "n", "blob"), []
+    pieces, found = dealt.filter("bucket >= 0").select("bucket", F.pmod(F.hash("chunk"), F.lit(max(1, groups))).alias("salt"), "n", "blob"), []
     for turn in itertools.count():
         done = work.save(settle(pieces, width, groups > 1), f"found_{turn}")
         found.append(done.filter("bits IS NOT NULL").select("chunk", "bucket", "bits"))
@@ -521,14 +531,16 @@ def _cut_chunks(chunks: DataFrame, work: Workspace, width: int, bits: int, keep_
     replies = found[0]
     for more in found[1:]:
         replies = replies.unionByName(more)
-    both = told.join(replies.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "bits")).alias("found")).hint("shuffle_hash"), "chunk", "left")
+    answered = replies.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "bits")).alias("found"))
+    both = chunks.join(layout.join(answered, "chunk", "left").hint("shuffle_hash"), "chunk", "left")
 
     def cut(r: dict, c: Chunk):
-        copied, pieces = state(r, c)
-        answered: dict[int, list[bytes]] = defaultdict(list)
+        n, held = len(c.lengths), zstandard.ZstdDecompressor().decompress(r["layout"])
+        copied = np.unpackbits(np.frombuffer(held[:n], np.uint8), count=n).astype(bool)
+        answers: dict[int, list[bytes]] = defaultdict(list)
         for x in r["found"] or ():
-            answered[x["bucket"]].append(x["bits"])
-        covered = c.confirmed(pieces, answered)
+            answers[x["bucket"]].append(x["bits"])
+        covered = c.confirmed(np.frombuffer(held[n:], np.int64).reshape(6, r["n_pieces"]).T, answers)
         for i, (lo, hi, doc_id) in enumerate(zip(c.starts, c.ends, r["ids"])):
             data, gone = c.data[lo:hi], covered[lo:hi]
             if copied[i] and hi - lo >= width:
@@ -540,7 +552,7 @@ def _cut_chunks(chunks: DataFrame, work: Workspace, width: int, bits: int, keep_
             spans = [[int(a), int(b - a)] for a, b in turns.reshape(-1, 2)]
             yield doc_id, int(hi - lo), int(gone.sum()), spans, hashlib.sha256(kept).hexdigest(), kept.decode() if keep_text and characters else None
 
-    return _on_chunks(both.select("ids", "lengths", "prints", "data", "ties", "copies", "found"), width, bits, KEPT, KEPT_DDL, cut)
+    return _on_chunks(both.select("ids", "lengths", "data", "n_pieces", "layout", "found"), width, bits, KEPT, KEPT_DDL, cut)
 
 
 def cut_repeats(df: DataFrame, width: int = WIDTH, text_col: str = "text", chars_col: str = "n_chars") -> DataFrame:
