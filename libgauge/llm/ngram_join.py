@@ -10,15 +10,16 @@ step, and no step drops a pair it can't exclude:
 1. Which shingles are alone.  Hashes below a share of the hash range (all of them in small sets) are
    sorted, one bucket at a time.  A set with more than |a| - T(a) shingles that nobody else has
    links with nothing and leaves.
-2. T-occurrence search.  What remains is dealt by its least hash; equal sets count once.  In each deal
-   an inverted index of up to BLOCK sets and the last CARRIED roots of earlier blocks answers for each
-   set which earlier ones of these reach T, by DivideSkip: short lists are merged and counted, long
-   lists are probed by binary search for those that may still reach T.
-3. The rest.  Sets that link but were not searched together (another least hash, or an earlier block)
-   share one of their |a| - T(a) + 1 least hashes.  Those lists that hold more than one component so far are compared once more: the pairs
-   that their sizes and the parity of their hashes (a lower bound of the symmetric difference) don't
-   exclude are counted exactly; first a spanning forest of them, then all that still join different
-   components.
+2. T-occurrence search.  What remains is dealt by its least hash, at most DEAL sets to a task of one
+   hash; equal sets count once.  Each deal's sets are searched in blocks of BLOCK against inverted indexes
+   of the deal's earlier blocks and their own, by DivideSkip: the short inverted lists are merged,
+   the long ones probed by binary search for those sets that may still reach T.
+3. Links across deals.  Sets that link share one of their |a| - T(a) + 1 least hashes.  The lists of those
+   hashes that hold more than one component so far are compared: pairs that their sizes and the parity
+   of their hashes (a lower bound of the symmetric difference, from sketches as wide as large sets
+   need) don't exclude are counted exactly; first a spanning forest of them, then all that still join
+   different components.  Only sets outside a list's largest component are compared with the rest; a
+   long list is split into blocks over many tasks.
 4. Components by label propagation over tables in the shared folder.
 
 Hashes have 64 bits (40 in step 1, where a false tie only delays a set).
@@ -39,16 +40,18 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .common import Workspace, bounded_batches, fresh, rows_out
-from .suffix_dedup import DEALT, DEALT_DDL, SAMPLE_BITS, Rolling, deal, distinct_sorted, pack_sorted, tied, to_chunks, unpack_sorted, untangle
+from .suffix_dedup import BUCKETS, DEALT, DEALT_DDL, SAMPLE_BITS, Rolling, deal, distinct_sorted, pack_sorted, tied, to_chunks, unpack_sorted, untangle
 
 WORDS, PERCENT = 3, 90
 #: Sets of at most so many shingles are dealt out whole in step 1.
 SMALL_SET = 64
-#: So many sets are indexed at a time in step 2; so many roots of earlier ones stay in the index.
-BLOCK, CARRIED = 1024, 64
+#: So many sets are indexed at a time in step 2; a task gets so many of one least hash.
+BLOCK, DEAL = 1024, 4096
+#: Lists of step 3 with more members than this are split into blocks.
+LIST = 2048
 SKETCH_BITS = 1024
-#: Bits of the second, wider sketch, which pairs meet before their sets do.
-WIDE_BITS = 1 << 13
+#: Bits of the second sketch of sets with more than WIDE_SET shingles.
+WIDE_BITS, WIDE_SET = 1 << 13, 256
 #: Tables of at most so many rows (of 8 or 16 bytes) are broadcast; larger ones are shuffled.
 BROADCAST_ROWS = 200_000
 SPACE = np.zeros(256, bool)
@@ -160,9 +163,11 @@ class DivideSkip:
         if not sizes.sum():
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
         within = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-        counts = np.bincount(self.lists[np.repeat(self.starts[short], sizes) + within], minlength=len(self.sizes))[:upto]
-        found = np.flatnonzero(counts >= max(1, least - len(long)))
-        total = counts[found]
+        merged = np.sort(self.lists[np.repeat(self.starts[short], sizes) + within], kind="stable")  # merges ascending runs
+        edge = np.flatnonzero(np.r_[True, merged[1:] != merged[:-1], True])
+        found, total = merged[edge[:-1]], np.diff(edge)
+        fits = (total >= max(1, least - len(long))) & (found < upto)
+        found, total = found[fits], total[fits]
         for k, t in enumerate(long):
             if not len(found):
                 break
@@ -174,22 +179,28 @@ class DivideSkip:
         return found, total
 
 
-def link_block(nodes: list[int], sets: list[np.ndarray], first_new: int, roots: Roots, percent: int) -> None:
-    """Join the sets from ``first_new`` on with all before them that they link with."""
-    if len(sets) < 2:
-        return
-    index = DivideSkip(sets)
-    for q in range(max(1, first_new), len(sets)):
-        n = len(sets[q])
-        for c, common in zip(*index.search(sets[q], int(needed(n, percent)), q)):
-            if links(int(common), n, len(sets[c]), percent):
-                roots.join(nodes[q], nodes[c])
+class Deal:
+    """The sets of one least hash, searched block by block against all that came before."""
+
+    def __init__(self, percent: int):
+        self.percent, self.roots = percent, Roots()
+        self.blocks: list[tuple[list[int], DivideSkip]] = []
+
+    def link(self, nodes: list[int], sets: list[np.ndarray]) -> None:
+        own = DivideSkip(sets)
+        for q, s in enumerate(sets):
+            least = int(needed(len(s), self.percent))
+            for members, index in [*self.blocks, (nodes, own)]:
+                for c, common in zip(*index.search(s, least, q if index is own else len(members))):
+                    if links(int(common), len(s), int(index.sizes[c]), self.percent):
+                        self.roots.join(nodes[q], members[c])
+        self.blocks.append((nodes, own))
 
 
 SETS = pa.schema([("node", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int64()), ("key", pa.int64()), ("print", pa.binary()), ("shingles", pa.binary())])
 SETS_DDL = "node long, doc_id long, n long, key long, print binary, shingles binary"
-FIRST = pa.schema([("node", pa.int64()), ("print", pa.binary()), ("root", pa.int64()), ("n", pa.int64()), ("sketch", pa.binary()), ("prefix", pa.list_(pa.int64()))])
-FIRST_DDL = "node long, print binary, root long, n long, sketch binary, prefix array<long>"
+FIRST = pa.schema([("node", pa.int64()), ("print", pa.binary()), ("root", pa.int64()), ("n", pa.int64()), ("sketch", pa.binary()), ("wide", pa.binary()), ("prefix", pa.list_(pa.int64()))])
+FIRST_DDL = "node long, print binary, root long, n long, sketch binary, wide binary, prefix array<long>"
 PAIR = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
@@ -206,9 +217,8 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
             yield b.slice(i, 1).to_pylist()[0]
 
 
-def find_sets(chunks: DataFrame, work: Workspace, total: int, words: int, percent: int) -> DataFrame:
+def find_sets(chunks: DataFrame, work: Workspace, words: int, percent: int) -> DataFrame:
     """All documents with their set's size; those that may link also with their hashes."""
-    buckets = max(4, total // (16 << 20))
 
     def asked(values: np.ndarray) -> np.ndarray:
         return below(values, share(percent * len(values) // 100, percent)) >> np.uint64(64 - SAMPLE_BITS)
@@ -217,7 +227,7 @@ def find_sets(chunks: DataFrame, work: Workspace, total: int, words: int, percen
         def rows():
             for r in _rows(batches):
                 sent = np.concatenate([np.zeros(0, np.uint64), *(asked(shingle_sets(t, words)) for t in _texts(r))])
-                for bucket, values in deal(distinct_sorted(sent), buckets, SAMPLE_BITS):
+                for bucket, values in deal(distinct_sorted(sent), BUCKETS, SAMPLE_BITS):
                     yield bucket, r["chunk"], 0, pack_sorted(values)
 
         yield from rows_out(DEALT, rows(), size=lambda r: len(r[3]))
@@ -230,7 +240,7 @@ def find_sets(chunks: DataFrame, work: Workspace, total: int, words: int, percen
             for r in _rows(batches):
                 sets = [shingle_sets(t, words) for t in _texts(r)]
                 values, counts = np.unique(np.concatenate([np.zeros(0, np.uint64), *map(asked, sets)]), return_counts=True)
-                values = values[(counts > 1) | untangle(values, {x["bucket"]: x["bits"] for x in r["bits"] or ()}, buckets, SAMPLE_BITS)]
+                values = values[(counts > 1) | untangle(values, {x["bucket"]: x["bits"] for x in r["bits"] or ()}, BUCKETS, SAMPLE_BITS)]
                 values = np.append(values, np.uint64(1 << 63))  # above all hashes, so that every search ends inside
                 shared = lambda own: int((values[np.searchsorted(values, own)] == own).sum())  # noqa: E731, B023
                 seen = set()
@@ -249,70 +259,81 @@ def find_sets(chunks: DataFrame, work: Workspace, total: int, words: int, percen
     return work.save(told.mapInArrow(kept, SETS_DDL), "sets")
 
 
-def first_links(sets: DataFrame, percent: int, tasks: int) -> DataFrame:
+def first_links(sets: DataFrame, percent: int, tasks: int, deal: int = DEAL) -> DataFrame:
     """Step 2: distinct sets with the root that the search inside their deal gives them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def finish(block: list[tuple], roots: Roots):
-            for node, mark, s in block:
-                n = len(s)
-                yield node, mark, roots.find(node), n, parity(s), s[: n - needed(n, percent) + 1].view(np.int64).tolist()
-
         def rows():
-            key, last, carried, block, roots = None, None, [], [], Roots()
-
-            def link():
-                whole = carried + block
-                link_block([x[0] for x in whole], [x[2] for x in whole], len(carried), roots, percent)
-                done = list(finish(block, roots))
-                heads = [x for x in whole if roots.find(x[0]) == x[0]]
-                carried[:] = heads[-CARRIED:]
-                block.clear()
+            key, last, now = None, None, Deal(percent)
+            nodes, sets, prints, held = [], [], [], []
+
+            def search():
+                if sets:
+                    now.link(list(nodes), list(sets))
+                    for node, mark, s in zip(nodes, prints, sets):
+                        n = len(s)
+                        held.append((node, mark, n, parity(s), parity(s, WIDE_BITS) if n > WIDE_SET else None, s[: n - needed(n, percent) + 1].view(np.int64).tolist()))
+                for x in (nodes, sets, prints):
+                    x.clear()
+
+            def finish():
+                search()
+                done = [(node, mark, now.roots.find(node), *rest) for node, mark, *rest in held]
+                held.clear()
                 return done
 
             for r in _rows(batches):
-                if r["key"] != key:
-                    yield from link()
-                    key, last, roots = r["key"], None, Roots()
-                    carried.clear()
+                if (r["key"], r["part"]) != key:
+                    yield from finish()
+                    key, last, now = (r["key"], r["part"]), None, Deal(percent)
                 if r["print"] == last:
                     continue
                 last = r["print"]
-                block.append((r["node"], last, unpack_sorted(r["shingles"])))
-                if len(block) >= BLOCK:
-                    yield from link()
-            yield from link()
+                nodes.append(r["node"])
+                prints.append(last)
+                sets.append(unpack_sorted(r["shingles"]))
+                if len(sets) >= BLOCK:
+                    search()
+            yield from finish()
 
-        yield from rows_out(FIRST, rows(), size=lambda r: 150 + 9 * len(r[5]))
+        yield from rows_out(FIRST, rows(), size=lambda r: 1200 + 9 * len(r[6]))
 
     whole = sets.filter(F.col("shingles").isNotNull()).select("node", "key", "print", "shingles")
-    return whole.repartition(tasks, "key").sortWithinPartitions("key", "print", "node").mapInArrow(run, FIRST_DDL)
+    crowded = whole.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter(F.col("size") > deal).select("key", F.ceil(F.col("size") / deal).alias("parts"))
+    dealt = whole.join(crowded, "key", "left").withColumn("part", F.pmod(F.xxhash64("print"), F.coalesce("parts", F.lit(1))))
+    return dealt.select("node", "key", "part", "print", "shingles").repartition(tasks, "key", "part").sortWithinPartitions("key", "part", "print", "node").mapInArrow(run, FIRST_DDL)
 
 
 def open_pairs(lists: DataFrame, percent: int, forest: bool) -> DataFrame:
     """Step 3: pairs of sets of different components that share a least hash and may link.
 
-    ``lists`` has (token, node, root, n, sketch).  With ``forest`` only pairs come out that join
-    components of the list not joined by an earlier one.
+    ``lists`` has (token, block, major, home, node, root, n, sketch, wide).  Members outside the list's largest
+    component (not major) are compared with its members in each block, and with each other in their home
+    block.  With ``forest`` only pairs come out that join components not joined by an earlier pair.
     """
 
     def compare(group: list[tuple]) -> Iterator[tuple]:
         node, root, n = (np.array([g[k] for g in group], np.int64) for k in (0, 1, 2))
-        sketch = np.frombuffer(b"".join(g[3] for g in group), np.uint64).reshape(len(group), -1)
+        major, home = (np.array([g[k] for g in group], bool) for k in (3, 4))
+        sketch = np.frombuffer(b"".join(g[5] for g in group), np.uint64).reshape(len(group), -1)
+        wide = [None if g[6] is None else np.frombuffer(g[6], np.uint64) for g in group]
         roots = Roots()
-        for lo in range(0, len(group)):
-            hi = int(np.searchsorted(n, n[lo] * 100 // percent, "right"))  # sorted by size
-            if hi <= lo + 1:
-                continue
-            far = np.bitwise_count(sketch[lo + 1 : hi] ^ sketch[lo]).sum(1, dtype=np.int64)
-            near = np.flatnonzero(within(far, n[lo + 1 : hi] + n[lo], percent) & (root[lo + 1 : hi] != root[lo]))
-            for k in near[np.argsort(far[near], kind="stable")] + lo + 1:
-                if not forest or roots.join(int(root[lo]), int(root[k])):
-                    yield (int(min(node[lo], node[k])), int(max(node[lo], node[k])))
+        for k in np.flatnonzero(~major):
+            # the least size that may link, and the greatest; groups are sorted by size
+            lo, hi = np.searchsorted(n, -(-n[k] * percent // 100), "left"), np.searchsorted(n, n[k] * 100 // percent, "right")
+            far = np.bitwise_count(sketch[lo:hi] ^ sketch[k]).sum(1, dtype=np.int64)
+            other = root[lo:hi] != root[k]
+            other &= major[lo:hi] | home[k]
+            near = np.flatnonzero(within(far, n[lo:hi] + n[k], percent) & other)
+            for x in near[np.argsort(far[near], kind="stable")] + lo:
+                if wide[k] is not None and wide[x] is not None and not within(int(np.bitwise_count(wide[k] ^ wide[x]).sum(dtype=np.int64)), int(n[k] + n[x]), percent):
+                    continue
+                if not forest or roots.join(int(root[k]), int(root[x])):
+                    yield (int(min(node[k], node[x])), int(max(node[k], node[x])))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows():
-            token, group, seen = None, [], set()
+            key, group, seen = None, [], set()
 
             def close():
                 if len(group) > 1 and len({g[1] for g in group}) > 1:
@@ -325,16 +346,19 @@ def open_pairs(lists: DataFrame, percent: int, forest: bool) -> DataFrame:
                 group.clear()
 
             for b in batches:
-                for t, *row in zip(*(b.column(c).to_pylist() for c in ("token", "node", "root", "n", "sketch"))):
-                    if t != token:
+                for t, block, *row in zip(*(b.column(c).to_pylist() for c in LISTS)):
+                    if (t, block) != key:
                         yield from close()
-                        token = t
+                        key = (t, block)
                     group.append(tuple(row))
             yield from close()
 
         yield from rows_out(PAIR, rows())
 
-    return lists.select("token", "node", "root", "n", "sketch").repartition("token").sortWithinPartitions("token", "n", "node").mapInArrow(run, "a long, b long").distinct()
+    return lists.select(*LISTS).repartition("token", "block").sortWithinPartitions("token", "block", "n", "node").mapInArrow(run, "a long, b long").distinct()
+
+
+LISTS = ("token", "block", "node", "root", "n", "major", "home", "sketch", "wide")
 
 
 def checked(small: DataFrame, rows: int) -> DataFrame:
@@ -350,21 +374,10 @@ def _beside(pairs: DataFrame, table: DataFrame, *columns: str) -> DataFrame:
 
 
 def count_pairs(pairs: DataFrame, sets: DataFrame, work: Workspace, name: str, percent: int) -> DataFrame:
-    """The pairs that link, by their exact intersection.  Pairs that wide sketches exclude go before sets
-    are moved."""
+    """The pairs that link, by their exact intersection."""
     n = pairs.count()
     wanted = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-    used = work.save(sets.filter(F.col("shingles").isNotNull()).select("node", "n", "shingles").join(checked(wanted, 2 * n), "node", "left_semi"), f"{name}_sets")
-
-    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column("node"), b.column("n"), pa.array([parity(unpack_sorted(x), WIDE_BITS) for x in b.column("shingles").to_pylist()], pa.binary())], names=["node", "n", "wide"])
-
-    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint64).reshape(b.num_rows, -1) for c in ("widea", "wideb"))
-            sizes = b.column("na").to_numpy() + b.column("nb").to_numpy()
-            yield b.select(["a", "b"]).filter(pa.array(within(np.bitwise_count(x ^ y).sum(1, dtype=np.int64), sizes, percent)))
+    used = work.save(sets.filter(F.col("shingles").isNotNull()).select("node", "shingles").join(checked(wanted, 2 * n), "node", "left_semi"), f"{name}_sets")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -374,9 +387,7 @@ def count_pairs(pairs: DataFrame, sets: DataFrame, work: Workspace, name: str, p
                 keep.append(links(len(np.intersect1d(x, y, assume_unique=True)), len(x), len(y), percent))
             yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    wide = used.mapInArrow(sketch, "node long, n long, wide binary")
-    left = work.save(_beside(pairs, wide, "n", "wide").select("a", "b", "na", "nb", "widea", "wideb").mapInArrow(near, "a long, b long"), f"{name}_near")
-    return work.save(_beside(left, used, "shingles").select("a", "b", "shinglesa", "shinglesb").mapInArrow(count, "a long, b long"), name)
+    return work.save(_beside(pairs, used, "shingles").select("a", "b", "shinglesa", "shinglesb").mapInArrow(count, "a long, b long"), name)
 
 
 def components(edges: DataFrame, work: Workspace, name: str) -> DataFrame:
@@ -402,15 +413,20 @@ def relabel(first: DataFrame, edges: DataFrame, work: Workspace, name: str) -> D
     """New roots after edges between sets."""
     ends = edges.join(first.select(F.col("node").alias("a"), F.col("root").alias("ra")), "a").join(first.select(F.col("node").alias("b"), F.col("root").alias("rb")), "b")
     moved = components(ends.filter("ra != rb").select(F.col("ra").alias("a"), F.col("rb").alias("b")), work, name)
-    return work.save(first.join(moved.select(F.col("node").alias("root"), "label"), "root", "left").select("node", "print", F.coalesce("label", "root").alias("root"), "n", "sketch", "prefix"), f"{name}_first")
+    return work.save(first.join(moved.select(F.col("node").alias("root"), "label"), "root", "left").select("node", "print", F.coalesce("label", "root").alias("root"), "n", "sketch", "wide", "prefix"), f"{name}_first")
 
 
-def mixed_lists(first: DataFrame) -> DataFrame:
-    """The lists of step 3 that hold more than one component."""
-    lists = first.select("node", F.explode("prefix").alias("token"))
-    slim = first.select("root", F.explode("prefix").alias("token"))
-    mixed = slim.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("token")
-    return lists.join(mixed, "token").join(first.select("node", "root", "n", "sketch"), "node")
+def mixed_lists(first: DataFrame, longest: int = LIST) -> DataFrame:
+    """The lists of step 3 that hold more than one component, with the blocks in which members are compared:
+    one of them for a member of the largest component, all of them for the others."""
+    lists = first.select("node", "root", F.explode("prefix").alias("token"))
+    parts = lists.groupBy("token", "root").agg(F.count(F.lit(1)).alias("size"))
+    mixed = parts.groupBy("token").agg(F.sum("size").alias("size"), F.max(F.struct("size", "root")).alias("most"), F.count(F.lit(1)).alias("roots")).filter("roots > 1")
+    mixed = mixed.select("token", F.col("most.root").alias("most"), F.ceil(F.col("size") / longest).alias("blocks"))
+    own = F.pmod(F.xxhash64("node"), F.col("blocks"))
+    placed = lists.join(mixed, "token").withColumn("major", F.col("root") == F.col("most")).withColumn("own", own)
+    spread = placed.withColumn("block", F.explode(F.when(F.col("major") | (F.col("blocks") == 1), F.array("own")).otherwise(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))))
+    return spread.select("token", "block", "node", "root", "major", (F.col("block") == F.col("own")).alias("home")).join(first.select("node", "n", "sketch", "wide"), "node")
 
 
 def join(df: DataFrame, words: int = WORDS, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -420,7 +436,7 @@ def join(df: DataFrame, words: int = WORDS, percent: int = PERCENT, id_col: str
     rows = df.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     chunks = work.save(to_chunks(rows).select("chunk", "ids", "lengths", "data"), "chunks")
     total = df.agg(F.sum(F.octet_length(F.col(f"`{text_col}`").cast("string")))).first()[0] or 0
-    sets = find_sets(chunks, work, total, words, percent)
+    sets = find_sets(chunks, work, words, percent)
     work.drop("chunks", "shared")
     first = work.save(first_links(sets, percent, max(4, total // (24 << 20))), "first")
     for name, forest in (("forest", True), ("rest", False)):
@@ -428,9 +444,15 @@ def join(df: DataFrame, words: int = WORDS, percent: int = PERCENT, id_col: str
         first = relabel(first, count_pairs(pairs, sets, work, name, percent), work, f"{name}_labels")
     # Sets that step 1 settled have no print: they stay out of the join, where they would all meet in one task.
     alone = sets.filter("print IS NULL").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.least("n", F.lit(1)).cast("long").alias("n_sets"))
-    placed = sets.filter("print IS NOT NULL").select("doc_id", "n", "print").join(first.select("print", "root"), "print")
-    summed = placed.groupBy("root").agg(F.min("doc_id").alias("component_id"), F.count_distinct("print").alias("n_sets"))
-    result = work.save(placed.join(summed, "root").select("doc_id", F.col("n").alias("n_shingles"), "component_id", "n_sets").unionByName(alone), "result")
+    placed = sets.filter("print IS NOT NULL").select("doc_id", "n", "print", F.shiftright("node", 20).alias("chunk"))
+    # A set common to very many documents comes once from each chunk, and goes back to each chunk once.
+    least = placed.groupBy("chunk", "print").agg(F.min("doc_id").alias("least"))
+    by_set = first.select("print", "root").join(least.groupBy("print").agg(F.min("least").alias("least")), "print")
+    summed = by_set.groupBy("root").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("n_sets"))
+    told = work.save(first.select("print", "root").join(checked(summed, summed.count()), "root").select("print", "component_id", "n_sets"), "told")
+    back = least.select("chunk", "print").join(told, "print")
+    found = placed.join(back, ["chunk", "print"]).select("doc_id", F.col("n").alias("n_shingles"), "component_id", "n_sets")
+    result = work.save(found.unionByName(alone), "result")
     work.keep("result")
     return result
 
