@@ -48,10 +48,10 @@ SMALL_SET = 64
 #: So many sets are indexed at a time in step 2; a task gets so many of one least hash.
 BLOCK, DEAL = 1024, 4096
 #: Lists of step 3 with more members than this are split into blocks.
-LIST = 2048
+LIST = 1024
 SKETCH_BITS = 1024
 #: Bits of the second sketch of sets with more than WIDE_SET shingles.
-WIDE_BITS, WIDE_SET = 1 << 13, 256
+WIDE_BITS, WIDE_SET = 1 << 13, 512
 #: Tables of at most so many rows (of 8 or 16 bytes) are broadcast; larger ones are shuffled.
 BROADCAST_ROWS = 200_000
 SPACE = np.zeros(256, bool)
@@ -152,8 +152,7 @@ class DivideSkip:
     def search(self, query: np.ndarray, least: int, upto: int) -> tuple[np.ndarray, np.ndarray]:
         """Sets before ``upto`` with at least ``least`` of the query's tokens, and how many they have."""
         at = np.searchsorted(self.tokens, query)
-        at = at[(at < len(self.tokens))]
-        at = at[np.isin(self.tokens[at], query, assume_unique=True)]
+        at = at[self.tokens[np.minimum(at, len(self.tokens) - 1)] == query]
         length = self.ends[at] - self.starts[at]
         order = at[np.argsort(length, kind="stable")]
         longest = int(length.max(initial=1))

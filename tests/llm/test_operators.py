@@ -398,6 +398,9 @@ def test_divide_skip():
             found, total = index.search(sets[q], least, 80)
             every = [len(np.intersect1d(sets[q], s)) for s in sets]
             assert dict(zip(found.tolist(), total.tolist())) == {k: n for k, n in enumerate(every) if n >= least}
+    for query in (np.arange(0, 260, 2, dtype=np.uint64), np.array([0, 250, 300], np.uint64)):  # not in the index, with other tokens
+        found, total = index.search(query, 3, 80)
+        assert dict(zip(found.tolist(), total.tolist())) == {k: n for k, n in enumerate(len(np.intersect1d(query, s)) for s in sets) if n >= 3}
 
 
 def test_pipeline(spark, tmp_path):
