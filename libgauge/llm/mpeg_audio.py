@@ -6,10 +6,11 @@ frame with a table of contents and music checksum comes first; ID3v2 and ID3v1 t
 the stream.  All frames but the last have 320 kbit/s, the last has the least rate that holds the
 rest, so the stream has a variable bitrate.
 
-Reading: tags are parsed and skipped, frame headers are found again after foreign bytes (a header
-counts when the next one follows it or the stream ends there), the checksums of Layer III
-frames (not of Layers I and II) and of the music are verified, and the exact duration (samples over
-rate), the offset of every frame and the stream's own seek table (Xing, VBRI) come out.
+Reading: tags are parsed and skipped, frame headers are found at the start and again after foreign bytes
+(one counts when another of its version, layer and rate follows it or the stream ends there), the
+checksums of the frames of all layers, of the tag and of the music are verified, and the exact duration
+(samples without the encoder's delay and padding, over the rate), the offset of every frame and the
+stream's own seek table (Xing, VBRI) come out.
 
 Defined results: a null or empty payload is stored as 64 zero bytes by the query; bytes without any
 frame give 0 frames, duration 0 and no seek points; a stream cut inside a frame ends before it;
@@ -23,6 +24,7 @@ import hashlib
 import json
 import struct
 from collections.abc import Iterator
+from fractions import Fraction
 from functools import lru_cache
 
 import numpy as np
@@ -143,6 +145,68 @@ def parse_header(head: bytes) -> tuple[int, int, int, int, bool, int, tuple] | N
     return size, samples, hz, side, not head[1] & 1, kbps, (version, layer, hz)
 
 
+# Fixed values of ISO/IEC 11172-3 and 13818-3, Layer II: bits of a subband's allocation, as runs (bits, subbands).
+ALLOCATION = {
+    "a": ((4, 11), (3, 12), (2, 4)),
+    "b": ((4, 11), (3, 12), (2, 7)),
+    "c": ((4, 2), (3, 6)),
+    "d": ((4, 2), (3, 10)),
+    "low": ((4, 4), (3, 7), (2, 19)),
+}
+
+
+def allocation_bits(version: float, layer: int, hz: int, kbps: int, channels: int) -> list[int]:
+    """Bits of each subband's allocation."""
+    if layer == 1:
+        return [4] * 32
+    each = kbps // channels
+    if version != 1:
+        name = "low"
+    elif each <= 48:
+        name = "d" if hz == 32000 else "c"
+    else:
+        name = "a" if hz == 48000 or each <= 80 else "b"
+    return [bits for bits, n in ALLOCATION[name] for _ in range(n)]
+
+
+def checked_bits(frame: bytes) -> int | None:
+    """How many bits after the checksum it covers in a Layer I or II frame; None if the frame is too short."""
+    seen = parse_header(frame[:4])
+    version, layer, hz = seen[6]
+    mode, channels = frame[3] >> 6, 1 if frame[3] >> 6 == 3 else 2
+    widths = allocation_bits(version, layer, hz, seen[5], channels)
+    joint = min(len(widths), 4 * (1 + (frame[3] >> 4 & 3))) if mode == 1 else len(widths)
+    total, at = int.from_bytes(frame[6:], "big"), 8 * (len(frame) - 6)
+    used = scales = 0
+    for band, width in enumerate(widths):
+        for _ in range(channels if band < joint else 1):
+            used += width
+            if used > at:
+                return None
+            if total >> (at - used) & ((1 << width) - 1):
+                scales += 2 * (1 if band < joint else channels)
+    used += scales if layer == 2 else 0
+    return used if used <= at else None
+
+
+def bits_crc(start: bytes, data: bytes, bits: int) -> int:
+    """CRC-16 of ``start`` and the first ``bits`` of ``data``."""
+    c = frame_crc(start + data[: bits // 8])
+    for k in range(bits % 8):
+        top = c >> 15 ^ (data[bits // 8] >> (7 - k) & 1)
+        c = (c << 1 & 0xFFFF) ^ (0x8005 if top else 0)
+    return c
+
+
+def crc_holds(frame: bytes, side: int) -> bool:
+    """Is a protected frame's checksum right?"""
+    told = int.from_bytes(frame[4:6], "big")
+    if side:
+        return frame_crc(frame[2:4] + frame[6 : 6 + side]) == told
+    bits = checked_bits(frame)
+    return bits is not None and bits_crc(frame[2:4], frame[6:], bits) == told
+
+
 def parse_tags(data: bytes) -> tuple[dict[str, bytes], int, int]:
     """ID3v2 frames of the front tag, and where the audio begins and ends."""
     tags: dict[str, bytes] = {}
@@ -168,13 +232,17 @@ def probe(data: bytes) -> dict:
     starts, main, xing = [], [], None
     samples = bad = good = resyncs = skipped = 0
     shared, rates, hz = None, set(), 0
-    synced = True
+    synced, lost = False, False
     while at + 4 <= end:
-        head = data[at : at + 4]
-        seen = parse_header(head)
-        if seen is None or shared not in (None, seen[6]) or at + seen[0] > end or not synced and at + seen[0] + 4 <= end and parse_header(data[at + seen[0] : at + seen[0] + 4]) is None:
-            if synced:
-                resyncs, synced = resyncs + 1, False
+        seen = parse_header(data[at : at + 4])
+        fits = seen is not None and at + seen[0] <= end
+        if fits and synced:
+            fits = seen[6] == shared
+        elif fits and at + seen[0] + 4 <= end:
+            after = parse_header(data[at + seen[0] : at + seen[0] + 4])
+            fits = after is not None and after[6] == seen[6]
+        if not fits:
+            lost, synced = lost or synced, False
             step = data.find(b"\xff", at + 1, end)
             skipped += (step if step >= 0 else end) - at
             if step < 0:
@@ -182,35 +250,37 @@ def probe(data: bytes) -> dict:
             at = step
             continue
         size, count, hz, side, protected, kbps, shared = seen
-        synced = True
+        resyncs += lost
+        synced, lost = True, False
         body = at + 4 + 2 * protected
-        if protected and side:
-            if frame_crc(data[at + 2 : at + 4] + data[body : body + side]) == int.from_bytes(data[at + 4 : at + 6], "big"):
-                good += 1
-            else:
-                bad += 1
+        if protected:
+            right = crc_holds(data[at : at + size], side)
+            good, bad = good + right, bad + (not right)
         mark = data[body + side : body + side + 4]
         if not starts and xing is None and mark in (b"Xing", b"Info"):
-            xing = (at, data[body + side : at + size])
+            xing = (at, data[body + side : at + size], body + side - at)
         elif not starts and xing is None and data[at + 36 : at + 40] == b"VBRI":
-            xing = (at, data[at + 36 : at + size])
+            xing = (at, data[at + 36 : at + size], 36)
         else:
             starts.append(at)
             samples += count
             rates.add(kbps)
             main.append(data[body + side : at + size])
         at += size
+    resyncs += lost  # foreign bytes up to the end
     table = _vbr(xing[1]) if xing else {}
     whole = b"".join(main)
     if "music_crc" in table:
         first = starts[0] if starts else end
         table["music_ok"] = music_crc(data[first:end]) == table.pop("music_crc")
-        table["tag_ok"] = music_crc(data[xing[0] : xing[0] + 4 + 2 + SIDE + 154]) == table.pop("tag_crc")
+        table["tag_ok"] = music_crc(data[xing[0] : xing[0] + xing[2] + 154]) == table.pop("tag_crc")
+    played = max(0, samples - table.get("delay", 0) - table.get("padding", 0))
+    length = Fraction(played, hz) if hz else Fraction(0)
     private = tags.get("PRIV", b"")
     size = int.from_bytes(private[len(OWNER) :], "big") if private.startswith(OWNER) else len(whole)
     return {
         "frames": len(starts), "samples": samples, "hz": hz, "kbps": sorted(rates), "crc_good": good, "crc_bad": bad, "resyncs": resyncs, "skipped": skipped,
-        "vbr": table, "duration_us": samples * 1_000_000 // hz if hz else 0, "seek_offsets": starts, "tags": sorted(tags), "payload": whole[:size],
+        "vbr": table, "duration": f"{length.numerator}/{length.denominator}", "duration_us": played * 1_000_000 // hz if hz else 0, "seek_offsets": starts, "tags": sorted(tags), "payload": whole[:size],
     }
 
 
@@ -227,7 +297,7 @@ def _vbr(tag: bytes) -> dict:
             out[name] = list(tag[at : at + n]) if name == "toc" else int.from_bytes(tag[at : at + n], "big")
             at += n
     if at + 36 <= len(tag) and flags == 15 and tag[at : at + 9].strip(b"\0"):
-        out |= {"encoder": tag[at : at + 9].decode("latin-1"), "music_crc": int.from_bytes(tag[at + 32 : at + 34], "big"), "tag_crc": int.from_bytes(tag[at + 34 : at + 36], "big")}
+        out |= {"encoder": tag[at : at + 9].decode("latin-1"), "delay": int.from_bytes(tag[at + 21 : at + 24], "big") >> 12, "padding": int.from_bytes(tag[at + 21 : at + 24], "big") & 0xFFF, "music_crc": int.from_bytes(tag[at + 32 : at + 34], "big"), "tag_crc": int.from_bytes(tag[at + 34 : at + 36], "big")}
     return out
 
 
