@@ -165,6 +165,7 @@ def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _sql() -> str:
     rows = ", ".join(f"({i}, '{name}', '{' '.join(template_words(text))}')" for i, (name, text) in enumerate(TEMPLATES))
+    longest = math.floor((2 - THRESHOLD) / THRESHOLD * max(len(template_bigrams(text)) for _, text in TEMPLATES)) + 1
     breaks = r"[\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+"
     return rf"""
 WITH templates(rank, license, words) AS (VALUES {rows}),
@@ -174,7 +175,7 @@ lines AS (SELECT doc_id, row_number() OVER () AS row_id, string_split(translate(
 parts AS (SELECT row_id, unnest(range(len(l))) AS unit, unnest(l) AS line FROM lines
   UNION ALL SELECT row_id, -1, array_to_string(l, ' ') FROM lines WHERE len(l) > 1),
 units AS (SELECT row_id, unit, list_filter(regexp_split_to_array(line, '{breaks}'), lambda x: x <> '') AS w FROM parts),
-small AS (SELECT * FROM units WHERE len(w) >= 3 AND len(w) <= 400),
+small AS (SELECT * FROM units WHERE len(w) >= 3 AND len(w) <= {longest}),
 ub AS (SELECT row_id, unit, w[i] || ' ' || w[i + 1] AS bigram, count(*) AS n, any_value(len(w) - 1) AS size
   FROM (SELECT row_id, unit, w, unnest(range(1, len(w))) AS i FROM small) GROUP BY ALL),
 m AS (SELECT row_id, unit, rank, license, 2.0::DOUBLE * sum(least(ub.n, tb.n))::DOUBLE / (any_value(ub.size) + any_value(tb.size))::DOUBLE AS dice

@@ -20,10 +20,11 @@ SHARDS = 24
 
 
 def records(df: DataFrame, slots: int = SLOTS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, size, text_crc32, virtual_slot for every row."""
+    """doc_id, size, text_crc32, virtual_slot for every row.  Id and text decide the slot, so that rows that
+    share a null or repeated id don't fill one slot."""
     rows = df.select(*as_columns(id_col, text_col))
     text = F.coalesce("text", F.lit(""))
-    key = F.when(F.col("doc_id").isNull(), F.xxhash64(text)).otherwise(F.xxhash64("doc_id"))
+    key = F.xxhash64(F.col("doc_id"), text)
     return rows.select("doc_id", (F.octet_length(text) + F.lit(8)).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.pmod(key, F.lit(slots)).cast("int").alias("virtual_slot"))
 
 

@@ -231,6 +231,14 @@ def test_chat_parts(spark):
     assert r.f == "<|turn|>user\nsee &lt;<|image:0.1|><|audio:0.2|><|document:0.3|>!<|end|>\n<|turn|>assistant\n<|end|>\n"
 
 
+def test_chat_equal_turns(spark):
+    """Placeholders of rows with one turn differ, and stand for their own attachments."""
+    rows = [(1, 3, "user", [("image", None, f"{k}.png", 28, 28, None, None)]) for k in range(3)] + [(None, None, "user", [("audio", None, "a.mp3", None, None, 1.0, None)])] * 2
+    got = {r.conv_id: r for r in chat.format_chats(spark.createDataFrame(rows, f"conv_id long, turn long, role string, parts array<{chat.PART}>"), parts_col="parts").select("conv_id", "attachments", chat.formatted(F.col("chunks")).alias("f")).collect()}
+    assert [f"<|image:3{x}.0|>" in got[1].f for x in ("", "~2", "~3")] == [True] * 3 and [a.uri for a in got[1].attachments] == ["0.png", "1.png", "2.png"]
+    assert got[None].f.count("<|audio:") == 2 and "<|audio:-1~2.0|>" in got[None].f
+
+
 def labelled(spark, n=300):
     rng = random.Random(9)
     rows = []
@@ -421,3 +429,24 @@ def test_pipeline(spark, tmp_path):
     once = [r.doc_id for r in spark.read.parquet(str(tmp_path / "1")).collect()]
     assert len(set(once)) == len(once) and 1040 not in once or 1000 not in once
     assert {r.doc_id for r in docs.collect()} == set(once)
+
+
+def test_pipeline_chained(spark, tmp_path):
+    """Stages without a write between them, on columns of any name and type."""
+    import corpus_pipeline
+
+    df, labels, _ = labelled(spark, 120)
+    labels.write.parquet(str(tmp_path / "labels.parquet"))
+    docs = df.withColumns({"lang": F.lit("en"), "source": F.lit("a"), "n_chars": F.length("text").cast("long"), "__row": F.lit(1.5), "times": F.lit("t"), "quality_score": F.lit(b"q"), "carried": F.to_timestamp(F.lit("2026-01-02 03:04:05.123456")), "by": F.create_map(F.lit(1), F.array(F.lit("x")))})
+    long = spark.createDataFrame([(5000, "long " + " ".join(f"w{k * k % 3001}" for k in range(400_000)))], "doc_id long, text string")
+    docs = docs.unionByName(long, allowMissingColumns=True)
+    columns, first = docs.columns, docs.filter("doc_id = 1").first()
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        docs = stage(spark, docs, str(tmp_path))
+        assert docs.columns == columns, name
+    kept = docs.collect()
+    assert len({r.doc_id for r in kept}) > 40
+    for r in kept:
+        if r.doc_id < 5000:
+            assert [r[c] for c in ("__row", "times", "quality_score", "carried", "by")] == [first[c] for c in ("__row", "times", "quality_score", "carried", "by")]
+    assert corpus_pipeline.STAGES[4][1](spark, docs, str(tmp_path)).count() >= len(kept)
