@@ -1,8 +1,8 @@
 """From documents to packed sequences, in five stages.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and read
-again as the next stage's docs.  When a stage starts, its predecessor's result has been written, so
-the tables that the predecessor kept in the shared folder are deleted.
+again as the next stage's docs.  When a stage starts, the tables that earlier stages kept in the shared
+folder are deleted, but for those that its docs still read (stages chained without a write between).
 
 1. quality classifier: documents with a score under the threshold go.
 2. n-gram Jaccard join: of documents alike in 0.8 of their five-word shingles, one stays.
@@ -20,22 +20,26 @@ from pyspark.sql import DataFrame, SparkSession
 from libgauge.llm import mixing, ngram_join, packing, quality_classifier, suffix_dedup
 from libgauge.llm.common import Workspace
 
+#: Workspaces whose tables earlier stages' results read.
 _EARLIER: list[Workspace] = []
 
 
 def _stage(body):
-    """A stage first deletes what the stages before it kept; what it opens itself is noted for the next."""
+    """A stage first deletes what the stages before it kept, unless its docs read it; what it opens itself is
+    noted for the next."""
 
     @functools.wraps(body)
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        while _EARLIER:
-            _EARLIER.pop().close()
-        held = len(Workspace.live)
+        still = [work for work in _EARLIER if work.read_by(docs)]
+        for work in _EARLIER:
+            if work not in still:
+                work.close()
+        _EARLIER[:] = still
+        before = list(Workspace.live)
         try:
             return body(spark, docs, sf_dir)
         finally:
-            _EARLIER.extend(Workspace.live[held:])
-            del Workspace.live[held:]
+            _EARLIER.extend(work for work in Workspace.live if work not in before)
 
     return run_stage
 
