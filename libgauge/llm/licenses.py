@@ -41,6 +41,9 @@ TEMPLATES = (
     ("MIT-text", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."),
     ("ISC-text", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."),
     ("BSD-notice", "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file."),
+    ("BSD-2-Clause-text", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."),
+    ("BSD-3-Clause-text", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."),
+    ("Zlib-text", "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: 1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required. 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. 3. This notice may not be removed or altered from any source distribution."),
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
     ("GPL-3.0-header", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
     ("LGPL-2.1", "This work is licensed under the GNU Lesser General Public License, version 2.1."),
@@ -125,19 +128,24 @@ def scan(df: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD, id_co
     shapes = [(name, b, low * len(b) - 1e-9, high * len(b) + 1e-9) for name, b in known if b]
     least, most = min(s[2] for s in shapes), max(s[3] for s in shapes)
     sought = sorted(set().union(*(_sought(b, math.ceil(lo)) for _, b, lo, _ in shapes)))
-    every = F.array(*(F.lit(b) for b in sorted({b for _, bigrams, *_ in shapes for b in bigrams})))
+    every, shortest = sorted({b for _, bigrams, *_ in shapes for b in bigrams}), min(len(s[1]) for s in shapes)
 
     words = lambda line: F.filter(F.split(F.translate(line, UPPER, LOWER), BREAKS), lambda w: w != "")
+    heard = lambda w: F.exists(w, lambda x: x.isin(sought))
     fits = lambda n: ((n - 1) >= least) & ((n - 1) <= most)
     lines = df.select(*as_columns(id_col, text_col)).select("doc_id", F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), words).alias("lines"))
     sized = lines.withColumn("total", F.aggregate("lines", F.lit(0), lambda acc, w: acc + F.size(w)))
     said = F.flatten(F.transform("lines", lambda w, i: F.transform(w, lambda x: F.struct(i.alias("line"), x.alias("word")))))
-    sized = sized.withColumn("spoken", F.when(F.arrays_overlap(F.flatten("lines"), F.array(*map(F.lit, sought))), said))
+    sized = sized.withColumn("spoken", F.when(F.exists("lines", heard), said))
     nothing = F.array().cast("array<struct<unit:int,words:array<string>>>")
     whole = F.when((F.size("lines") > 1) & fits(F.col("total")), F.array(F.struct(F.lit(-1).alias("unit"), F.flatten("lines").alias("words")))).otherwise(nothing)
     units = sized.select("doc_id", "spoken", F.concat(whole, F.filter(F.transform("lines", lambda w, i: F.struct(i.alias("unit"), w.alias("words"))), lambda u: fits(F.size(u["words"])))).alias("units"))
+    # a unit that matches has one of the sought words, as windows do
+    units = units.withColumn("units", F.when(F.col("spoken").isNotNull(), F.filter("units", lambda u: heard(u["words"]))).otherwise(nothing))
     paired = units.select("doc_id", "spoken", F.transform("units", lambda u: F.struct(u["unit"].alias("unit"), F.zip_with(F.slice(u["words"], F.lit(1), F.size(u["words"]) - 1), F.slice(u["words"], F.lit(2), F.size(u["words"]) - 1), lambda a, b: F.concat(a, F.lit(" "), b)).alias("bigrams"))).alias("units"))
-    shared = paired.select("doc_id", "spoken", F.filter("units", lambda u: F.arrays_overlap(u["bigrams"], every)).alias("units"))
+    # 2 * common >= threshold * (unit + template), and all that is common is among the templates' bigrams
+    enough = lambda b: 2.0 * F.size(F.filter(b, lambda x: x.isin(every))) >= threshold * (F.size(b) + shortest) - 1e-9
+    shared = paired.select("doc_id", "spoken", F.filter("units", lambda u: enough(u["bigrams"])).alias("units"))
     count = lambda bag, upto, x: F.size(F.filter(F.slice(bag, F.lit(1), upto + 1), lambda y: y == x))
     tagged = shared.select("doc_id", "spoken", F.transform("units", lambda u: F.struct(u["unit"].alias("unit"), F.transform(u["bigrams"], lambda x, i: F.concat(x, F.lit("#"), count(u["bigrams"], i, x).cast("string"))).alias("bigrams"))).alias("units"))
 

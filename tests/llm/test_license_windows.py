@@ -26,3 +26,14 @@ def test_wrapped_and_inline_notices(spark):
     assert (got[12].license, got[12].dice, got[12].n_matches) == ("BSD-notice", 1.0, 1)
     assert (got[13].license, got[13].unit, got[13].n_matches) == ("MIT", 1, 1)
     assert got[14].license is None and got[14].n_matches == 0 and got[15].license is None
+
+
+def test_bsd_and_zlib_texts(spark):
+    """Whole licence texts, wrapped as comments over code, told apart though they share most words."""
+    known = dict(licenses.TEMPLATES)
+    names = ("BSD-2-Clause-text", "BSD-3-Clause-text", "Zlib-text")
+    code = "\n".join(f"int f{k}(int x{k}) {{ return x{k} * {k}; }}" for k in range(60))
+    rows = [(k, "/*\n" + textwrap.indent(textwrap.fill(known[name], 70), " * ") + "\n */\n" + code) for k, name in enumerate(names)]
+    rows.append((3, code))
+    got = {r.doc_id: r for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [got[k].license for k in range(4)] == [*names, None] and all(got[k].dice == 1.0 for k in range(3))
