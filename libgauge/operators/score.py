@@ -16,8 +16,11 @@ def pair(models: DataFrame, protocols: DataFrame) -> DataFrame:
 
 def spread(runs: DataFrame, tasks: int | None = None) -> DataFrame:
     """Deal runs out evenly before scoring: edit distance costs far more than the rows' bytes suggest, so
-    partitions that were merged by size would leave cores idle."""
-    return runs.repartition(tasks or 4 * runs.sparkSession.sparkContext.defaultParallelism, *(F.col(f"`{c}`") for c in ("model_name", "protocol_id")))
+    partitions that were merged by size would leave cores idle.  At least as many tasks as the session's
+    shuffle partitions, which grow with the data."""
+    spark = runs.sparkSession
+    least = max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return runs.repartition(tasks or least, *(F.col(f"`{c}`") for c in ("model_name", "protocol_id")))
 
 
 def align(truth: Column, predicted: Column) -> Column:
