@@ -71,3 +71,22 @@ def segment_length(segment: Column) -> Column:
     """The declared length if it is an integer, else the sequence's."""
     own = F.coalesce(segment["length"], F.length(segment["sequence"]).cast("long"), F.lit(0).cast("long"))
     return F.when(segment.isNull() | segment["empty"], F.lit(0).cast("long")).otherwise(own)
+
+
+#: The parts of a JSON text: strings, numbers, the three words, and the marks between.
+JSON_PARTS = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"|-?[0-9][0-9.eE+-]*|[a-z]+|[^\s]'
+
+
+def _plain_number(x: Column) -> Column:
+    """One text for all JSON numbers of one value, and for true and false those of 1 and 0."""
+    number = x.try_cast("double")
+    whole = F.when(F.abs(number) < 1e37, F.when(number % 1.0 == 0, number.try_cast("decimal(38,0)").cast("string")))
+    integer = F.when(x.rlike("^-?[0-9]+$"), F.when(x == "-0", "0").otherwise(x))
+    return F.when(x == "true", "1").when(x == "false", "0").when(x.rlike("^-?[0-9]"), F.coalesce(integer, whole, number.cast("string"))).otherwise(x)
+
+
+def same_value(left: Column, right: Column) -> Column:
+    """Are two JSON texts with keys in one order (as ``to_json`` of a VARIANT has them) equal by value?  Numbers
+    are equal whatever their notation, integers exactly and others as doubles, and true and false equal 1 and 0."""
+    plain = lambda x: F.transform(F.regexp_extract_all(x, F.lit(JSON_PARTS), 0), _plain_number)
+    return F.when(left == right, F.lit(True)).otherwise(plain(left) == plain(right))

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+from .distance import as_similarity, banded
+
 #: White space at either end, including the separators U+001C to U+001F.
 OUTER_SPACE = r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$"
 
@@ -13,9 +15,9 @@ def strip(x: Column) -> Column:
 
 
 def similarity(left: Column, right: Column) -> Column:
-    """1 - edit distance / longer length, in code points; 1 for two empty strings."""
-    longer = F.greatest(F.length(left), F.length(right))
-    return F.when(left == right, F.lit(1.0)).otherwise(F.lit(1.0) - F.levenshtein(left, right) / longer.cast("double"))
+    """1 - edit distance / longer length, in code points; 1 for two empty strings.  One expression for texts that
+    are short or alike: bands first, then Spark's whole matrix.  ``operators.measure`` is for large tables."""
+    return as_similarity(F.coalesce(banded(left, right), F.levenshtein(left, right)), left, right)
 
 
 def safe_filename(x: Column) -> Column:

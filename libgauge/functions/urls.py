@@ -40,3 +40,8 @@ def is_web(url: Column) -> Column:
 def guess_extension(content_type: Column, url: Column) -> Column:
     """By content type, else the URL path's suffix, else .bin."""
     return F.coalesce(F.try_element_at(extension_map(), content_type), filled(F.lower(path_suffix(url_path(url)))), F.lit(".bin"))
+
+
+def host(url: Column) -> Column:
+    """The host in lower case, "" where there is none."""
+    return F.coalesce(F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?(\[[^\]]*\]|[^/?#:]*)", 1)), F.lit(""))

@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.segments import letter, region, segment_length
+from ..functions.distance import as_similarity
+from ..functions.segments import letter, region, same_value, segment_length
 from ..functions.text import similarity
+from ..store import Store, unused
+from .measure import distances, run_texts, tasks_of
 
 
 def pair(models: DataFrame, protocols: DataFrame) -> DataFrame:
@@ -15,30 +18,27 @@ def pair(models: DataFrame, protocols: DataFrame) -> DataFrame:
 
 
 def spread(runs: DataFrame, tasks: int | None = None) -> DataFrame:
-    """Deal runs out evenly before scoring: edit distance costs far more than the rows' bytes suggest, so
-    partitions that were merged by size would leave cores idle.  At least as many tasks as the session's
-    shuffle partitions, which grow with the data."""
-    spark = runs.sparkSession
-    least = max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    return runs.repartition(tasks or least, *(F.col(f"`{c}`") for c in ("model_name", "protocol_id")))
+    """Deal runs out evenly by model and description; ``measure`` deals what is dear by its cost."""
+    return runs.repartition(tasks or tasks_of(runs), *(F.col(f"`{c}`") for c in ("model_name", "protocol_id")))
 
 
-def align(truth: Column, predicted: Column) -> Column:
+def align(truth: Column, predicted: Column, distances: Column | None = None, only: str | None = None) -> Column:
     """array<struct>: each truth segment scored against the predicted one at its place.  Surplus
-    predicted segments are not in the result."""
+    predicted segments are not in the result.  ``distances`` has the sequences' edit distances from its second
+    element on; without it they are measured here.  ``only`` names the one field that is wanted."""
 
     def scored(g: Column, i: Column) -> Column:
         p = F.get(predicted, i)
         there = p.isNotNull()
         gs, ps = F.coalesce(g["sequence"], F.lit("")), F.coalesce(p["sequence"], F.lit(""))
         gr, pr = region(g), region(p)
-        return F.struct(
-            i.cast("long").alias("segment_index"), F.coalesce(g["name"], F.lit("")).alias("segment_name"), gr.alias("region"), gr.alias("gt_region"), pr.alias("pred_region"),
-            (gr == pr).alias("region_exact"), gs.alias("gt_sequence"), ps.alias("pred_sequence"),
-            segment_length(g).alias("gt_length"), segment_length(p).alias("pred_length"), (segment_length(g) == segment_length(p)).alias("length_exact"),
-            similarity(gs, ps).alias("sequence_similarity"), (gs == ps).alias("sequence_exact"),
-            letter(g).alias("gt_char"), letter(p).alias("pred_char"), F.when(gr != "known", letter(g) == letter(p)).alias("char_exact"), there.alias("pred_present"),
-        )
+        fields = {
+            "segment_index": i.cast("long"), "segment_name": F.coalesce(g["name"], F.lit("")), "region": gr, "gt_region": gr, "pred_region": pr, "region_exact": gr == pr,
+            "gt_sequence": gs, "pred_sequence": ps, "gt_length": segment_length(g), "pred_length": segment_length(p), "length_exact": segment_length(g) == segment_length(p),
+            "sequence_similarity": similarity(gs, ps) if distances is None else as_similarity(F.get(distances, i + 1), gs, ps), "sequence_exact": gs == ps,
+            "gt_char": letter(g), "pred_char": letter(p), "char_exact": F.when(gr != "known", letter(g) == letter(p)), "pred_present": there,
+        }
+        return F.struct(*(c.alias(n) for n, c in fields.items() if only in (None, n)))
 
     return F.transform(truth, scored)
 
@@ -48,39 +48,43 @@ def failed() -> Column:
     return F.coalesce(F.col("error"), F.lit("")) != ""
 
 
-def _matches(flag: str) -> Column:
-    return F.size(F.filter("aligned", lambda r: r[flag])).cast("long")
+def _ratio(truth: Column, predicted: Column, flag: str) -> Column:
+    """Matches over truth segments; 1 if there are none.  Only the flag is looked at, so no distance is measured."""
+    n = F.size(truth)
+    matches = F.size(F.filter(align(truth, predicted, only=flag), lambda r: r[flag])).cast("long")
+    return F.when(n == 0, F.lit(1.0)).otherwise(matches / n.cast("double"))
 
 
-def _ratio(flag: str) -> Column:
-    """Matches over truth segments; 1 if there are none."""
-    n = F.size("gt_segments")
-    return F.when(n == 0, F.lit(1.0)).otherwise(_matches(flag) / n.cast("double"))
-
-
-def score_runs(runs: DataFrame) -> DataFrame:
+def score_runs(runs: DataFrame, store: Store | None = None) -> DataFrame:
     """Runs (gt_library, pred_library, gt_segments, pred_segments, gt_placeholders, pred_placeholders,
     error and any other columns) with their scores.  Failed runs have zero scores but the truth's
-    lengths and counts, and no aligned segments."""
-    bad = F.col("__bad")
-    library = runs.withColumn("__bad", failed()).withColumn("gt_library", F.coalesce("gt_library", F.lit(""))).withColumn("pred_library", F.when(bad, F.lit("")).otherwise(F.coalesce("pred_library", F.lit(""))))
+    lengths and counts, and no aligned segments.  With a store, edit distances are measured first and kept there
+    (``measure``); without one, each row measures its own when they are read, and so it is on a stream."""
+    failure, measured = unused(runs.columns, "failure", "measured")
+    bad = F.col(failure)
+    library = runs.withColumn(failure, failed()).withColumn("gt_library", F.coalesce("gt_library", F.lit(""))).withColumn("pred_library", F.when(bad, F.lit("")).otherwise(F.coalesce("pred_library", F.lit(""))))
     nothing = F.array().cast(dict(library.dtypes)["gt_segments"])
     sized = library.withColumn("gt_segments", F.coalesce("gt_segments", nothing)).withColumn("pred_segments", F.when(bad, nothing).otherwise(F.coalesce("pred_segments", nothing)))
-    aligned = sized.withColumn("aligned", F.when(~bad, align(F.col("gt_segments"), F.col("pred_segments"))))
+    truth, predicted, gt, pred = (F.col(c) for c in ("gt_segments", "pred_segments", "gt_library", "pred_library"))
+    found = None
+    if store is not None:
+        sized = distances(sized, F.when(~bad, run_texts(truth, predicted, gt, pred)), measured, store)
+        found = F.col(measured)
+    aligned = sized.withColumn("aligned", F.when(~bad, align(truth, predicted, found)))
     ok = lambda x, zero: F.when(bad, F.lit(zero)).otherwise(x)
     return aligned.withColumns({
-        "library_similarity": ok(similarity(F.col("gt_library"), F.col("pred_library")), 0.0),
-        "library_exact": ok(F.col("gt_library") == F.col("pred_library"), False),
+        "library_similarity": ok(similarity(gt, pred) if found is None else as_similarity(F.get(found, F.lit(0)), gt, pred), 0.0),
+        "library_exact": ok(gt == pred, False),
         "gt_library_length": F.length("gt_library").cast("long"),
         "pred_library_length": F.length("pred_library").cast("long"),
         "gt_segment_count": F.size("gt_segments").cast("long"),
         "pred_segment_count": F.size("pred_segments").cast("long"),
         "segment_count_match": ok(F.size("gt_segments") == F.size("pred_segments"), False),
-        "ordered_region_accuracy": ok(_ratio("region_exact"), 0.0),
-        "ordered_sequence_accuracy": ok(_ratio("sequence_exact"), 0.0),
-        "ordered_length_accuracy": ok(_ratio("length_exact"), 0.0),
-        "placeholder_key_exact": ok(F.col("gt_placeholders") == F.col("pred_placeholders"), False),
-    }).drop("__bad")
+        "ordered_region_accuracy": ok(_ratio(truth, predicted, "region_exact"), 0.0),
+        "ordered_sequence_accuracy": ok(_ratio(truth, predicted, "sequence_exact"), 0.0),
+        "ordered_length_accuracy": ok(_ratio(truth, predicted, "length_exact"), 0.0),
+        "placeholder_key_exact": ok(same_value(F.col("gt_placeholders"), F.col("pred_placeholders")), False),
+    }).drop(failure, measured)
 
 
 def region_rows(scored: DataFrame, *keys: str) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.text import filled, strip
+from ..store import unused
 from .number import number_rows
 
 
@@ -37,7 +38,8 @@ def first_rows(rows: DataFrame, n: int | None, *order: Column | str) -> DataFram
     if n >= 0:
         return rows.orderBy(*order).limit(n)
     last = rows.count() + n
-    return number_rows(rows, "__place", *order).filter(F.col("__place") <= last).drop("__place")
+    (place,) = unused(rows.columns, "place")
+    return number_rows(rows, place, *order).filter(F.col(place) <= last).drop(place)
 
 
 def run_numbers(runs: DataFrame, *order: Column | str) -> DataFrame:

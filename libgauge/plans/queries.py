@@ -16,12 +16,16 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
+from ..functions.distance import as_similarity
 from ..functions.segments import SEGMENT, integer_at, object_at, string_at
 from ..functions.text import newline_count, safe_filename, similarity, strip
 from ..functions.urls import EXTENSIONS, guess_extension
 from ..operators import aggregate, score, select
+from ..operators.measure import distances
 from ..operators.number import number_rows
 from ..sources import readers, seams, sinks
+from ..sources.web import plan_requests, read_web
+from ..store import Store, saved
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -49,8 +53,8 @@ def libraries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whole.select("protocol_id", F.array_join(F.transform("segments", lambda s: s["sequence"]), "").alias("library"), "segments")
 
 
-def stand_in(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The scored runs of three models over all libraries."""
+def stand_in(spark: SparkSession, sf_dir: str, measured: bool = False) -> DataFrame:
+    """The scored runs of three models over all libraries; with ``measured`` their edit distances are measured first."""
     libs = libraries(spark, sf_dir)
     models = spark.createDataFrame([("m-near", 1), ("m-mid", 2), ("m-far", 3)], "model_name string, k int")
     places = number_rows(table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("protocol_id")).distinct(), "place", "protocol_id")
@@ -62,7 +66,7 @@ def stand_in(spark: SparkSession, sf_dir: str) -> DataFrame:
     truth = libs.select("protocol_id", F.col("library").alias("gt_library"), F.col("segments").alias("gt_segments"), roles("segments").alias("gt_placeholders"))
     guess = libs.select(F.col("protocol_id").alias("other_id"), F.col("library").alias("pred_library"), F.col("segments").alias("pred_segments"), roles("segments").alias("pred_placeholders"))
     runs = pairs.join(truth, "protocol_id").join(guess, "other_id")
-    return score.score_runs(score.spread(runs).withColumn("error", F.when(F.col("gt_segments")[0]["type"] == "umi", "no answer")).withColumn("duration_seconds", (F.col("k") + F.size("gt_segments")).cast("double")))
+    return score.score_runs((runs if measured else score.spread(runs)).withColumn("error", F.when(F.col("gt_segments")[0]["type"] == "umi", "no answer")).withColumn("duration_seconds", (F.col("k") + F.size("gt_segments")).cast("double")), Store(spark) if measured else None)
 
 
 #: One byte for each character: the accented letters of the test texts become control characters.
@@ -143,8 +147,10 @@ SELECT role, count(*)::BIGINT AS n, round(avg(CASE WHEN one = next THEN 1.0::DOU
 def q02_similarity_by_source(spark, d):
     """The whole text of each turn against the next one's, by who speaks."""
     after = F.lead("text").over(Window.partitionBy("conv_id").orderBy("turn"))
-    pairs = table(spark, d, "conversations").select("role", F.coalesce("text", F.lit("")).alias("one"), F.coalesce(after, F.lit("")).alias("next"))
-    return pairs.groupBy("role").agg(F.count(F.lit(1)).alias("n"), six(aggregate.mean(similarity(F.col("one"), F.col("next"))), "avg_similarity"))
+    turns = table(spark, d, "conversations").select("role", F.struct(F.coalesce("text", F.lit("")).alias("left"), F.coalesce(after, F.lit("")).alias("right")).alias("pair"))
+    pairs = distances(turns, F.array("pair"), "distance", Store(spark))
+    alike = as_similarity(F.col("distance")[0], F.col("pair.left"), F.col("pair.right"))
+    return pairs.groupBy("role").agg(F.count(F.lit(1)).alias("n"), six(aggregate.mean(alike), "avg_similarity"))
 
 
 @query("""
@@ -166,7 +172,7 @@ def q03_exact_rate(spark, d):
 SELECT model_name, count(*)::BIGINT AS runs, count(*) FILTER (WHERE ok)::BIGINT AS successes, count(*) FILTER (WHERE NOT ok)::BIGINT AS failures,
   round(coalesce(avg(library_similarity) FILTER (WHERE ok), 0.0::DOUBLE), 6) AS avg_library_similarity FROM scored GROUP BY model_name""")
 def q04_entry_model_summary(spark, d):
-    return aggregate.by_model(stand_in(spark, d)).select("model_name", "runs", "successes", "failures", six("avg_library_similarity"))
+    return aggregate.by_model(stand_in(spark, d, measured=True)).select("model_name", "runs", "successes", "failures", six("avg_library_similarity"))
 
 
 @query(STAND_IN + "SELECT model_name, protocol_id, segment_index::BIGINT AS segment_index, gt_length::BIGINT AS gt_length, pred_length::BIGINT AS pred_length, pred_present FROM region_row")
@@ -177,7 +183,7 @@ def q05_positional_align(spark, d):
 @query(STAND_IN + """SELECT model_name, protocol_id, segment_index::BIGINT AS segment_index, segment_name, gt_region, pred_region, region_exact, length_exact, sequence_exact, char_exact,
   round(sequence_similarity, 6) AS sequence_similarity FROM region_row""")
 def q06_region_rows(spark, d):
-    rows = score.region_rows(stand_in(spark, d), "model_name", "protocol_id")
+    rows = score.region_rows(stand_in(spark, d, measured=True), "model_name", "protocol_id")
     return rows.select("model_name", "protocol_id", "segment_index", "segment_name", "gt_region", "pred_region", "region_exact", "length_exact", "sequence_exact", "char_exact", six("sequence_similarity"))
 
 
@@ -236,7 +242,7 @@ REGION_SUMMARY = """SELECT model_name, gt_region AS region, count(*)::BIGINT AS
 
 @query(STAND_IN + REGION_SUMMARY)
 def q15_region_summary(spark, d):
-    summary = aggregate.by_model_and_region(score.region_rows(stand_in(spark, d), "model_name"))
+    summary = aggregate.by_model_and_region(score.region_rows(stand_in(spark, d, measured=True), "model_name"))
     return summary.select("model_name", "region", "count", *map(six, ("region_exact_rate", "sequence_exact_rate", "avg_sequence_similarity", "length_exact_rate", "char_exact_rate")))
 
 
@@ -368,7 +374,7 @@ SELECT section, line FROM (VALUES (1, ''), (1, 'Average by model:'), (2, ''), (2
 UNION ALL SELECT 1, printf('  %s: similarity=%.3f exact=%.3f region=%.3f success=%d/%d', model_name, s::DOUBLE, e::DOUBLE, r::DOUBLE, successes, runs) FROM by_model
 UNION ALL SELECT 2, printf('  %s | %s: seq=%.3f exact=%.3f len=%.3f type=%.3f', model_name, region, s::DOUBLE, e::DOUBLE, l::DOUBLE, r::DOUBLE) FROM by_region""")
 def q32_report_lines(spark, d):
-    scored = stand_in(spark, d)
+    scored = saved(stand_in(spark, d, measured=True))
     return sinks.report_lines(aggregate.by_model(scored), aggregate.by_model_and_region(score.region_rows(scored, "model_name")))
 
 
@@ -377,7 +383,7 @@ gg AS (SELECT {'model_name': model_name, 'protocol_id': protocol_id, 'gt_region'
 SELECT CASE WHEN k > 1 THEN ', ' ELSE '' END || to_json(o)::VARCHAR AS value FROM rr UNION ALL SELECT CASE WHEN k > 1 THEN ', ' ELSE '' END || to_json(o)::VARCHAR FROM gg""")
 def q33_json_envelope(spark, d):
     """The entries of the envelope's two lists."""
-    scored = stand_in(spark, d)
+    scored = saved(stand_in(spark, d, measured=True))
     runs = sinks.json_entries(scored, ("model_name", "protocol_id", "library_exact", "error"), ("model_name", "protocol_id"))
     regions = sinks.json_entries(score.region_rows(scored, "model_name", "protocol_id"), ("model_name", "protocol_id", "gt_region", "pred_region", "sequence_exact", "char_exact"), ("model_name", "protocol_id", "segment_index"))
     return runs.select("value").unionByName(regions.select("value"))
@@ -389,7 +395,7 @@ def _echo(r: seams.Request) -> str:
 
     if not r.content:
         raise RuntimeError("Request failed: empty source")
-    return json.dumps({"result": {"library_sequence": r.content}, "raw": r.model})
+    return json.dumps({"result": {"library_sequence": r.content.decode()}, "raw": r.model})
 
 
 @query("SELECT conv_id, turn, CASE WHEN text <> '' THEN text ELSE '' END AS pred_library, CASE WHEN coalesce(text, '') = '' THEN 'Request failed: empty source' END AS error, CASE WHEN text <> '' THEN 'conversations' ELSE '' END AS source_used FROM conversations")
@@ -419,7 +425,7 @@ def q36_union_counts(spark, d):
 @query(STAND_IN + """, numbered AS (SELECT *, row_number() OVER (ORDER BY model_name, protocol_id) AS number, count(*) OVER () AS total FROM scored)
 SELECT number::BIGINT AS run_number, printf('[%d/%d] %s | %s ...', number, total, model_name, protocol_id::VARCHAR) || CASE WHEN ok THEN printf(' similarity=%.3f region=%.3f', library_similarity, ra) ELSE ' ERROR: ' || error END AS line FROM numbered""")
 def q37_progress_lines(spark, d):
-    scored = stand_in(spark, d).select("model_name", F.col("protocol_id").cast("string").alias("protocol_id"), F.col("protocol_id").alias("at"), "library_similarity", "ordered_region_accuracy", "error")
+    scored = saved(stand_in(spark, d, measured=True)).select("model_name", F.col("protocol_id").cast("string").alias("protocol_id"), F.col("protocol_id").alias("at"), "library_similarity", "ordered_region_accuracy", "error")
     return sinks.progress_lines(select.run_numbers(scored, "model_name", "at"), scored.count())
 
 
@@ -434,3 +440,52 @@ def q39_times_and_labels(spark, d):
     events = table(spark, d, "events")
     labels = aggregate.region_labels(events.select("event_id", "ts", F.col("user_id").cast("string").alias("model_name"), F.concat("event_type", F.lit("::x")).alias("region")))
     return labels.select("event_id", sinks.stamp(F.col("ts")).alias("stamp"), sinks.isoformat(F.col("ts")).alias("iso"), "label", F.col("label_region").alias("rest"))
+
+
+# ---- round 3
+
+
+@query("""SELECT event_id, CASE user_id % 7 WHEN 0 THEN true WHEN 1 THEN true WHEN 2 THEN true WHEN 3 THEN user_id = 1 WHEN 4 THEN false WHEN 5 THEN event_type = 'view' ELSE true END AS placeholder_key_exact FROM events""")
+def q40_map_value_equality(spark, d):
+    """Placeholder maps whose numbers are written in other ways: equal by value, whatever their notation and place."""
+    user, way = F.col("user_id").cast("string"), F.col("user_id") % 7
+    told = F.when(way == 0, F.concat(user, F.lit(".0"))).when(way == 1, F.concat(user, F.lit("e0"))).when(way == 2, F.concat(user, F.lit("0E-1"))).when(way == 3, F.lit("true")).when(way == 4, F.concat(F.lit('"'), user, F.lit('"'))).otherwise(user)
+    kind = F.when((way == 5) & (F.col("event_type") != "view"), "other").otherwise(F.col("event_type"))
+    truth = F.concat(F.lit('{"n": ['), user, F.lit(', {"of": 0}], "kind": "'), "event_type", F.lit(' 1.0"}'))
+    reply = F.concat(F.lit('{"result": {"placeholder_key": {"kind": "'), kind, F.lit(' 1.0", "n": ['), told, F.lit(', {"of": false}]}}}'))
+    none = F.array().cast(f"array<{SEGMENT}>")
+    runs = table(spark, d, "events").select("event_id", F.to_json(F.parse_json(truth)).alias("gt_placeholders"), reply.alias("response"), F.lit("").alias("gt_library"), none.alias("gt_segments"))
+    return score.score_runs(readers.predictions(runs)).select("event_id", "placeholder_key_exact")
+
+
+def answer_page(url: str) -> tuple[bytes, str | None, str]:
+    """Stands for the web: a page says its address; addresses of one kind fail, of another move."""
+    if url.endswith("3"):
+        raise OSError("refused")
+    return f"page {url}".encode(), "text/html" if url.endswith("5") else None, url + "/moved.PDF" if url.endswith("7") else url
+
+
+@query("""SELECT url, CASE WHEN url LIKE '%3' THEN NULL ELSE 'page ' || url END AS content, CASE WHEN url LIKE '%3' THEN 'refused' END AS error,
+  CASE WHEN url LIKE '%3' THEN NULL WHEN url LIKE '%7' THEN url || '/moved.PDF' ELSE url END AS final_url,
+  CASE WHEN url LIKE '%3' THEN NULL WHEN url LIKE '%5' THEN '.html' WHEN url LIKE '%7' THEN '.pdf'
+    ELSE coalesce(nullif(lower(regexp_extract(regexp_extract(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1), '([^/]*)/*$', 1), '[^.].*?(\\.[^.]+)$', 1)), ''), '.bin') END AS extension
+FROM (SELECT DISTINCT url FROM pages WHERE url IS NOT NULL)""")
+def q41_web_source(spark, d):
+    """Every page's address through the data source, planned by host."""
+    folder = f"{Store(spark).root}/plan"
+    plan_requests(table(spark, d, "pages"), folder)
+    got = read_web(spark, folder, getter="libgauge.plans.queries:answer_page")
+    return got.select("url", F.decode("content", "UTF-8").alias("content"), "error", "final_url", F.when(F.col("error").isNull(), guess_extension(F.col("content_type"), F.col("final_url"))).alias("extension"))
+
+
+@query(STAND_IN + """, by_model AS (SELECT model_name, count(*) AS runs, count(*) FILTER (WHERE ok) AS successes, coalesce(avg(library_similarity) FILTER (WHERE ok), 0) AS s, coalesce(avg(library_exact::INT) FILTER (WHERE ok), 0) AS e, coalesce(avg(ra) FILTER (WHERE ok), 0) AS r FROM scored GROUP BY 1),
+by_region AS (SELECT model_name, gt_region AS region, avg(sequence_similarity) AS s, avg(sequence_exact::INT) AS e, avg(length_exact::INT) AS l, avg(region_exact::INT) AS r FROM region_row GROUP BY ALL),
+shown AS (SELECT section, place, '' AS key, line FROM (VALUES (1, 0, ''), (1, 1, 'Average by model:'), (2, 0, ''), (2, 1, 'Stratified by region:')) v(section, place, line)
+  UNION ALL SELECT 1, 2, model_name, printf('  %s: similarity=%.3f exact=%.3f region=%.3f success=%d/%d', model_name, s::DOUBLE, e::DOUBLE, r::DOUBLE, successes, runs) FROM by_model
+  UNION ALL SELECT 2, 2, model_name || '::' || region, printf('  %s | %s: seq=%.3f exact=%.3f len=%.3f type=%.3f', model_name, region, s::DOUBLE, e::DOUBLE, l::DOUBLE, r::DOUBLE) FROM by_region)
+SELECT row_number() OVER (ORDER BY section, place, key)::BIGINT AS number, line FROM shown""")
+def q42_report_in_order(spark, d):
+    """The report's lines with their places, as a reader of the ordered DataFrame meets them."""
+    scored = saved(stand_in(spark, d, measured=True))
+    lines = sinks.report_lines(aggregate.by_model(scored), aggregate.by_model_and_region(score.region_rows(scored, "model_name")))
+    return number_rows(lines.withColumn("at", F.monotonically_increasing_id()), "number", "at").select("number", "line")

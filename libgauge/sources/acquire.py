@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import contextlib
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -10,6 +9,8 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..functions.text import path_name, path_stem, path_suffix, safe_filename
 from ..functions.urls import guess_extension
+from ..store import unused
+from .files import remove_file, replace_file
 
 
 def own_target(path: Column, root: str) -> Column:
@@ -27,10 +28,11 @@ def plan_targets(plan: DataFrame, files: DataFrame, root: str, folder: str) -> D
     file of the id's name with any extension, else that name.  existing is the target if it exists."""
     stem = safe_filename(F.col("protocol_id"))
     there = existing_targets(files.filter(F.col("path") == F.concat(F.lit(folder.rstrip("/") + "/"), path_name(F.col("path")))))
-    named = files.select(F.col("path").alias("__there")).distinct()
-    found = plan.withColumn("__stem", stem).join(there, F.col("__stem") == F.col("stem"), "left")
-    aimed = found.withColumn("target", F.when(F.col("target_path").isNotNull(), own_target(F.col("target_path"), root)).otherwise(F.coalesce("existing", F.concat(F.lit(folder.rstrip("/") + "/"), "__stem"))))
-    return aimed.join(named, F.col("target") == F.col("__there"), "left").withColumns({"target_exists": F.col("__there").isNotNull(), "existing": F.col("__there")}).drop("__stem", "stem", "__there")
+    at, own = unused([*plan.columns, "stem", "existing", "target", "target_exists"], "at", "own")
+    named = files.select(F.col("path").alias(at)).distinct()
+    found = plan.withColumn(own, stem).join(there, F.col(own) == F.col("stem"), "left")
+    aimed = found.withColumn("target", F.when(F.col("target_path").isNotNull(), own_target(F.col("target_path"), root)).otherwise(F.coalesce("existing", F.concat(F.lit(folder.rstrip("/") + "/"), own))))
+    return aimed.join(named, F.col("target") == F.col(at), "left").withColumns({"target_exists": F.col(at).isNotNull(), "existing": F.col(at)}).drop(own, "stem", at)
 
 
 def pending(plan: DataFrame, overwrite: bool = False) -> DataFrame:
@@ -55,29 +57,6 @@ def final_targets(downloads: DataFrame, root: str, folder: str) -> DataFrame:
     return done.withColumn("replaced", F.when(F.col("existing") != F.col("target"), F.col("existing"))) if "existing" in downloads.columns else done
 
 
-def _store_of(path: str):
-    from pyarrow import fs
-
-    return (fs.LocalFileSystem(), path) if path.startswith("/") else fs.FileSystem.from_uri(path)
-
-
-def replace_file(path: str, content: bytes) -> None:
-    """Write beside the target, then rename.  A path with a scheme goes to that store; on a cluster a path
-    without one must lie in a folder that all machines mount."""
-    store, place = _store_of(path)
-    store.create_dir(place.rpartition("/")[0], recursive=True)
-    with store.open_output_stream(place + ".part") as f:
-        f.write(content)
-    store.move(place + ".part", place)
-
-
-def remove_file(path: str) -> None:
-    """The file may be gone: a task may run twice."""
-    store, place = _store_of(path)
-    with contextlib.suppress(FileNotFoundError):
-        store.delete_file(place)
-
-
 def store(downloads: DataFrame, put: Callable[[str, bytes], None] = replace_file, remove: Callable[[str], None] = remove_file, overwrite: bool = False) -> DataFrame:
     """protocol_id, target, status, message after ``put`` has taken each download without an error; with
     ``overwrite``, ``remove`` then takes the file of another name that it replaces.  On a cluster, hand in

@@ -7,7 +7,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from ..functions.segments import object_at, segments_at, string_at
 from ..functions.text import filled, path_stem, path_suffix, strip
 from ..functions.urls import is_web
+from ..store import unused
 
+#: What ``predictions`` adds.
+PREDICTED = ("error", "prediction_protocol_name", "pred_library", "pred_segments", "pred_placeholders", "prediction", "raw_output")
 MODEL_SCHEMA = "model_pos int, name string, model string, api string"
 
 
@@ -112,6 +115,15 @@ def with_contents(rows: DataFrame, pdfs: DataFrame, texts: DataFrame) -> DataFra
     return found.withColumns({c: F.coalesce(c, F.lit(False)) for c in ("pdf_there", "text_there")})
 
 
+def with_presence(rows: DataFrame, pdfs: DataFrame, texts: DataFrame) -> DataFrame:
+    """Adds pdf_there and text_there, without the contents."""
+    pdf, text = unused([*rows.columns, "pdf_there", "text_there"], "pdf_at", "text_at")
+    p = pdfs.select(F.col("path").alias(pdf)).distinct()
+    t = texts.select(F.col("path").alias(text)).distinct()
+    found = rows.join(p, F.col("pdf_path") == F.col(pdf), "left").join(t, F.col("text_path") == F.col(text), "left")
+    return found.withColumns({"pdf_there": F.col(pdf).isNotNull(), "text_there": F.col(text).isNotNull()}).drop(pdf, text)
+
+
 def models(spark: SparkSession, folder_or_json: str, inline: bool = False) -> DataFrame:
     """Model configurations from a JSON list or an object with a list ``models``.  An invalid entry stops
     the query with its number, counted from 1."""
@@ -128,15 +140,16 @@ def models(spark: SparkSession, folder_or_json: str, inline: bool = False) -> Da
 
 def predictions(rows: DataFrame, response: str = "response") -> DataFrame:
     """Untrusted responses (JSON text) to typed columns; what isn't a JSON object becomes an error."""
-    parsed = rows.withColumn("__v", F.try_parse_json(F.col(response)))
-    typed = parsed.withColumn("__r", F.expr(object_at("__v", "$.result")))
-    fault = F.when(F.col("__v").isNull(), F.lit("Invalid JSON from benchmark API")).when(~_is_object("__v"), F.lit("Benchmark API returned a non-object JSON response"))
+    v, r = unused([*rows.columns, *PREDICTED], "reply", "result")
+    parsed = rows.withColumn(v, F.try_parse_json(F.col(response)))
+    typed = parsed.withColumn(r, F.expr(object_at(f"`{v}`", "$.result")))
+    fault = F.when(F.col(v).isNull(), F.lit("Invalid JSON from benchmark API")).when(~_is_object(f"`{v}`"), F.lit("Benchmark API returned a non-object JSON response"))
     return typed.withColumns({
         "error": F.coalesce(F.col("error"), fault) if "error" in rows.columns else fault,
-        "prediction_protocol_name": F.expr(string_at("__r", "$.protocol_name")), "pred_library": F.expr(string_at("__r", "$.library_sequence")),
-        "pred_segments": F.expr(segments_at("__r", "$.segments")), "pred_placeholders": F.to_json(F.expr(object_at("__r", "$.placeholder_key"))),
-        "prediction": F.expr("to_json(variant_get(__v, '$.result', 'variant'))"), "raw_output": F.expr("to_json(variant_get(__v, '$.raw', 'variant'))"),
-    }).drop("__v", "__r")
+        "prediction_protocol_name": F.expr(string_at(f"`{r}`", "$.protocol_name")), "pred_library": F.expr(string_at(f"`{r}`", "$.library_sequence")),
+        "pred_segments": F.expr(segments_at(f"`{r}`", "$.segments")), "pred_placeholders": F.to_json(F.expr(object_at(f"`{r}`", "$.placeholder_key"))),
+        "prediction": F.expr(f"to_json(variant_get(`{v}`, '$.result', 'variant'))"), "raw_output": F.expr(f"to_json(variant_get(`{v}`, '$.raw', 'variant'))"),
+    }).drop(v, r)
 
 
 def download_plan(files: DataFrame) -> DataFrame:
