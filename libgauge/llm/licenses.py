@@ -11,7 +11,7 @@ line.  For each template the windows of consecutive words, across lines, that be
 of its bigrams are compared too.  A window has one of the template's less common words and, inside the
 upper bound, as many of its bigrams as the lower bound says; other texts and places are passed over.
 From each beginning the best window counts; windows that touch a line (or whole text) which matches
-the template are not counted beside it, and of windows of one template that overlap only the best is.
+the template no worse are not counted beside it, and of windows of one template that overlap only the best is.
 
 Defined results: a null or empty text has no units and no licence; of several matches the greatest
 coefficient counts, then the earliest unit (the whole text, -1, first; a window is numbered as the
@@ -54,6 +54,23 @@ TEMPLATES = (
     ("CC-BY-NC-4.0-text", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
     ("Proprietary", "All rights reserved. No part of this publication may be reproduced, distributed or transmitted in any form without the prior written permission of the publisher."),
+    # Relatives that differ from the above, and from each other, in a word or two.
+    ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2."),
+    ("GPL-1.0-header", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 1, or (at your option) any later version."),
+    ("GPL-2.0-header", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."),
+    ("GPL-2.0-only-header", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License version 2 as published by the Free Software Foundation."),
+    ("GPL-3.0-only-header", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License version 3 as published by the Free Software Foundation."),
+    ("AGPL-3.0", "This work is licensed under the GNU Affero General Public License, version 3."),
+    ("AGPL-3.0-header", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("LGPL-3.0", "This work is licensed under the GNU Lesser General Public License, version 3."),
+    ("LGPL-2.0-header", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Library General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."),
+    ("LGPL-2.1-header", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."),
+    ("LGPL-3.0-header", "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("CC-BY-ND-4.0", "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License."),
+    ("CC-BY-NC-SA-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License."),
+    ("CC-BY-NC-ND-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License."),
+    ("CC-BY-3.0", "This work is licensed under a Creative Commons Attribution 3.0 Unported License."),
+    ("CC0-1.0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work."),
 )
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -112,7 +129,7 @@ def _windows(hits: Column, matches: Column, rank: int, name: str, bigrams: list[
     def search(seen: Column) -> Column:
         dense = lambda s, i: F.coalesce(F.try_element_at(seen, i + need)["at"] - s["at"] < most, F.lit(False))
         starts = F.filter(F.transform(seen, lambda s, i: F.when(dense(s, i), best_from(seen, s, i))), lambda w: w.isNotNull() & (-w["less"] >= threshold))
-        taken = lambda w: F.exists(matches, lambda m: (m["rank"] == -rank) & ((m["before"] == 1) | (-m["before"]).between(w["line"], w["end"])))
+        taken = lambda w: F.exists(matches, lambda m: (m["rank"] == -rank) & (m["dice"] >= -w["less"]) & ((m["before"] == 1) | (-m["before"]).between(w["line"], w["end"])))
         free = F.array_sort(F.filter(starts, lambda w: ~taken(w)))
         apart = F.aggregate(free, F.filter(free, lambda w: F.lit(False)), lambda acc, w: F.when(F.exists(acc, lambda a: (a["first"] <= w["last"]) & (w["first"] <= a["last"])), acc).otherwise(F.concat(acc, F.array(w))))
         return F.transform(apart, lambda w: F.struct((-w["less"]).alias("dice"), (-w["line"]).alias("before"), F.lit(-rank).alias("rank"), F.lit(name).alias("license")))
