@@ -102,12 +102,12 @@ def format_chats(
     # Rows of one conversation and turn are told apart in placeholders.
     again = F.lit(1) if parts_col is None else F.row_number().over(Window.partitionBy("conv_id", "turn").orderBy("role", "parts"))
     rows = rows.withColumn("again", again)
-    turn = F.concat(F.coalesce(F.col("turn"), F.lit(-1)).cast("string"), F.when(F.col("again") > 1, F.concat(F.lit("~"), F.col("again").cast("string"))).otherwise(""))
+    turn = F.concat(F.coalesce(F.col("turn").cast("string"), F.lit("null")), F.when(F.col("again") > 1, F.concat(F.lit("~"), F.col("again").cast("string"))).otherwise(""))
     place = lambda i: F.concat_ws(".", turn, i.cast("string"))
     flat = rows.withColumn("flat", F.transform("parts", lambda p, i: visitor.visit(p, place(i))))
     body = F.array_join(F.transform("flat", lambda x: x["rendered"]), "")
     shown = flat.select(
-        "conv_id", F.floor(F.coalesce("turn", F.lit(-1)) / F.lit(block_turns)).alias("block"),
+        "conv_id", F.floor(F.col("turn") / F.lit(block_turns)).alias("block"),  # null, and so first, for a null turn
         F.struct(
             F.col("turn"), F.col("role"), body.alias("body"),
             F.filter(F.transform("flat", lambda x, i: F.struct(F.col("turn").alias("turn"), i.alias("part"), x["type"].alias("type"), x["uri"].alias("uri"), x["tokens"].alias("tokens"))), lambda x: x["type"].isin(*ATTACHED)).alias("attachments"),

@@ -45,6 +45,12 @@ def fresh(columns: Iterable[str], *names: str) -> list[str]:
     return out
 
 
+def row_marks(df: DataFrame) -> tuple[Column, Column]:
+    """Two hashes of a row's columns (maps and variants left out): an order of rows that comes from the data."""
+    plain = [F.col(f"`{f.name}`") for f in df.schema if not any(kind in f.dataType.simpleString() for kind in ("map<", "variant"))]
+    return F.xxhash64(F.lit(0), *plain), F.xxhash64(F.lit(1), *plain)
+
+
 class Workspace:
     """Tables written to the shared folder.  They cut lineage and survive the loss of executors.
 

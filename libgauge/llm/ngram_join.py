@@ -39,8 +39,8 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import Workspace, bounded_batches, fresh, rows_out
-from .suffix_dedup import BUCKETS, DEALT, DEALT_DDL, SAMPLE_BITS, Rolling, deal, distinct_sorted, pack_sorted, tied, to_chunks, unpack_sorted, untangle
+from .common import Workspace, bounded_batches, fresh, row_marks, rows_out
+from .suffix_dedup import BUCKET_BYTES, BUCKETS, DEALT, DEALT_DDL, SAMPLE_BITS, Rolling, deal, distinct_sorted, pack_sorted, tied, to_chunks, unpack_sorted, untangle
 
 WORDS, PERCENT = 3, 90
 #: Sets of at most so many shingles are dealt out whole in step 1.
@@ -216,7 +216,7 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
             yield b.slice(i, 1).to_pylist()[0]
 
 
-def find_sets(chunks: DataFrame, work: Workspace, words: int, percent: int) -> DataFrame:
+def find_sets(chunks: DataFrame, work: Workspace, words: int, percent: int, buckets: int = BUCKETS) -> DataFrame:
     """All documents with their set's size; those that may link also with their hashes."""
 
     def asked(values: np.ndarray) -> np.ndarray:
@@ -226,7 +226,7 @@ def find_sets(chunks: DataFrame, work: Workspace, words: int, percent: int) -> D
         def rows():
             for r in _rows(batches):
                 sent = np.concatenate([np.zeros(0, np.uint64), *(asked(shingle_sets(t, words)) for t in _texts(r))])
-                for bucket, values in deal(distinct_sorted(sent), BUCKETS, SAMPLE_BITS):
+                for bucket, values in deal(distinct_sorted(sent), buckets, SAMPLE_BITS):
                     yield bucket, r["chunk"], 0, pack_sorted(values)
 
         yield from rows_out(DEALT, rows(), size=lambda r: len(r[3]))
@@ -239,7 +239,7 @@ def find_sets(chunks: DataFrame, work: Workspace, words: int, percent: int) -> D
             for r in _rows(batches):
                 sets = [shingle_sets(t, words) for t in _texts(r)]
                 values, counts = np.unique(np.concatenate([np.zeros(0, np.uint64), *map(asked, sets)]), return_counts=True)
-                values = values[(counts > 1) | untangle(values, {x["bucket"]: x["bits"] for x in r["bits"] or ()}, BUCKETS, SAMPLE_BITS)]
+                values = values[(counts > 1) | untangle(values, {x["bucket"]: x["bits"] for x in r["bits"] or ()}, buckets, SAMPLE_BITS)]
                 values = np.append(values, np.uint64(1 << 63))  # above all hashes, so that every search ends inside
                 shared = lambda own: int((values[np.searchsorted(values, own)] == own).sum())  # noqa: E731, B023
                 seen = set()
@@ -435,7 +435,7 @@ def join(df: DataFrame, words: int = WORDS, percent: int = PERCENT, id_col: str
     rows = df.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     chunks = work.save(to_chunks(rows).select("chunk", "ids", "lengths", "data"), "chunks")
     total = df.agg(F.sum(F.octet_length(F.col(f"`{text_col}`").cast("string")))).first()[0] or 0
-    sets = find_sets(chunks, work, words, percent)
+    sets = find_sets(chunks, work, words, percent, max(BUCKETS, total // BUCKET_BYTES))
     work.drop("chunks", "shared")
     first = work.save(first_links(sets, percent, max(4, total // (24 << 20))), "first")
     for name, forest in (("forest", True), ("rest", False)):
@@ -456,14 +456,21 @@ def join(df: DataFrame, words: int = WORDS, percent: int = PERCENT, id_col: str
     return result
 
 
-def keep_one(df: DataFrame, words: int = 5, percent: int = 80, text_col: str = "text") -> DataFrame:
-    """The rows of ``df``, one of each component; all columns stay.  Rows with empty sets all stay."""
+def keep_one(df: DataFrame, words: int = 5, percent: int = 80, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
+    """The rows of ``df``, one of each component; all columns stay.  The one with the least id stays (null ids last),
+    of those the one with the least hash of its columns, so that it doesn't matter how rows are dealt out.
+    Rows with empty sets all stay."""
     work = Workspace(df.sparkSession, "ngrams")
-    (row,) = fresh(df.columns, "row")
-    numbered = work.save(df.withColumn(row, F.monotonically_increasing_id()), "rows")
-    joined = join(numbered.select(F.col(row).alias("doc_id"), F.col(f"`{text_col}`").alias("text")), words, percent)
-    gone = joined.filter("doc_id != component_id").select(F.col("doc_id").alias(row))  # fewer than what stays
-    return numbered.join(checked(gone, gone.count()), row, "left_anti").select(*(F.col(f"`{c}`") for c in df.columns))
+    row, null, own, *marks = fresh(df.columns, "row", "null", "own", "mark1", "mark2")
+    own_id = F.col(f"`{id_col}`").cast("long") if id_col in df.columns else F.lit(None).cast("long")
+    first, second = row_marks(df)
+    numbered = work.save(df.withColumns({row: F.monotonically_increasing_id(), null: own_id.isNull(), own: own_id, marks[0]: first, marks[1]: second}), "rows")
+    joined = join(numbered.select(F.col(row).alias("doc_id"), F.col(f"`{text_col}`").alias("text")), words, percent).select(F.col("doc_id").alias(row), "component_id")
+    many = joined.filter(F.col(row) != F.col("component_id")).select("component_id").distinct()
+    members = joined.join(many, "component_id").join(numbered.select(row, null, own, *marks), row)
+    members = work.save(members.select(row, "component_id", F.struct(null, own, *marks, row).alias("order")), "members")
+    gone = members.join(members.groupBy("component_id").agg(F.min("order").alias("least")), "component_id").filter(F.col("order") != F.col("least")).select(row)
+    return numbered.join(checked(gone, members.count()), row, "left_anti").select(*(F.col(f"`{c}`") for c in df.columns))
 
 
 def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -53,8 +53,10 @@ WIDTH = 200
 ORDER = 7
 PERIOD = ORDER * ORDER + ORDER + 1
 CHUNK, SEGMENT, STEP = 4 << 20, 4 << 20, 1 << 19
-#: Buckets of hashes and of suffixes; chunks whose pieces meet in one task.
-BUCKETS, FAN_IN = 512, 4096
+#: Buckets of hashes and of suffixes: so many at least, and one for so many bytes of text; chunks whose pieces meet in one task.
+BUCKETS, BUCKET_BYTES, FAN_IN = 512, 128 << 20, 4096
+#: Spark writes no more buckets of a table.
+MOST_HOMES = 100_000
 GRAM = 16
 #: A piece's first and last sample are less than this apart (a multiple of the period).
 SPAN = 64 * PERIOD
@@ -190,8 +192,8 @@ def sliding_min(h: np.ndarray, width: int) -> np.ndarray:
 class Chunk:
     """The texts of a chunk, end to end."""
 
-    def __init__(self, lengths: list[int], data: bytes, width: int, bits: int):
-        self.data, self.width, self.bits = np.frombuffer(data, np.uint8), width, bits
+    def __init__(self, lengths: list[int], data: bytes, width: int, bits: int, buckets: int = BUCKETS):
+        self.data, self.width, self.bits, self.buckets = np.frombuffer(data, np.uint8), width, bits, buckets
         self.lengths = np.array(lengths, np.int64)
         self.ends = np.cumsum(self.lengths)
         self.starts = self.ends - self.lengths
@@ -231,7 +233,7 @@ class Chunk:
         for seg, lo, hi in self.segments():
             at, h = self.samples(lo, hi)
             values, inverse, counts = np.unique(h, return_inverse=True, return_counts=True)
-            ties = (counts > 1) | untangle(values, replies.get(seg, {}), BUCKETS, self.bits)
+            ties = (counts > 1) | untangle(values, replies.get(seg, {}), self.buckets, self.bits)
             found.append(at[ties[inverse]])
         return np.concatenate(found)
 
@@ -263,7 +265,7 @@ class Chunk:
         found: dict[int, dict[tuple, list[int]]] = defaultdict(dict)
         whole = self.data.tobytes()
         for lo, hi, lead, tail, phase, key in pieces.tolist():
-            found[key % BUCKETS].setdefault((whole[lo:hi], lead, tail, phase, key), []).append(lo)
+            found[key % self.buckets].setdefault((whole[lo:hi], lead, tail, phase, key), []).append(lo)
         return found
 
     def confirmed(self, pieces: np.ndarray, replies: dict[int, list[bytes]]) -> np.ndarray:
@@ -443,7 +445,7 @@ def to_chunks(rows: DataFrame, chunk_bytes: int = CHUNK) -> DataFrame:
     return rows.mapInArrow(run, CHUNK_DDL)
 
 
-def _on_chunks(df: DataFrame, width: int, bits: int, schema: pa.Schema, ddl: str, make: Callable) -> DataFrame:
+def _on_chunks(df: DataFrame, width: int, bits: int, buckets: int, schema: pa.Schema, ddl: str, make: Callable) -> DataFrame:
     """mapInArrow over chunks; make gives the rows of one chunk."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -451,14 +453,14 @@ def _on_chunks(df: DataFrame, width: int, bits: int, schema: pa.Schema, ddl: str
             for b in batches:
                 for i in range(b.num_rows):
                     r = b.slice(i, 1).to_pylist()[0]
-                    yield from make(r, Chunk(r["lengths"], zstandard.ZstdDecompressor().decompress(r["data"]), width, bits))
+                    yield from make(r, Chunk(r["lengths"], zstandard.ZstdDecompressor().decompress(r["data"]), width, bits, buckets))
 
         yield from rows_out(schema, rows(), size=lambda r: sum(len(x) for x in r if isinstance(x, (bytes, str, list))))
 
     return df.mapInArrow(run, ddl)
 
 
-def dedup(df: DataFrame, width: int = WIDTH, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = False, characters: bool = False, chunk_bytes: int = CHUNK, fan_in: int = FAN_IN) -> DataFrame:
+def dedup(df: DataFrame, width: int = WIDTH, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = False, characters: bool = False, chunk_bytes: int = CHUNK, fan_in: int = FAN_IN, bucket_bytes: int = BUCKET_BYTES, most_homes: int = MOST_HOMES) -> DataFrame:
     """doc_id, n_bytes, n_removed, spans ([start, length] in bytes), kept_sha256, kept.
 
     ``kept`` is null unless ``keep_text``.  With ``characters`` only characters covered with all their
@@ -471,24 +473,24 @@ def dedup(df: DataFrame, width: int = WIDTH, id_col: str = "doc_id", text_col: s
     rows = df.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = min(63, max(SAMPLE_BITS, total.bit_length() + 10))
-    homes = max(total // (24 << 20), int(spark.conf.get("spark.sql.shuffle.partitions")))  # with fewer, joins would deal the texts out again
+    homes = min(most_homes, max(total // (24 << 20), int(spark.conf.get("spark.sql.shuffle.partitions"))))  # with fewer, joins would deal the texts out again
     name = "libgauge_" + work.root.rpartition("-")[2]
     try:
         to_chunks(rows, chunk_bytes).repartition(homes, "chunk").write.option("path", work.path("chunks")).option("compression", "uncompressed").bucketBy(homes, "chunk").saveAsTable(name)
-        result = work.save(_cut_chunks(spark.table(name), work, width, bits, keep_text, characters, fan_in), "result")
+        result = work.save(_cut_chunks(spark.table(name), work, width, bits, max(BUCKETS, total // bucket_bytes), keep_text, characters, fan_in), "result")
     finally:
         spark.sql(f"DROP TABLE IF EXISTS {name}")
     work.keep("result")
     return result
 
 
-def _cut_chunks(chunks: DataFrame, work: Workspace, width: int, bits: int, keep_text: bool, characters: bool, fan_in: int) -> DataFrame:
+def _cut_chunks(chunks: DataFrame, work: Workspace, width: int, bits: int, buckets: int, keep_text: bool, characters: bool, fan_in: int) -> DataFrame:
     def sampled(r: dict, c: Chunk):
         for seg, lo, hi in c.segments():
-            for bucket, values in deal(distinct_sorted(c.samples(lo, hi)[1]), BUCKETS, bits):
+            for bucket, values in deal(distinct_sorted(c.samples(lo, hi)[1]), buckets, bits):
                 yield bucket, r["chunk"], seg, pack_sorted(values)
 
-    ties = work.save(tied(_on_chunks(chunks.select("chunk", "lengths", "data"), width, bits, DEALT, DEALT_DDL, sampled)), "ties")
+    ties = work.save(tied(_on_chunks(chunks.select("chunk", "lengths", "data"), width, bits, buckets, DEALT, DEALT_DDL, sampled)), "ties")
     replied = ties.groupBy("chunk").agg(F.collect_list(F.struct("seg", "bucket", "bits")).alias("ties"))
     # Copies inside a chunk are known there: a print comes once from each chunk, however common it is.
     prints = chunks.select("chunk", F.explode(F.array_distinct("prints")).alias("print"))
@@ -517,7 +519,7 @@ def _cut_chunks(chunks: DataFrame, work: Workspace, width: int, bits: int, keep_
                 offset += len(text)
             yield bucket, r["chunk"], len(meta), pack_pieces(np.array(meta, np.int64), b"".join(same[0] for same in distinct))
 
-    dealt = work.save(_on_chunks(told.select("chunk", "lengths", "prints", "data", "ties", "copies"), width, bits, SENT, "bucket int, chunk long, n int, blob binary", sent), "pieces")
+    dealt = work.save(_on_chunks(told.select("chunk", "lengths", "prints", "data", "ties", "copies"), width, bits, buckets, SENT, "bucket int, chunk long, n int, blob binary", sent), "pieces")
     layout = dealt.filter("bucket < 0").select("chunk", F.col("n").alias("n_pieces"), F.col("blob").alias("layout"))
     groups = -(-chunks.count() // fan_in)
     pieces, found = dealt.filter("bucket >= 0").select("bucket", F.pmod(F.hash("chunk"), F.lit(max(1, groups))).alias("salt"), "n", "blob"), []
@@ -552,7 +554,7 @@ def _cut_chunks(chunks: DataFrame, work: Workspace, width: int, bits: int, keep_
             spans = [[int(a), int(b - a)] for a, b in turns.reshape(-1, 2)]
             yield doc_id, int(hi - lo), int(gone.sum()), spans, hashlib.sha256(kept).hexdigest(), kept.decode() if keep_text and characters else None
 
-    return _on_chunks(both.select("ids", "lengths", "data", "n_pieces", "layout", "found"), width, bits, KEPT, KEPT_DDL, cut)
+    return _on_chunks(both.select("ids", "lengths", "data", "n_pieces", "layout", "found"), width, bits, buckets, KEPT, KEPT_DDL, cut)
 
 
 def cut_repeats(df: DataFrame, width: int = WIDTH, text_col: str = "text", chars_col: str = "n_chars") -> DataFrame:

@@ -427,7 +427,7 @@ def test_pipeline(spark, tmp_path):
         out.write.parquet(str(tmp_path / str(k)))
         docs = spark.read.parquet(str(tmp_path / str(k)))
     once = [r.doc_id for r in spark.read.parquet(str(tmp_path / "1")).collect()]
-    assert len(set(once)) == len(once) and 1040 not in once or 1000 not in once
+    assert len(set(once)) == len(once) and (1040 not in once or 1000 not in once)
     assert {r.doc_id for r in docs.collect()} == set(once)
 
 
