@@ -23,7 +23,7 @@ from ..functions.urls import EXTENSIONS, guess_extension
 from ..operators import aggregate, score, select
 from ..operators.measure import distances
 from ..operators.number import number_rows
-from ..sources import readers, seams, sinks
+from ..sources import acquire, readers, seams, sinks
 from ..sources.web import plan_requests, read_web
 from ..store import Store, saved
 
@@ -489,3 +489,171 @@ def q42_report_in_order(spark, d):
     scored = saved(stand_in(spark, d, measured=True))
     lines = sinks.report_lines(aggregate.by_model(scored), aggregate.by_model_and_region(score.region_rows(scored, "model_name")))
     return number_rows(lines.withColumn("at", F.monotonically_increasing_id()), "number", "at").select("number", "line")
+
+
+# ---- readers, targets and bodies over JSON that the tables' rows make
+
+
+def json_object(**fields: Column) -> Column:
+    """JSON text of the fields whose values, JSON texts themselves, aren't null."""
+    pairs = (F.when(v.isNotNull(), F.concat(F.lit(f'"{k}": '), v)) for k, v in fields.items())
+    return F.concat(F.lit("{"), F.concat_ws(", ", *pairs), F.lit("}"))
+
+
+def json_string(x: Column) -> Column:
+    text = F.to_json(F.struct(x.alias("x")))
+    return F.when(x.isNotNull(), F.substring(text, F.lit(6), F.length(text) - 6))
+
+
+@query("""WITH t AS (SELECT doc_id, coalesce(source, '') AS protocol_id, coalesce(text, '') AS protocol_name, CASE WHEN doc_id % 2 = 0 THEN 'True' ELSE 'False' END AS library_exact, CASE WHEN doc_id % 3 = 0 THEN '' ELSE (doc_id::DOUBLE / 7)::VARCHAR END AS duration FROM documents)
+SELECT doc_id, concat_ws(',', protocol_id, CASE WHEN regexp_matches(protocol_name, '[",\r\n]') THEN '"' || replace(protocol_name, '"', '""') || '"' ELSE protocol_name END, '', '', '', '', '', duration, '', library_exact, '', '', '', '', '', '', '', '', '', '') AS line FROM t""")
+def q43_run_csv_lines(spark, d):
+    """Lines of the runs' CSV: text with commas, quotes and line ends, missing columns, nulls, booleans and doubles."""
+    rows = table(spark, d, "documents").select("doc_id", F.col("source").alias("protocol_id"), F.col("text").alias("protocol_name"), (F.col("doc_id") % 2 == 0).alias("library_exact"), F.when(F.col("doc_id") % 3 != 0, F.col("doc_id") / 7.0).alias("duration_seconds"))
+    view = sinks.csv_view(rows, ("doc_id", *sinks.RUN_COLUMNS))
+    return view.select(F.col("doc_id").cast("long").alias("doc_id"), sinks.csv_line(*sinks.RUN_COLUMNS).alias("line"))
+
+
+@query("""WITH t AS (SELECT conv_id, first(text ORDER BY turn) AS text, count(*) AS n, string_agg(role || turn, '|' ORDER BY turn) FILTER (WHERE turn % 2 = 0) AS names FROM conversations GROUP BY conv_id),
+r AS (SELECT *, 'conv-' || conv_id || '.json' AS file_name, CASE conv_id % 4 WHEN 0 THEN 'conv-' || conv_id WHEN 1 THEN 'conv-' || conv_id ELSE 'id ' || conv_id END AS protocol_id,
+  CASE conv_id % 3 WHEN 0 THEN '/root-dir/src/x-' || conv_id || '.pdf' WHEN 1 THEN '/abs/y.' || conv_id || '.pdf' END AS pdf_path FROM t WHERE conv_id % 10 <> 9)
+SELECT file_name, protocol_id, CASE WHEN conv_id % 5 = 0 THEN protocol_id ELSE 'Name ' || conv_id END AS protocol_name, pdf_path, CASE WHEN conv_id % 2 = 0 THEN 'https://e.org/' || conv_id END AS protocol_url,
+  CASE WHEN conv_id % 7 = 6 THEN '' ELSE text END AS library_sequence, coalesce(names, '') AS names, CASE WHEN conv_id % 2 = 0 THEN '{"U":"umi"}' ELSE '{}' END AS placeholders,
+  CASE WHEN conv_id % 3 = 0 AND conv_id % 5 < 3 THEN 'texts/x-' || conv_id || '.txt' WHEN conv_id % 5 > 1 THEN 'texts/' || protocol_id || '.txt' END AS text_path FROM r""")
+def q44_descriptions(spark, d):
+    """Typed descriptions: default ids and names, guards against other types, list elements that are no objects, paths of
+    PDFs, and texts found by the PDF's stem or the id."""
+    c, n = table(spark, d, "conversations"), F.col("conv_id")
+    number = n.cast("string")
+    segment = json_object(name=json_string(F.concat("role", F.col("turn").cast("string"))), type=F.lit('"known"'), length=F.lit("true"))
+    element = F.when(F.col("turn") % 2 == 0, segment).otherwise(F.lit("[3]"))
+    whole = c.groupBy("conv_id").agg(F.min_by("text", "turn").alias("text"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", element.alias("x")))), lambda s: s["x"]), ", ").alias("segments"))
+    refs = json_object(
+        protocol_pdf=F.when(n % 3 == 0, json_string(F.concat(F.lit("src/x-"), number, F.lit(".pdf")))).when(n % 3 == 1, json_string(F.concat(F.lit("/abs/y."), number, F.lit(".pdf")))).otherwise(F.lit("7")),
+        protocol_link=F.when(n % 2 == 0, json_string(F.concat(F.lit("https://e.org/"), number))).otherwise(F.lit("[]")),
+    )
+    doc = json_object(
+        protocol_id=F.when(n % 4 == 0, F.lit('" "')).when(n % 4 == 1, F.lit(None).cast("string")).otherwise(json_string(F.concat(F.lit("id "), number))),
+        protocol_name=F.when(n % 5 == 0, F.lit("null")).otherwise(json_string(F.concat(F.lit("Name "), number))), references=refs,
+        library_sequence=F.when(n % 7 == 6, F.lit("[1]")).otherwise(json_string(F.col("text"))), segments=F.concat(F.lit("["), "segments", F.lit("]")), placeholder_key=F.when(n % 2 == 0, F.lit('{"U": "umi"}')).otherwise(F.lit('"none"')),
+    )
+    files = whole.select(F.concat(F.lit("conv-"), number, F.lit(".json")).alias("file_name"), F.parse_json(F.when(n % 10 == 9, F.lit("[1]")).otherwise(doc)).alias("doc"))
+    ids = c.select("conv_id").distinct()
+    own = F.when(n % 4 < 2, F.concat(F.lit("conv-"), number)).otherwise(F.concat(F.lit("id "), number))
+    text = lambda where, name: ids.filter(where).select(F.concat(F.lit("texts/"), name, F.lit(".txt")).alias("path")).withColumn("file_name", F.substring_index("path", "/", -1))
+    texts = text((n % 3 == 0) & (n % 5 < 3), F.concat(F.lit("x-"), number)).unionByName(text(n % 5 > 1, own))
+    got = readers.protocols(files, texts, "/root-dir/")
+    return got.select("file_name", "protocol_id", "protocol_name", "pdf_path", "protocol_url", "library_sequence", F.array_join(F.transform("segments", lambda s: s["name"]), "|").alias("names"), "placeholders", "text_path")
+
+
+@query("""SELECT page_id, CASE WHEN page_id % 9 = 0 THEN 'page-' || page_id ELSE 'p ' || page_id END AS protocol_id,
+  CASE WHEN page_id % 11 = 0 THEN 'invalid JSON' WHEN page_id % 5 = 1 THEN 'references.protocol_link must be a string or null' WHEN page_id % 5 = 2 THEN 'references.protocol_pdf must be a string or null' END AS issue,
+  CASE WHEN page_id % 11 = 0 OR page_id % 5 IN (1, 2) THEN NULL WHEN page_id % 5 = 4 THEN url ELSE upper(url) END AS url,
+  CASE WHEN page_id % 11 <> 0 AND page_id % 5 = 3 THEN 'src/' || page_id || '.pdf' END AS target_path
+FROM (SELECT page_id, CASE WHEN page_id % 11 = 0 THEN 0 ELSE page_id END AS k, url FROM pages) WHERE page_id % 11 = 0 OR page_id % 13 NOT IN (1, 2)""".replace("'p ' || page_id END AS protocol_id", "CASE WHEN page_id % 11 = 0 THEN 'page-' || page_id ELSE 'p ' || page_id END END AS protocol_id"))
+def q45_download_plan(spark, d):
+    """Tolerant reading: invalid JSON and wrong types are issues, other documents are passed over, and an address in the
+    PDF's place counts as the link."""
+    n, number = F.col("page_id"), F.col("page_id").cast("string")
+    refs = json_object(
+        protocol_link=F.when(n % 5 == 0, json_string(F.upper("url"))).when(n % 5 == 1, F.lit("3")).when(n % 5 == 2, json_string(F.col("url"))).when(n % 5 == 3, json_string(F.upper("url"))).otherwise(F.lit("null")),
+        protocol_pdf=F.when(n % 5 == 2, F.lit("{}")).when(n % 5 == 3, json_string(F.concat(F.lit("src/"), number, F.lit(".pdf")))).when(n % 5 == 4, json_string(F.col("url"))),
+    )
+    doc = F.when(n % 11 == 0, F.lit("{")).when(n % 13 == 1, F.lit("[]")).when(n % 13 == 2, F.lit('{"references": 3}')).otherwise(json_object(protocol_id=F.when(n % 9 == 0, F.lit("5")).otherwise(json_string(F.concat(F.lit(" p "), number, F.lit(" ")))), references=refs))
+    files = table(spark, d, "pages").select(F.concat(F.lit("page-"), number, F.lit(".json")).alias("file_name"), F.try_parse_json(doc).alias("doc"))
+    plan = readers.download_plan(files)
+    return plan.select(F.regexp_extract("file_name", "-([0-9]+)", 1).cast("long").alias("page_id"), "protocol_id", "issue", "url", "target_path")
+
+
+@query("""WITH t AS (SELECT page_id, 'p-' || page_id AS stem, page_id % 3 = 0 AS own, page_id % 2 = 0 AS html, page_id % 4 = 0 AS pdf, page_id % 6 = 0 AS own_there FROM pages),
+e AS (SELECT *, CASE WHEN own THEN CASE WHEN own_there THEN '/r/src/' || page_id || '.pdf' END WHEN html THEN '/r/out/' || stem || '.html' WHEN pdf THEN '/r/out/' || stem || '.pdf' END AS existing,
+  CASE page_id % 5 WHEN 0 THEN '.pdf' WHEN 1 THEN '.html' WHEN 2 THEN '.pdf' ELSE '.bin' END AS extension FROM t)
+SELECT page_id, extension, existing IS NOT NULL AS target_exists, CASE WHEN own THEN '/r/src/' || page_id || '.pdf' ELSE '/r/out/' || stem || extension END AS target,
+  CASE WHEN own AND extension <> '.pdf' THEN 'p ' || page_id || ': target path /r/src/' || page_id || '.pdf does not match downloaded extension ' || extension END AS target_error,
+  CASE WHEN existing <> CASE WHEN own THEN '/r/src/' || page_id || '.pdf' ELSE '/r/out/' || stem || extension END THEN existing END AS replaced FROM e""")
+def q46_download_targets(spark, d):
+    """Where downloads go: a described path or the id's name, what is there (the first of a stem by path), clashes of
+    extensions, and files that a download replaces."""
+    ids, n = table(spark, d, "pages").select("page_id"), F.col("page_id")
+    number = n.cast("string")
+    plan = ids.select("page_id", F.concat(F.lit("p "), number).alias("protocol_id"), F.when(n % 3 == 0, F.concat(F.lit("src/"), number, F.lit(".pdf"))).alias("target_path"))
+    file = lambda where, *parts: ids.filter(where).select(F.concat(*parts).alias("path"))
+    files = file(n % 2 == 0, F.lit("/r/out/p-"), number, F.lit(".html")).unionByName(file(n % 4 == 0, F.lit("/r/out/p-"), number, F.lit(".pdf"))).unionByName(file(n % 6 == 0, F.lit("/r/src/"), number, F.lit(".pdf")))
+    kind, final = F.when(n % 5 == 0, "application/pdf").when(n % 5 == 1, "application/xhtml+xml"), F.when(n % 5 == 2, "https://e.org/a.b/c.PDF?x=y.z").otherwise("https://e.org/c")
+    got = acquire.final_targets(acquire.plan_targets(plan, files, "/r", "/r/out").withColumns({"content_type": kind, "final_url": final}), "/r", "/r/out")
+    return got.select("page_id", "extension", "target_exists", "target", "target_error", "replaced")
+
+
+def told_body(r: seams.Request) -> str:
+    """Answers with the body that the request would post."""
+    return seams.multipart(*seams.request_parts(r), "xx").decode("utf-8", errors="replace")
+
+
+@query("""WITH t AS (SELECT conv_id, turn, role, coalesce(text, '') AS text, chr(13) || chr(10) AS e FROM conversations)
+SELECT conv_id, turn, '--xx' || e || 'Content-Disposition: form-data; name="model"' || e || e || role || e || CASE turn % 3
+  WHEN 0 THEN '--xx' || e || 'Content-Disposition: form-data; name="file"; filename="' || conv_id || '.pdf"' || e || 'Content-Type: application/pdf' || e || e || text || e
+  WHEN 1 THEN '--xx' || e || 'Content-Disposition: form-data; name="text"' || e || e || text || e
+  ELSE '--xx' || e || 'Content-Disposition: form-data; name="url"' || e || e || 'https://e.org/' || conv_id || e END || '--xx--' || e AS body FROM t""")
+def q47_request_bodies(spark, d):
+    """What is posted for a PDF, a text and an address."""
+    n, number = F.col("turn"), F.col("conv_id").cast("string")
+    kind = F.when(n % 3 == 0, "pdf").when(n % 3 == 1, "text").otherwise("url")
+    source = F.when(n % 3 == 2, F.concat(F.lit("https://e.org/"), number)).otherwise(F.concat(F.lit("/in/"), number, F.lit(".pdf")))
+    rows = table(spark, d, "conversations").select(F.concat_ws(":", "conv_id", "turn").alias("request_id"), F.col("role").alias("model"), F.lit("x").alias("api"), kind.alias("kind"), source.alias("source"), F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("content"))
+    got = seams.ask(rows, told_body)
+    part = lambda k: F.split("request_id", ":")[k].cast("long")
+    return got.select(part(0).alias("conv_id"), part(1).alias("turn"), F.col("response").alias("body"))
+
+
+@query("""SELECT (row_number() OVER (ORDER BY n_nationkey))::INT AS model_pos, CASE WHEN n_regionkey = 0 THEN 'id-' || n_nationkey WHEN n_regionkey = 1 THEN 'v/' || n_name ELSE n_name END AS name,
+  CASE WHEN n_regionkey IN (0, 2) THEN 'id-' || n_nationkey ELSE 'v/' || n_name END AS model, 'https://e.org/' || n_regionkey AS api FROM nation""")
+def q48_model_entries(spark, d):
+    """A configuration's entries by place: names default to the model, models to the id, and spaces at the ends go."""
+    n, key = table(spark, d, "nation"), F.col("n_nationkey").cast("string")
+    region = F.col("n_regionkey")
+    entry = json_object(
+        name=F.when(region == 0, F.lit('" "')).when(region != 1, json_string(F.concat(F.lit(" "), "n_name"))), model=F.when(region == 0, F.lit('""')).when(region == 2, F.lit("3")).otherwise(json_string(F.concat(F.lit("v/"), "n_name", F.lit(" ")))),
+        id=json_string(F.concat(F.lit("id-"), key)), api=json_string(F.concat(F.lit("https://e.org/"), region.cast("string"))),
+    )
+    listed = n.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n_nationkey", entry.alias("x")))), lambda s: s["x"]), ", ").alias("all"))
+    return readers.model_rows(listed.select(F.concat(F.lit('{"models": ['), "all", F.lit("]}")).alias("value")))
+
+
+@query("""SELECT event_id, '    {' || chr(10) || '      "event_id": ' || event_id || ',' || chr(10) || '      "kind": "' || event_type || ' \\u00e9\\"",' || chr(10) || '      "amount": ' || value || ',' || chr(10)
+  || '      "even": ' || (user_id % 2 = 0) || ',' || CASE WHEN user_id % 3 = 0 THEN '' ELSE chr(10) || '      "error": null,' END || chr(10) || '      "of": {' || chr(10) || '        "user": [' || chr(10) || '          ' || user_id || chr(10) || '        ]' || chr(10) || '      }' || chr(10)
+  || '    }' || CASE WHEN event_id = max(event_id) OVER () THEN '' ELSE ',' END AS entry FROM events""")
+def q49_indented_entries(spark, d):
+    """Entries of a list in the indented document: nested values, nulls, escapes, and fields that a row doesn't have."""
+    user = F.col("user_id")
+    rows = table(spark, d, "events").select("event_id", F.concat("event_type", F.lit(' é"')).alias("kind"), F.col("value").alias("amount"), (user % 2 == 0).alias("even"), F.lit(None).cast("string").alias("error"), F.struct(F.array(user).alias("user")).alias("of"), "user_id")
+    entries = sinks.indented_entries(rows, ("event_id", "kind", "amount", "even", "error", "of"), ("event_id",), 2, dropped=F.when(user % 3 == 0, F.array(F.lit("error"))))
+    return entries.select("event_id", F.col("value").alias("entry"))
+
+
+@query("""SELECT conv_id, turn, CASE turn % 5 WHEN 0 THEN 'Invalid JSON from benchmark API' WHEN 1 THEN 'Benchmark API returned a non-object JSON response' END AS error,
+  CASE WHEN turn % 5 < 3 THEN '' ELSE coalesce(role, '') END AS prediction_protocol_name, CASE turn % 5 WHEN 2 THEN '[3]' WHEN 3 THEN '{"protocol_name":"' || role || '"}' WHEN 4 THEN '{"protocol_name":"' || role || '","segments":[{"name":"s"},4]}' END AS prediction,
+  CASE turn % 5 WHEN 3 THEN '{"by":' || conv_id || '}' WHEN 4 THEN '"text"' END AS raw_output, CASE WHEN turn % 5 = 4 THEN 1 ELSE 0 END AS n_segments FROM conversations""")
+def q50_prediction_and_raw(spark, d):
+    """Replies of every kind: the prediction and the model's raw output as they came, and what is taken from them."""
+    kind = F.col("turn") % 5
+    result = F.when(kind == 2, F.lit("[3]")).when(kind == 3, json_object(protocol_name=json_string(F.col("role")))).otherwise(json_object(protocol_name=json_string(F.col("role")), segments=F.lit('[{"name": "s"}, 4]')))
+    raw = F.when(kind == 3, F.concat(F.lit('{"by": '), F.col("conv_id").cast("string"), F.lit("}"))).when(kind == 4, F.lit('"text"'))
+    reply = F.when(kind == 0, F.lit("{")).when(kind == 1, F.lit("[{}]")).otherwise(json_object(result=result, raw=raw))
+    got = readers.predictions(table(spark, d, "conversations").select("conv_id", "turn", "role", reply.alias("response")))
+    return got.select("conv_id", "turn", "error", "prediction_protocol_name", "prediction", "raw_output", F.size("pred_segments").alias("n_segments"))
+
+
+def answer_some(url: str) -> tuple[bytes, str | None, str]:
+    """Stands for the web: some addresses fail, some are empty."""
+    if url.endswith("1"):
+        raise OSError("refused")
+    return b"" if url.endswith("2") else url.encode(), "text/plain", url
+
+
+@query("""SELECT page_id, CASE WHEN page_id % 4 = 0 THEN 'skipped' WHEN url LIKE '%1' OR url LIKE '%2' THEN 'error' ELSE 'downloaded' END AS status,
+  CASE WHEN page_id % 4 = 0 THEN page_id || ': no protocol_link URL' WHEN url LIKE '%1' THEN page_id || ': request failed for ' || url || ' (refused)' WHEN url LIKE '%2' THEN page_id || ': empty response from ' || url ELSE '' END AS message,
+  CASE WHEN page_id % 4 <> 0 AND url NOT LIKE '%1' AND url NOT LIKE '%2' THEN url END AS content FROM pages""")
+def q51_fetch_outcomes(spark, d):
+    """What becomes of a download: no address, a failed request, an empty reply, content."""
+    plan = table(spark, d, "pages").select("page_id", F.col("page_id").cast("string").alias("protocol_id"), F.when(F.col("page_id") % 8 == 0, "").when(F.col("page_id") % 4 != 0, F.col("url")).alias("url"))
+    return seams.fetch(plan, answer_some).select("page_id", "status", "message", F.decode("content", "UTF-8").alias("content"))

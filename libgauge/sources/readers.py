@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from fnmatch import fnmatchcase
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.segments import object_at, segments_at, string_at
 from ..functions.text import filled, path_stem, path_suffix, strip
 from ..functions.urls import is_web
-from ..store import unused
+from ..store import Store, unused
 
 #: What ``predictions`` adds.
 PREDICTED = ("error", "prediction_protocol_name", "pred_library", "pred_segments", "pred_placeholders", "prediction", "raw_output")
@@ -26,8 +28,32 @@ def require_folder(spark: SparkSession, folder: str, what: str = "Input director
 
 
 def read_texts(spark: SparkSession, folder: str, pattern: str = "*.txt") -> DataFrame:
-    """file_name, path, value: whole UTF-8 files."""
-    return spark.read.text(folder, wholetext=True, pathGlobFilter=pattern).select(F.col("_metadata.file_name").alias("file_name"), plain_path(F.col("_metadata.file_path")).alias("path"), "value")
+    """file_name, path, value: whole UTF-8 files, those too whose names begin with a dot or an underscore."""
+    shown = spark.read.text(folder, wholetext=True, pathGlobFilter=pattern).select(F.col("_metadata.file_name").alias("file_name"), plain_path(F.col("_metadata.file_path")).alias("path"), "value")
+    copies = _hidden(spark, folder, pattern)
+    if copies is None:
+        return shown
+    hidden = spark.read.text(copies, wholetext=True)
+    name = F.regexp_replace(F.url_decode(F.col("_metadata.file_name")), "^hidden", "")
+    return shown.unionByName(hidden.select(name.alias("file_name"), F.concat(F.lit(folder.rstrip("/") + "/"), name).alias("path"), "value"))
+
+
+def _hidden(spark: SparkSession, folder: str, pattern: str) -> str | None:
+    """Spark's readers pass over files with such names.  A folder of copies under other names, made by the file
+    systems file by file; None if there are none."""
+    hadoop, conf = spark._jvm.org.apache.hadoop.fs, spark._jsparkSession.sessionState().newHadoopConf()
+    path = hadoop.Path(folder)
+    fs = path.getFileSystem(conf)
+    if not fs.exists(path):
+        return None
+    found = [f.getPath() for f in fs.listStatus(path) if f.isFile() and f.getPath().getName()[:1] in "._" and fnmatchcase(f.getPath().getName(), pattern)]
+    if not found:
+        return None
+    store = Store(spark)
+    for source in found:
+        target = hadoop.Path(f"{store.root}/hidden", f"hidden{source.getName()}")
+        hadoop.FileUtil.copy(fs, source, target.getFileSystem(conf), target, False, conf)
+    return f"{store.root}/hidden"
 
 
 def read_binaries(spark: SparkSession, folder: str, pattern: str = "*.pdf", recursive: bool = False) -> DataFrame:
@@ -127,7 +153,11 @@ def with_presence(rows: DataFrame, pdfs: DataFrame, texts: DataFrame) -> DataFra
 def models(spark: SparkSession, folder_or_json: str, inline: bool = False) -> DataFrame:
     """Model configurations from a JSON list or an object with a list ``models``.  An invalid entry stops
     the query with its number, counted from 1."""
-    text = spark.createDataFrame([(folder_or_json,)], "value string") if inline else spark.read.text(folder_or_json, wholetext=True).select("value")
+    return model_rows(spark.createDataFrame([(folder_or_json,)], "value string") if inline else spark.read.text(folder_or_json, wholetext=True).select("value"))
+
+
+def model_rows(text: DataFrame) -> DataFrame:
+    """model_pos, name, model, api of each entry of the configuration in ``value``."""
     doc = text.select(F.parse_json("value").alias("doc")).select(F.expr("if(schema_of_variant(doc) LIKE 'OBJECT%', variant_get(doc, '$.models', 'variant'), doc)").alias("doc"))
     listed = doc.select(F.expr("if(schema_of_variant(doc) LIKE 'ARRAY%', cast(doc AS array<variant>), cast(raise_error('models must be a list') AS array<variant>))").alias("all"))
     each = listed.select(F.posexplode("all").alias("at", "entry"))

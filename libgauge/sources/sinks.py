@@ -64,14 +64,14 @@ def csv_view(rows: DataFrame, columns: tuple[str, ...]) -> DataFrame:
     return rows.select(*map(shown, columns))
 
 
-def csv_lines(view: DataFrame) -> DataFrame:
-    """value: each row's fields between commas, in quotes where they hold a comma, a quote or a line end."""
+def csv_line(*columns: str) -> Column:
+    """The fields between commas, in quotes where they hold a comma, a quote or a line end."""
 
     def quoted(c: str) -> Column:
         doubled = F.concat(F.lit('"'), F.replace(F.col(f"`{c}`"), F.lit('"'), F.lit('""')), F.lit('"'))
         return F.when(F.col(f"`{c}`").rlike('[",\r\n]'), doubled).otherwise(F.col(f"`{c}`"))
 
-    return view.select(F.concat_ws(",", *(quoted(c) for c in view.columns)).alias("value"))
+    return F.concat_ws(",", *map(quoted, columns))
 
 
 def write_csv(rows: DataFrame, columns: tuple[str, ...], path: str, order: tuple[str, ...] = (), mode: str = "errorifexists") -> bool:
@@ -80,7 +80,7 @@ def write_csv(rows: DataFrame, columns: tuple[str, ...], path: str, order: tuple
     if rows.isEmpty():
         return False
     view = csv_view(rows.orderBy(*order) if order else rows, columns)
-    write_joined(csv_lines(view), path, ",".join(columns) + "\r\n", "\r\n", mode)
+    write_joined(view.select(csv_line(*columns).alias("value")), path, ",".join(columns) + "\r\n", "\r\n", mode)
     return True
 
 
