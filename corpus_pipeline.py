@@ -9,6 +9,12 @@ folder are deleted, but for those that its docs still read (stages chained witho
 3. suffix-array dedup: passages of 200 bytes and more that are elsewhere too are cut out.
 4. mixing: every document is read at least once, those of small sources up to 1.5 times.
 5. packing: pieces of sequences of 1024 tokens.
+
+Defined results: a null text counts as empty; it is scored like any other, is no document's copy, has nothing to cut,
+is read as often as its source is, and packs as its end token alone.  Of repeated rows one stays; of near copies the one with the
+least id (null ids last), then of the least hash of its columns.  How rows are dealt out decides nothing.
+Texts of any length are taken whole.  An empty table gives an empty result at every stage.  Columns other than
+the documents' own are kept up to the last stage, whatever their names.
 """
 
 from __future__ import annotations

@@ -87,6 +87,23 @@ def test_default_pace():
     assert inspect.signature(benchmark.run_folder).parameters["delay"].default == 1.0
 
 
+def test_pace_of_several_tasks(spark, root):
+    """One request goes out a delay, whatever the number of tasks."""
+    import time
+
+    log = str(root / "log")
+    rows = spark.createDataFrame([("m", "x", f"u{k}", None) for k in range(9)], "model string, api string, source_used string, error string")
+
+    def timed(r):
+        with open(log, "a") as f:
+            f.write(f"{os.getpid()} {time.time()}\n")
+        return r.source
+
+    assert seams.infer(rows, timed, delay=0.3, requests_at_once=3).filter("error IS NULL").count() == 9
+    at = sorted(float(line.split()[1]) for line in open(log))
+    assert len(at) == 9 and at[-1] - at[0] > 0.3 * 3 * 2 - 0.2  # the busiest of three tasks pauses at least twice, for three delays
+
+
 def test_a_run_that_died_goes_on(spark, root):
     """The worker dies after some replies; the next run only sends what has none."""
     log, lives = str(root / "log"), str(root / "lives")
