@@ -37,22 +37,15 @@ def edit_distance(a: str, b: str) -> int:
         a, b = b, a
     if not b:
         return len(a)
-    at, full, top = places(a), (1 << len(a)) - 1, 1 << (len(a) - 1)
-    up, down, score = full, 0, len(a)  # bits where a column rises or falls by one, and its last value
+    at, full = places(a).get, (1 << len(a)) - 1
+    up, down = full, 0  # bits where a column rises or falls by one on its way down
     for c in b:
-        same = at.get(c, 0)
+        same = at(c, 0)
         diagonal = (((same & up) + up) ^ up) | same
-        rise = down | (full & ~(diagonal | up))
-        fall = up & diagonal
-        if rise & top:
-            score += 1
-        elif fall & top:
-            score -= 1
-        rise, fall = (rise << 1) | 1, fall << 1
+        rise = ((down | (full ^ (diagonal | up))) << 1) | 1
         vertical = same | down
-        up = (fall | ~(vertical | rise)) & full
-        down = rise & vertical & full
-    return score
+        up, down = (((up & diagonal) << 1) | (full ^ (vertical | rise))) & full, rise & vertical
+    return len(b) + up.bit_count() - down.bit_count()
 
 
 def _far(left: pa.Array, right: pa.Array) -> pa.Array:
