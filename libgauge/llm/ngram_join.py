@@ -10,7 +10,7 @@ step, and no step drops a pair it can't exclude:
 1. Which shingles are alone.  Hashes below a share of the hash range (all of them in small sets) are
    sorted, one bucket at a time.  A set with more than |a| - T(a) shingles that nobody else has
    links with nothing and leaves.
-2. T-occurrence search.  What remains is dealt by its least hash, at most DEAL sets to a task of one
+2. T-occurrence search.  What remains is dealt by its least hash, at most DEAL sets and DEAL_BYTES to a task of one
    hash; equal sets count once.  Each deal's sets are searched in blocks of BLOCK against inverted indexes
    of the deal's earlier blocks and their own, by DivideSkip: the short inverted lists are merged,
    the long ones probed by binary search for those sets that may still reach T.
@@ -47,6 +47,8 @@ WORDS, PERCENT = 3, 90
 SMALL_SET = 64
 #: So many sets are indexed at a time in step 2; a task gets so many of one least hash.
 BLOCK, DEAL = 1024, 4096
+#: And so many bytes of hashes: a task holds those of its deal.
+DEAL_BYTES = 64 << 20
 #: Lists of step 3 with more members than this are split into blocks.
 LIST = 1024
 SKETCH_BITS = 1024
@@ -258,7 +260,7 @@ def find_sets(chunks: DataFrame, work: Workspace, words: int, percent: int, buck
     return work.save(told.mapInArrow(kept, SETS_DDL), "sets")
 
 
-def first_links(sets: DataFrame, percent: int, tasks: int, deal: int = DEAL) -> DataFrame:
+def first_links(sets: DataFrame, percent: int, tasks: int, deal: int = DEAL, deal_bytes: int = DEAL_BYTES) -> DataFrame:
     """Step 2: distinct sets with the root that the search inside their deal gives them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -297,8 +299,9 @@ def first_links(sets: DataFrame, percent: int, tasks: int, deal: int = DEAL) ->
 
         yield from rows_out(FIRST, rows(), size=lambda r: 1200 + 9 * len(r[6]))
 
-    whole = sets.filter(F.col("shingles").isNotNull()).select("node", "key", "print", "shingles")
-    crowded = whole.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter(F.col("size") > deal).select("key", F.ceil(F.col("size") / deal).alias("parts"))
+    whole = sets.filter(F.col("shingles").isNotNull()).select("node", "key", "print", "n", "shingles")
+    sizes = whole.groupBy("key").agg(F.count(F.lit(1)).alias("size"), (F.lit(8) * F.sum("n")).alias("bytes"))
+    crowded = sizes.select("key", F.greatest(F.ceil(F.col("size") / deal), F.ceil(F.col("bytes") / deal_bytes)).alias("parts")).filter("parts > 1")
     dealt = whole.join(crowded, "key", "left").withColumn("part", F.pmod(F.xxhash64("print"), F.coalesce("parts", F.lit(1))))
     return dealt.select("node", "key", "part", "print", "shingles").repartition(tasks, "key", "part").sortWithinPartitions("key", "part", "print", "node").mapInArrow(run, FIRST_DDL)
 
@@ -437,7 +440,7 @@ def join(df: DataFrame, words: int = WORDS, percent: int = PERCENT, id_col: str
     total = df.agg(F.sum(F.octet_length(F.col(f"`{text_col}`").cast("string")))).first()[0] or 0
     sets = find_sets(chunks, work, words, percent, max(BUCKETS, total // BUCKET_BYTES))
     work.drop("chunks", "shared")
-    first = work.save(first_links(sets, percent, max(4, total // (24 << 20))), "first")
+    first = work.save(first_links(sets, percent, max(4, total // (24 << 20)), DEAL, DEAL_BYTES), "first")
     for name, forest in (("forest", True), ("rest", False)):
         pairs = work.save(open_pairs(mixed_lists(first), percent, forest), f"{name}_pairs")
         first = relabel(first, count_pairs(pairs, sets, work, name, percent), work, f"{name}_labels")

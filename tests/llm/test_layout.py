@@ -94,9 +94,10 @@ def test_buckets_and_homes_of_any_number(docs):
     Workspace.close_all()
 
 
-def test_more_buckets_in_the_join(docs, monkeypatch):
+def test_more_buckets_and_small_deals_in_the_join(docs, monkeypatch):
     want = sorted(map(str, ngram_join.join(docs).collect()))
     monkeypatch.setattr(ngram_join, "BUCKET_BYTES", 30)
+    monkeypatch.setattr(ngram_join, "DEAL_BYTES", 200)
     assert sorted(map(str, ngram_join.join(docs).collect())) == want
     Workspace.close_all()
 
