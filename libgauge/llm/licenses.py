@@ -11,7 +11,7 @@ line.  For each template the windows of consecutive words, across lines, that be
 of its bigrams are compared too.  A window has one of the template's less common words and, inside the
 upper bound, as many of its bigrams as the lower bound says; other texts and places are passed over.
 From each beginning the best window counts; windows that touch a line (or whole text) which matches
-the template no worse are not counted beside it; of windows of one template that end at the same word only the best is, and then
+the template are not counted beside it, unless they span lines and match better than that line; of windows of one template that end at the same word only the best is, and then
 of those that overlap.
 
 Defined results: a null or empty text has no units and no licence; of several matches the greatest
@@ -130,7 +130,8 @@ def _windows(hits: Column, matches: Column, rank: int, name: str, bigrams: list[
     def search(seen: Column) -> Column:
         dense = lambda s, i: F.coalesce(F.try_element_at(seen, i + need)["at"] - s["at"] < most, F.lit(False))
         starts = F.filter(F.transform(seen, lambda s, i: F.when(dense(s, i), best_from(seen, s, i))), lambda w: w.isNotNull() & (-w["less"] >= threshold))
-        taken = lambda w: F.exists(matches, lambda m: (m["rank"] == -rank) & (m["dice"] >= -w["less"]) & ((m["before"] == 1) | (-m["before"]).between(w["line"], w["end"])))
+        beaten = lambda m, w: (m["dice"] < -w["less"]) & (w["line"] < w["end"])
+        taken = lambda w: F.exists(matches, lambda m: (m["rank"] == -rank) & ((m["before"] == 1) | (-m["before"]).between(w["line"], w["end"]) & ~beaten(m, w)))
         # Of the many beginnings of windows that end at one word the best is enough.
         by_end = F.array_sort(F.transform(F.filter(starts, lambda w: ~taken(w)), lambda w: F.struct(*(w[c].alias(c) for c in ("last", "less", "first", "line", "end")))))
         ends = F.transform(F.array(by_end), lambda all_: F.filter(all_, lambda w, i: (i == 0) | (F.get(all_, i - 1)["last"] != w["last"])))[0]
