@@ -472,7 +472,8 @@ def keep_one(df: DataFrame, words: int = 5, percent: int = 80, text_col: str = "
     many = joined.filter(F.col(row) != F.col("component_id")).select("component_id").distinct()
     members = joined.join(many, "component_id").join(numbered.select(row, null, own, *marks), row)
     members = work.save(members.select(row, "component_id", F.struct(null, own, *marks, row).alias("order")), "members")
-    gone = members.join(members.groupBy("component_id").agg(F.min("order").alias("least")), "component_id").filter(F.col("order") != F.col("least")).select(row)
+    best = members.groupBy("component_id").agg(F.min("order").alias("least")).select(F.col(f"least.{row}").alias(row))
+    gone = members.select(row).join(best, row, "left_anti")
     return numbered.join(checked(gone, members.count()), row, "left_anti").select(*(F.col(f"`{c}`") for c in df.columns))
 
 
