@@ -77,7 +77,9 @@ def run(
         chosen = readers.with_presence(chosen, *contents)
     store = Store(models.sparkSession)
     planned = store.save(plan_runs(models, chosen, mode))
-    replies = store.save(seams.infer(planned, transport, delay, requests_at_once, journal or f"{store.root}/journal", contents))
+    if contents is not None:  # only those of kinds that the mode sends
+        contents = tuple(files if mode in (kind, "auto") else files.limit(0) for kind, files in zip(("pdf", "text"), contents))
+    replies = store.save(seams.infer(planned, transport, delay, requests_at_once, journal or f"{store.root}/journal", None if mode == "url" else contents))
     result = evaluate(replies, include_raw, store)
     result.counts = counts
     return result

@@ -21,6 +21,11 @@ def plain_path(path: Column) -> Column:
     return F.regexp_replace(path, "^file:/+", "/")
 
 
+def decoded(x: Column) -> Column:
+    """Spark's _metadata has names and paths with escapes."""
+    return F.url_decode(F.replace(x, F.lit("+"), F.lit("%2B")))
+
+
 def require_folder(spark: SparkSession, folder: str, what: str = "Input directory not found") -> None:
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
     if not path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(path):
@@ -29,12 +34,12 @@ def require_folder(spark: SparkSession, folder: str, what: str = "Input director
 
 def read_texts(spark: SparkSession, folder: str, pattern: str = "*.txt") -> DataFrame:
     """file_name, path, value: whole UTF-8 files, those too whose names begin with a dot or an underscore."""
-    shown = spark.read.text(folder, wholetext=True, pathGlobFilter=pattern).select(F.col("_metadata.file_name").alias("file_name"), plain_path(F.col("_metadata.file_path")).alias("path"), "value")
+    shown = spark.read.text(folder, wholetext=True, pathGlobFilter=pattern).select(decoded(F.col("_metadata.file_name")).alias("file_name"), plain_path(decoded(F.col("_metadata.file_path"))).alias("path"), "value")
     copies = _hidden(spark, folder, pattern)
     if copies is None:
         return shown
     hidden = spark.read.text(copies, wholetext=True)
-    name = F.regexp_replace(F.url_decode(F.col("_metadata.file_name")), "^hidden", "")
+    name = F.regexp_replace(decoded(F.col("_metadata.file_name")), "^hidden", "")
     return shown.unionByName(hidden.select(name.alias("file_name"), F.concat(F.lit(folder.rstrip("/") + "/"), name).alias("path"), "value"))
 
 

@@ -273,13 +273,14 @@ def test_maps_are_equal_by_value(spark):
 
 
 def test_hidden_files_are_listed(spark, root):
-    for name in (".a.json", "_b c.json", "%2e.json"):
+    for name in (".a.json", "_b c.json", "%2e.json", "c d+e.json"):
         (root / "protocols" / name).write_text(json.dumps({**TRUTH, "protocol_id": name}))
     (root / "protocols" / ".note").write_text("no")
     (root / "protocols" / ".dir.json").mkdir()
     (root / "protocol_texts" / ".a.txt").write_text("hidden text")
     rows = {r.file_name: r for r in readers.load_protocols(spark, str(root)).collect()}
-    assert set(rows) == {"p.json", ".a.json", "_b c.json", "%2e.json"} and rows["_b c.json"].protocol_id == "_b c.json"
+    assert set(rows) == {"p.json", ".a.json", "_b c.json", "%2e.json", "c d+e.json"} and rows["_b c.json"].protocol_id == "_b c.json"
     texts = {r.file_name: (r.path, r.value) for r in readers.read_texts(spark, str(root / "protocol_texts")).collect()}
+    assert texts["p.txt"][0] == f"{root}/protocol_texts/p.txt"
     assert texts[".a.txt"] == (f"{root}/protocol_texts/.a.txt", "hidden text") and len(texts) == 2
     close_all()
