@@ -27,8 +27,36 @@ def slow(a, b):
 
 @settings(max_examples=400, deadline=None)
 @given(st.text("abé😀\n", max_size=40), st.text("abé😀\n", max_size=40))
-def test_columns(a, b):
-    assert distance.edit_distance(a, b) == slow(a, b)
+def test_columns_and_diagonals(a, b):
+    want = slow(a, b)
+    assert distance.edit_distance(a, b) == want
+    assert not a or not b or distance.by_columns(*sorted((a, b), key=len, reverse=True)) == want
+    for limit in (0, want - 1, want, want + 1, want + 7):
+        if limit >= 0:
+            assert distance.along_diagonals(a, b, limit) == (want if want <= limit else None)
+
+
+def edited(rng, text, n):
+    text = list(text)
+    for _ in range(n):
+        k = rng.randrange(len(text))
+        rng.choice((lambda: text.insert(k, "x"), lambda: text.pop(k), lambda: text.__setitem__(k, "y")))()
+    return "".join(text)
+
+
+def test_near_texts_of_any_length():
+    """Few edits in long texts: columns and diagonals agree, and diagonals take their time from the distance."""
+    import time
+
+    rng = random.Random(5)
+    for size, n in ((3000, 25), (3000, 40), (20_000, 150)):
+        a = "".join(rng.choice("abcd efgh\n") for _ in range(size))
+        b = edited(rng, a, n)
+        assert distance.edit_distance(a, b) == distance.by_columns(*sorted((a, b), key=len, reverse=True)) <= n
+    a = "".join(rng.choice("abcd efgh\n") for _ in range(3_000_000))
+    began = time.monotonic()
+    assert 0 < distance.edit_distance(a, edited(rng, a, 300)) <= 300
+    assert time.monotonic() - began < 30  # columns would take half an hour
 
 
 def test_long_columns():
