@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..functions.distance import as_similarity
 from ..functions.segments import SEGMENT, integer_at, object_at, string_at
-from ..functions.text import newline_count, safe_filename, similarity, strip
+from ..functions.text import newline_count, path_stem, safe_filename, similarity, strip
 from ..functions.urls import EXTENSIONS, guess_extension
 from ..operators import aggregate, score, select
 from ..operators.measure import distances
@@ -26,6 +26,7 @@ from ..operators.number import number_rows
 from ..sources import acquire, readers, seams, sinks
 from ..sources.web import plan_requests, read_web
 from ..store import Store, saved
+from . import benchmark
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -657,3 +658,56 @@ def q51_fetch_outcomes(spark, d):
     """What becomes of a download: no address, a failed request, an empty reply, content."""
     plan = table(spark, d, "pages").select("page_id", F.col("page_id").cast("string").alias("protocol_id"), F.when(F.col("page_id") % 8 == 0, "").when(F.col("page_id") % 4 != 0, F.col("url")).alias("url"))
     return seams.fetch(plan, answer_some).select("page_id", "status", "message", F.decode("content", "UTF-8").alias("content"))
+
+
+_FLAG = "CASE WHEN {0} IS NULL THEN '' WHEN {0} THEN 'True' ELSE 'False' END"
+
+
+@query(STAND_IN + f"""SELECT concat_ws(',', protocol_id, model_name, segment_index, segment_name, gt_region, gt_region, pred_region, {_FLAG.format("region_exact")}, gt_length, pred_length, {_FLAG.format("length_exact")}, sequence_similarity,
+  {_FLAG.format("sequence_exact")}, gt_chr, pred_chr, {_FLAG.format("char_exact")}, {_FLAG.format("pred_present")}) AS line
+FROM (SELECT r.*, g.chr AS gt_chr, coalesce(p.chr, '') AS pred_chr FROM region_row r JOIN run USING (model_name, protocol_id) JOIN seg g ON g.conv_id = protocol_id AND g.idx = segment_index LEFT JOIN seg p ON p.conv_id = other_id AND p.idx = segment_index)""")
+def q52_region_csv_lines(spark, d):
+    """Lines of the regions' CSV, similarities to their last digit."""
+    view = sinks.csv_view(score.region_rows(stand_in(spark, d, measured=True), "protocol_id", "model_name"), sinks.REGION_COLUMNS)
+    return view.select(sinks.csv_line(*sinks.REGION_COLUMNS).alias("line"))
+
+
+@query("""WITH r AS (SELECT r_regionkey + 1 AS model_pos, trim(r_name) AS model_name, 'v/' || r_regionkey AS model_id, n_nationkey, lpad(n_nationkey::VARCHAR, 2, '0') || '.json' AS file_name,
+  CASE WHEN n_regionkey = 0 THEN '/p/' || n_nationkey || '.pdf' END AS pdf, CASE WHEN n_regionkey < 2 THEN '/t/' || n_nationkey || '.txt' END AS txt, CASE WHEN n_regionkey < 4 THEN 'https://e.org/' || n_nationkey ELSE '' END AS url FROM region CROSS JOIN nation)
+SELECT row_number() OVER (ORDER BY model_pos, file_name)::BIGINT AS run_number, model_name, model_id, 'x' AS api, 'auto' AS input_mode, file_name, coalesce(pdf, txt, nullif(url, ''), '') AS source_used,
+  CASE WHEN pdf IS NOT NULL THEN 'pdf' WHEN txt IS NOT NULL THEN 'text' WHEN url <> '' THEN 'url' END AS source_kind, CASE WHEN pdf IS NULL AND txt IS NULL AND url = '' THEN 'no usable input source found' END AS error FROM r""")
+def q53_planned_runs(spark, d):
+    """Runs as they are planned, numbered model by model in path order."""
+    region, n = F.col("n_regionkey"), F.col("n_nationkey").cast("string")
+    models = table(spark, d, "region").select((F.col("r_regionkey") + 1).alias("model_pos"), F.trim("r_name").alias("name"), F.concat(F.lit("v/"), F.col("r_regionkey").cast("string")).alias("model"), F.lit("x").alias("api"))
+    chosen = table(spark, d, "nation").select(
+        F.concat(F.lpad(n, 2, "0"), F.lit(".json")).alias("file_name"), F.when(region == 0, F.concat(F.lit("/p/"), n, F.lit(".pdf"))).alias("pdf_path"), F.when(region < 2, F.concat(F.lit("/t/"), n, F.lit(".txt"))).alias("text_path"),
+        F.when(region < 4, F.concat(F.lit("https://e.org/"), n)).otherwise("").alias("protocol_url"),
+    )
+    planned = select.run_numbers(benchmark.plan_runs(models, chosen, "auto"), "model_pos", "file_name")
+    return planned.select("run_number", "model_name", "model_id", "api", "input_mode", "file_name", "source_used", "source_kind", "error")
+
+
+@query("SELECT page_id, page_id % 3 < 2 AS pdf, CASE page_id % 3 WHEN 0 THEN 'x.y' WHEN 1 THEN '.x' ELSE 'x' END AS stem FROM pages")
+def q54_pdf_names(spark, d):
+    """Names by their suffix, whatever its case; a name that begins with a dot has its last one as a suffix only."""
+    n = F.col("page_id") % 3
+    path = F.when(n == 0, "/in.pdf/x.y.PDF").when(n == 1, "/in/.x.pdf").otherwise("/in.pdf/x.pdfx")
+    return table(spark, d, "pages").select("page_id", readers.is_pdf(path).alias("pdf"), path_stem(path).alias("stem"))
+
+
+def split_lines(content: bytes) -> list[bytes]:
+    if b"<title>" not in content:
+        raise ValueError("no pages")
+    return content.split(b"\n")
+
+
+def misreader() -> Callable[[bytes], str]:
+    return lambda image: image.decode().replace("a", "4")
+
+
+@query("""SELECT page_id, CASE WHEN contains(html, '<title>') THEN rtrim(ltrim(replace(replace(html, 'a', '4'), chr(10), chr(10) || chr(10) || chr(10) || chr(10)), ' ' || chr(10)), ' ' || chr(10)) END AS text, CASE WHEN NOT contains(html, '<title>') THEN 'no pages' END AS error FROM pages WHERE html IS NOT NULL""")
+def q55_ocr_pages(spark, d):
+    """Documents read page by page over all tasks and joined in order; the recogniser takes an a for a 4."""
+    docs = table(spark, d, "pages").filter("html IS NOT NULL").select(F.col("page_id").cast("string").alias("path"), F.encode("html", "UTF-8").alias("content"))
+    return seams.ocr(docs, misreader, split_lines).select(F.col("path").cast("long").alias("page_id"), "text", "error")
