@@ -99,10 +99,11 @@ def format_chats(
         F.col(f"`{conv_col}`").alias("conv_id"), F.col(f"`{turn_col}`").cast("long").alias("turn"),
         F.coalesce(F.col(f"`{role_col}`").cast("string"), F.lit("")).alias("role"), parts.alias("parts"),
     )
-    # Rows of one conversation and turn are told apart in placeholders.
-    again = F.lit(1) if parts_col is None else F.row_number().over(Window.partitionBy("conv_id", "turn").orderBy("role", "parts"))
+    # Rows of one conversation and turn are told apart in placeholders, where a null turn reads -1.
+    written = F.coalesce(F.col("turn"), F.lit(-1).cast("long"))
+    again = F.lit(1) if parts_col is None else F.row_number().over(Window.partitionBy("conv_id", written).orderBy(F.asc_nulls_first("turn"), "role", "parts"))
     rows = rows.withColumn("again", again)
-    turn = F.concat(F.coalesce(F.col("turn").cast("string"), F.lit("null")), F.when(F.col("again") > 1, F.concat(F.lit("~"), F.col("again").cast("string"))).otherwise(""))
+    turn = F.concat(written.cast("string"), F.when(F.col("again") > 1, F.concat(F.lit("~"), F.col("again").cast("string"))).otherwise(""))
     place = lambda i: F.concat_ws(".", turn, i.cast("string"))
     flat = rows.withColumn("flat", F.transform("parts", lambda p, i: visitor.visit(p, place(i))))
     body = F.array_join(F.transform("flat", lambda x: x["rendered"]), "")

