@@ -62,6 +62,8 @@ GRAM = 16
 SPAN = 64 * PERIOD
 #: So many samples are sorted at a time, unless more share one least hash.
 SORTED = 1 << 16
+#: Rows of their matrix that are built or compared at a time.
+ROWS_AT_ONCE = 1 << 13
 SAMPLE_BITS = 40
 
 
@@ -286,15 +288,31 @@ class Chunk:
         return np.cumsum(edge[:-1]) > 0
 
 
+def windows_of(padded: np.ndarray, at: np.ndarray, width: int, valid: np.ndarray, backwards: bool = False) -> np.ndarray:
+    """Rows of ``width`` bytes from these places, zeros beyond their valid length, and that length in two more bytes.
+    Built in blocks of rows, so that little stands beside the matrix itself."""
+    view = np.lib.stride_tricks.sliding_window_view(padded, width)
+    rows = np.empty((len(at), width + 2), np.uint8)
+    for lo in range(0, len(at), ROWS_AT_ONCE):
+        part = slice(lo, lo + ROWS_AT_ONCE)
+        block = view[at[part]]
+        block = block[:, ::-1] if backwards else block
+        rows[part, :width] = np.where(np.arange(width) < valid[part, None], block, np.uint8(0))
+    rows[:, width], rows[:, width + 1] = valid >> 8, valid & 255
+    return rows
+
+
 def ranked(strings: np.ndarray, valid: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Order of rows of bytes (zeros beyond their valid length, the shorter first in a tie), and how many
+    """Order of rows of bytes as ``windows_of`` makes them (the shorter first in a tie), and how many
     bytes each shares with the one before it in that order."""
-    order = np.argsort(valid, kind="stable")
-    order = order[np.argsort(np.ascontiguousarray(strings[order]).view(f"S{strings.shape[1]}").ravel(), kind="stable")]
-    rows, length = strings[order], valid[order]
-    differ = rows[1:] != rows[:-1]
-    shared = np.where(differ.any(1), differ.argmax(1), strings.shape[1])
-    return order, np.r_[0, np.minimum(shared, np.minimum(length[1:], length[:-1]))]
+    width = strings.shape[1] - 2
+    order = np.argsort(strings.view(f"S{width + 2}").ravel(), kind="stable")
+    shared = np.zeros(len(order), np.int64)
+    for lo in range(1, len(order), ROWS_AT_ONCE):
+        this, last = order[lo : lo + ROWS_AT_ONCE], order[lo - 1 : lo - 1 + ROWS_AT_ONCE][: len(order) - lo]
+        differ = strings[this, :width] != strings[last, :width]
+        shared[lo : lo + ROWS_AT_ONCE] = np.minimum(np.where(differ.any(1), differ.argmax(1), width), np.minimum(valid[this], valid[last]))
+    return order, shared
 
 
 def repeated_starts(data: np.ndarray, meta: np.ndarray, starts: np.ndarray, width: int) -> np.ndarray:
@@ -309,9 +327,7 @@ def repeated_starts(data: np.ndarray, meta: np.ndarray, starts: np.ndarray, widt
     before = np.minimum(PERIOD - 1, at - starts[piece])
     after = np.minimum(width, starts[piece] + meta[piece, 0] - at)
     padded = np.concatenate([np.zeros(PERIOD - 1, np.uint8), data, np.zeros(width, np.uint8)])
-    right = np.lib.stride_tricks.sliding_window_view(padded, width)[at + PERIOD - 1]
-    right = np.where(np.arange(width) < after[:, None], right, np.uint8(0))
-    order, shared = ranked(right, after)
+    order, shared = ranked(windows_of(padded, at + PERIOD - 1, width, after), after)
     short = width - PERIOD + 1
     tie = (shared >= short) | np.r_[shared[1:] >= short, False]
     shared = np.where(np.r_[False, tie[:-1]], shared, 0)[tie]
@@ -319,8 +335,7 @@ def repeated_starts(data: np.ndarray, meta: np.ndarray, starts: np.ndarray, widt
     if not len(order):
         return order
     at, before, after = at[order], before[order], after[order]
-    left = np.lib.stride_tricks.sliding_window_view(padded, PERIOD - 1)[at][:, ::-1]
-    left_order, left_shared = ranked(np.where(np.arange(PERIOD - 1) < before[:, None], left, np.uint8(0)), before)
+    left_order, left_shared = ranked(windows_of(padded, at, PERIOD - 1, before, backwards=True), before)
     found, name = [], np.zeros(len(at), np.int64)
     for s in range(PERIOD):
         name[left_order] = np.cumsum(left_shared < s) if s else 0
