@@ -319,10 +319,13 @@ def repeated_starts(data: np.ndarray, meta: np.ndarray, starts: np.ndarray, widt
     """Positions in ``data`` at which a string of ``width`` bytes begins that begins at another one too.
     Pieces (length, lead, tail, phase, ...) begin at ``starts``; their samples share a least hash or more."""
     spans = meta[:, 2] - meta[:, 1] + 1
-    inside = np.arange(spans.sum()) - np.repeat(np.cumsum(spans) - spans, spans)
-    piece = np.repeat(np.arange(len(meta)), spans)
-    picked = COVER[(meta[piece, 3] + inside) % PERIOD]
-    inside, piece = inside[picked], piece[picked]
+    # Each piece's samples, one residue of the cover after the other: no array has a number for every byte.
+    residues = np.flatnonzero(COVER)
+    first = ((residues - meta[:, 3:4]) % PERIOD).ravel()
+    times = np.maximum(0, -((first - np.repeat(spans, len(residues))) // PERIOD))
+    owner = np.repeat(np.arange(len(times)), times)
+    inside = first[owner] + PERIOD * (np.arange(len(owner)) - np.repeat(np.cumsum(times) - times, times))
+    piece = owner // len(residues)
     at = starts[piece] + meta[piece, 1] + inside
     before = np.minimum(PERIOD - 1, at - starts[piece])
     after = np.minimum(width, starts[piece] + meta[piece, 0] - at)
@@ -336,7 +339,7 @@ def repeated_starts(data: np.ndarray, meta: np.ndarray, starts: np.ndarray, widt
         return order
     at, before, after = at[order], before[order], after[order]
     left_order, left_shared = ranked(windows_of(padded, at, PERIOD - 1, before, backwards=True), before)
-    found, name = [], np.zeros(len(at), np.int64)
+    found, name = np.zeros(len(data), bool), np.zeros(len(at), np.int64)
     for s in range(PERIOD):
         name[left_order] = np.cumsum(left_shared < s) if s else 0
         fits = np.flatnonzero((before >= s) & (after >= width - s))
@@ -345,8 +348,8 @@ def repeated_starts(data: np.ndarray, meta: np.ndarray, starts: np.ndarray, widt
         both = np.cumsum(shared < width - s)[fits] * (len(at) + 1) + name[fits]
         o = np.argsort(both, kind="stable")
         same = both[o[1:]] == both[o[:-1]]
-        found.append(at[fits[o[np.r_[same, False] | np.r_[False, same]]]] - s)
-    return distinct_sorted(np.concatenate([np.zeros(0, np.int64), *found]))
+        found[at[fits[o[np.r_[same, False] | np.r_[False, same]]]] - s] = True
+    return np.flatnonzero(found)
 
 
 #: Of each piece: length, lead, tail, phase, chunk (-1: no reply wanted), bytes of its blob, place in that, key.
@@ -373,9 +376,11 @@ def settle(rows: DataFrame, width: int, more: bool) -> DataFrame:
 
     def one(table: pa.Table) -> pa.Table:
         parts = [unpack_pieces(n, blob) for n, blob in zip(table.column("n").to_pylist(), table.column("blob").to_pylist())]
-        meta, data = np.concatenate([m for m, _ in parts]), np.concatenate([d for _, d in parts])
+        meta, whole = np.concatenate([m for m, _ in parts]), b"".join(d for _, d in parts)
+        del parts
+        data = np.frombuffer(whole, np.uint8)
         starts = np.cumsum(meta[:, 0]) - meta[:, 0]
-        whole, groups = data.tobytes(), defaultdict(list)
+        groups = defaultdict(list)
         for k, (lo, n, *shape) in enumerate(np.c_[starts, meta[:, :4]].tolist()):
             groups[whole[lo : lo + n], *shape].append(k)
         hit = np.zeros(len(data), bool)
