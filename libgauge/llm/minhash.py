@@ -204,7 +204,7 @@ def exact(pairs: DataFrame, signed: DataFrame, work: Workspace, name: str, perce
 
 def mixed(lists: DataFrame, roots: DataFrame, sets: DataFrame, longest: int = LIST) -> DataFrame:
     """Members of lists with more than one component, in the blocks in which they are compared: a member of the
-    largest one in its own, the others in all, and each other only at home."""
+    largest one in its own, the others in all; two of these meet in the home block of the later one."""
     placed = lists.select("token", "node").join(roots, "node")
     sizes = placed.groupBy("token", "root").agg(F.count(F.lit(1)).alias("size"))
     open_ = sizes.groupBy("token").agg(F.sum("size").alias("size"), F.max(F.struct("size", "root")).alias("most"), F.count(F.lit(1)).alias("roots")).filter("roots > 1")
@@ -225,7 +225,7 @@ def open_pairs(members: DataFrame, percent: int, forest: bool) -> DataFrame:
         found = []
         for k in np.flatnonzero(~major):  # the group is sorted by size
             lo, hi = np.searchsorted(n, -(-n[k] * percent // 100), "left"), np.searchsorted(n, n[k] * 100 // percent, "right")
-            other = np.flatnonzero((root[lo:hi] != root[k]) & (major[lo:hi] | home[k] & home[lo:hi] & (np.arange(lo, hi) < k))) + lo
+            other = np.flatnonzero((root[lo:hi] != root[k]) & (major[lo:hi] | home[k] & (np.arange(lo, hi) < k))) + lo
             alive, same = plausible(seen[k], seen[other], percent)
             found += [(-int(same[x]), int(k), int(other[x])) for x in alive if not excluded(group[k][4:], group[other[x]][4:], percent)]
         joined = Roots()

@@ -111,3 +111,20 @@ def test_pairs_over_the_threshold_survive():
             kept += share == 0.8 and len(alive)
             pruned += share == 0.3 and not len(alive)
     assert (kept, pruned) == (300, 300)
+
+
+def test_pairs_of_different_home_blocks(spark):
+    """A long list: sets outside its largest component are compared with each other, whatever their home blocks."""
+    rng = np.random.default_rng(8)
+    common = rng.integers(0, 1 << 63, 300, dtype=np.uint64) * np.uint64(2)
+    own = [np.sort(np.append(common, np.uint64(2 * k + 1))) for k in range(24)]
+    sets = spark.createDataFrame([(k, len(s), bytearray(minhash.minima(s).tobytes()), bytearray(minhash.parity(s)), None) for k, s in enumerate(own)], "node long, n long, minima binary, sketch binary, wide binary")
+    roots = [0 if k < 4 else k for k in range(24)]
+    lists = spark.createDataFrame([(1, k) for k in range(24)], "token long, node long")
+    members = minhash.mixed(lists, spark.createDataFrame(list(enumerate(roots)), "node long, root long"), sets, longest=3)
+    pairs = sorted(map(tuple, minhash.open_pairs(members, 80, False).collect()))
+    assert pairs == [(a, b) for a in range(24) for b in range(a + 1, 24) if roots[a] != roots[b]]
+    joined = Roots()
+    for a, b in minhash.open_pairs(members, 80, True).collect():
+        joined.join(roots[a], roots[b])
+    assert {joined.find(r) for r in roots} == {0}
