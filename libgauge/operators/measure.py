@@ -50,8 +50,11 @@ def distances(rows: DataFrame, texts: Column, name: str, store: Store, tasks: in
     return back.withColumn(name, F.coalesce(F.col(name), F.array().cast("array<int>"))).drop(row)
 
 
-def run_texts(truth: Column, predicted: Column, gt_library: Column, pred_library: Column) -> Column:
-    """array<struct<left, right>>: the libraries, then each truth segment's sequence and the predicted one's at its place."""
+def run_texts(truth: Column, predicted: Column, gt_library: Column, pred_library: Column, library: bool = True, segments: bool = True) -> Column:
+    """array<struct<left, right>>: the libraries, then each truth segment's sequence and the predicted one's at its place;
+    without ``library`` or ``segments`` only the others."""
     text = lambda x: F.coalesce(x, F.lit(""))
     pair = lambda a, b: F.struct(text(a).alias("left"), text(b).alias("right"))
-    return F.concat(F.array(pair(gt_library, pred_library)), F.transform(truth, lambda g, i: pair(g["sequence"], F.get(predicted, i)["sequence"])))
+    parts = [F.array(pair(gt_library, pred_library))] if library else []
+    parts += [F.transform(truth, lambda g, i: pair(g["sequence"], F.get(predicted, i)["sequence"]))] if segments else []
+    return F.concat(*parts)

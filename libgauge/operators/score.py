@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Collection
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.distance import as_similarity
@@ -22,10 +24,10 @@ def spread(runs: DataFrame, tasks: int | None = None) -> DataFrame:
     return runs.repartition(tasks or tasks_of(runs), *(F.col(f"`{c}`") for c in ("model_name", "protocol_id")))
 
 
-def align(truth: Column, predicted: Column, distances: Column | None = None, only: str | None = None) -> Column:
+def align(truth: Column, predicted: Column, distances: Column | None = None, only: Collection[str] | None = None, first: int = 1) -> Column:
     """array<struct>: each truth segment scored against the predicted one at its place.  Surplus
-    predicted segments are not in the result.  ``distances`` has the sequences' edit distances from its second
-    element on; without it they are measured here.  ``only`` names the one field that is wanted."""
+    predicted segments are not in the result.  ``distances`` has the sequences' edit distances from element ``first``
+    on; without it they are measured here.  ``only`` names the fields that are wanted; Spark would make the others too."""
 
     def scored(g: Column, i: Column) -> Column:
         p = F.get(predicted, i)
@@ -35,10 +37,10 @@ def align(truth: Column, predicted: Column, distances: Column | None = None, onl
         fields = {
             "segment_index": i.cast("long"), "segment_name": F.coalesce(g["name"], F.lit("")), "region": gr, "gt_region": gr, "pred_region": pr, "region_exact": gr == pr,
             "gt_sequence": gs, "pred_sequence": ps, "gt_length": segment_length(g), "pred_length": segment_length(p), "length_exact": segment_length(g) == segment_length(p),
-            "sequence_similarity": similarity(gs, ps) if distances is None else as_similarity(F.get(distances, i + 1), gs, ps), "sequence_exact": gs == ps,
+            "sequence_similarity": similarity(gs, ps) if distances is None else as_similarity(F.get(distances, i + first), gs, ps), "sequence_exact": gs == ps,
             "gt_char": letter(g), "pred_char": letter(p), "char_exact": F.when(gr != "known", letter(g) == letter(p)), "pred_present": there,
         }
-        return F.struct(*(c.alias(n) for n, c in fields.items() if only in (None, n)))
+        return F.struct(*(c.alias(n) for n, c in fields.items() if only is None or n in only))
 
     return F.transform(truth, scored)
 
@@ -51,29 +53,31 @@ def failed() -> Column:
 def _ratio(truth: Column, predicted: Column, flag: str) -> Column:
     """Matches over truth segments; 1 if there are none.  Only the flag is looked at, so no distance is measured."""
     n = F.size(truth)
-    matches = F.size(F.filter(align(truth, predicted, only=flag), lambda r: r[flag])).cast("long")
+    matches = F.size(F.filter(align(truth, predicted, only=(flag,)), lambda r: r[flag])).cast("long")
     return F.when(n == 0, F.lit(1.0)).otherwise(matches / n.cast("double"))
 
 
-def score_runs(runs: DataFrame, store: Store | None = None) -> DataFrame:
+def score_runs(runs: DataFrame, store: Store | None = None, only: Collection[str] | None = None, library: bool = True) -> DataFrame:
     """Runs (gt_library, pred_library, gt_segments, pred_segments, gt_placeholders, pred_placeholders,
     error and any other columns) with their scores.  Failed runs have zero scores but the truth's
     lengths and counts, and no aligned segments.  With a store, edit distances are measured first and kept there
-    (``measure``); without one, each row measures its own when they are read, and so it is on a stream."""
+    (``measure``); without one, each row measures its own when they are read, and so it is on a stream.  ``only`` names the
+    fields of aligned segments that are wanted, and without ``library`` nobody reads ``library_similarity``: what isn't
+    wanted isn't measured."""
     failure, measured = unused(runs.columns, "failure", "measured")
     bad = F.col(failure)
-    library = runs.withColumn(failure, failed()).withColumn("gt_library", F.coalesce("gt_library", F.lit(""))).withColumn("pred_library", F.when(bad, F.lit("")).otherwise(F.coalesce("pred_library", F.lit(""))))
-    nothing = F.array().cast(dict(library.dtypes)["gt_segments"])
-    sized = library.withColumn("gt_segments", F.coalesce("gt_segments", nothing)).withColumn("pred_segments", F.when(bad, nothing).otherwise(F.coalesce("pred_segments", nothing)))
+    texts = runs.withColumn(failure, failed()).withColumn("gt_library", F.coalesce("gt_library", F.lit(""))).withColumn("pred_library", F.when(bad, F.lit("")).otherwise(F.coalesce("pred_library", F.lit(""))))
+    nothing = F.array().cast(dict(texts.dtypes)["gt_segments"])
+    sized = texts.withColumn("gt_segments", F.coalesce("gt_segments", nothing)).withColumn("pred_segments", F.when(bad, nothing).otherwise(F.coalesce("pred_segments", nothing)))
     truth, predicted, gt, pred = (F.col(c) for c in ("gt_segments", "pred_segments", "gt_library", "pred_library"))
-    found = None
-    if store is not None:
-        sized = distances(sized, F.when(~bad, run_texts(truth, predicted, gt, pred)), measured, store)
+    found, segments = None, only is None or "sequence_similarity" in only
+    if store is not None and (library or segments):
+        sized = distances(sized, F.when(~bad, run_texts(truth, predicted, gt, pred, library, segments)), measured, store)
         found = F.col(measured)
-    aligned = sized.withColumn("aligned", F.when(~bad, align(truth, predicted, found)))
+    aligned = sized.withColumn("aligned", F.when(~bad, align(truth, predicted, found if segments else None, only, int(library))))
     ok = lambda x, zero: F.when(bad, F.lit(zero)).otherwise(x)
     return aligned.withColumns({
-        "library_similarity": ok(similarity(gt, pred) if found is None else as_similarity(F.get(found, F.lit(0)), gt, pred), 0.0),
+        "library_similarity": ok(similarity(gt, pred) if found is None or not library else as_similarity(F.get(found, F.lit(0)), gt, pred), 0.0),
         "library_exact": ok(gt == pred, False),
         "gt_library_length": F.length("gt_library").cast("long"),
         "pred_library_length": F.length("pred_library").cast("long"),

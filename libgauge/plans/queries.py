@@ -54,8 +54,9 @@ def libraries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whole.select("protocol_id", F.array_join(F.transform("segments", lambda s: s["sequence"]), "").alias("library"), "segments")
 
 
-def stand_in(spark: SparkSession, sf_dir: str, measured: bool = False) -> DataFrame:
-    """The scored runs of three models over all libraries; with ``measured`` their edit distances are measured first."""
+def stand_in(spark: SparkSession, sf_dir: str, measured: bool = False, only: tuple[str, ...] | None = None, library: bool = True) -> DataFrame:
+    """The scored runs of three models over all libraries; with ``measured`` their edit distances are measured first,
+    those of libraries and of the fields ``only`` that a query reads."""
     libs = libraries(spark, sf_dir)
     models = spark.createDataFrame([("m-near", 1), ("m-mid", 2), ("m-far", 3)], "model_name string, k int")
     places = number_rows(table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("protocol_id")).distinct(), "place", "protocol_id")
@@ -67,7 +68,17 @@ def stand_in(spark: SparkSession, sf_dir: str, measured: bool = False) -> DataFr
     truth = libs.select("protocol_id", F.col("library").alias("gt_library"), F.col("segments").alias("gt_segments"), roles("segments").alias("gt_placeholders"))
     guess = libs.select(F.col("protocol_id").alias("other_id"), F.col("library").alias("pred_library"), F.col("segments").alias("pred_segments"), roles("segments").alias("pred_placeholders"))
     runs = pairs.join(truth, "protocol_id").join(guess, "other_id")
-    return score.score_runs((runs if measured else score.spread(runs)).withColumn("error", F.when(F.col("gt_segments")[0]["type"] == "umi", "no answer")).withColumn("duration_seconds", (F.col("k") + F.size("gt_segments")).cast("double")), Store(spark) if measured else None)
+    return score.score_runs((runs if measured else score.spread(runs)).withColumn("error", F.when(F.col("gt_segments")[0]["type"] == "umi", "no answer")).withColumn("duration_seconds", (F.col("k") + F.size("gt_segments")).cast("double")), Store(spark) if measured else None, only, library)
+
+
+#: What the summaries by region read of region rows.
+SUMMARY_FIELDS = ("segment_index", "region", "region_exact", "sequence_exact", "sequence_similarity", "length_exact", "char_exact")
+
+
+def region_fields(spark: SparkSession, sf_dir: str, keys: tuple[str, ...], *fields: str) -> DataFrame:
+    """Region rows with these fields of theirs alone, measured if the similarity is one of them."""
+    only = ("segment_index", *fields)
+    return score.region_rows(stand_in(spark, sf_dir, "sequence_similarity" in fields, only, library=False), *keys)
 
 
 #: One byte for each character: the accented letters of the test texts become control characters.
@@ -173,7 +184,7 @@ def q03_exact_rate(spark, d):
 SELECT model_name, count(*)::BIGINT AS runs, count(*) FILTER (WHERE ok)::BIGINT AS successes, count(*) FILTER (WHERE NOT ok)::BIGINT AS failures,
   round(coalesce(avg(library_similarity) FILTER (WHERE ok), 0.0::DOUBLE), 6) AS avg_library_similarity FROM scored GROUP BY model_name""")
 def q04_entry_model_summary(spark, d):
-    return aggregate.by_model(stand_in(spark, d, measured=True)).select("model_name", "runs", "successes", "failures", six("avg_library_similarity"))
+    return aggregate.by_model(stand_in(spark, d, measured=True, only=())).select("model_name", "runs", "successes", "failures", six("avg_library_similarity"))
 
 
 @query(STAND_IN + "SELECT model_name, protocol_id, segment_index::BIGINT AS segment_index, gt_length::BIGINT AS gt_length, pred_length::BIGINT AS pred_length, pred_present FROM region_row")
@@ -184,7 +195,7 @@ def q05_positional_align(spark, d):
 @query(STAND_IN + """SELECT model_name, protocol_id, segment_index::BIGINT AS segment_index, segment_name, gt_region, pred_region, region_exact, length_exact, sequence_exact, char_exact,
   round(sequence_similarity, 6) AS sequence_similarity FROM region_row""")
 def q06_region_rows(spark, d):
-    rows = score.region_rows(stand_in(spark, d, measured=True), "model_name", "protocol_id")
+    rows = region_fields(spark, d, ("model_name", "protocol_id"), "segment_name", "gt_region", "pred_region", "region_exact", "length_exact", "sequence_exact", "char_exact", "sequence_similarity")
     return rows.select("model_name", "protocol_id", "segment_index", "segment_name", "gt_region", "pred_region", "region_exact", "length_exact", "sequence_exact", "char_exact", six("sequence_similarity"))
 
 
@@ -375,7 +386,7 @@ SELECT section, line FROM (VALUES (1, ''), (1, 'Average by model:'), (2, ''), (2
 UNION ALL SELECT 1, printf('  %s: similarity=%.3f exact=%.3f region=%.3f success=%d/%d', model_name, s::DOUBLE, e::DOUBLE, r::DOUBLE, successes, runs) FROM by_model
 UNION ALL SELECT 2, printf('  %s | %s: seq=%.3f exact=%.3f len=%.3f type=%.3f', model_name, region, s::DOUBLE, e::DOUBLE, l::DOUBLE, r::DOUBLE) FROM by_region""")
 def q32_report_lines(spark, d):
-    scored = saved(stand_in(spark, d, measured=True))
+    scored = saved(stand_in(spark, d, measured=True, only=SUMMARY_FIELDS))
     return sinks.report_lines(aggregate.by_model(scored), aggregate.by_model_and_region(score.region_rows(scored, "model_name")))
 
 
@@ -384,7 +395,7 @@ gg AS (SELECT {'model_name': model_name, 'protocol_id': protocol_id, 'gt_region'
 SELECT CASE WHEN k > 1 THEN ', ' ELSE '' END || to_json(o)::VARCHAR AS value FROM rr UNION ALL SELECT CASE WHEN k > 1 THEN ', ' ELSE '' END || to_json(o)::VARCHAR FROM gg""")
 def q33_json_envelope(spark, d):
     """The entries of the envelope's two lists."""
-    scored = saved(stand_in(spark, d, measured=True))
+    scored = saved(stand_in(spark, d, only=("segment_index", "gt_region", "pred_region", "sequence_exact", "char_exact"), library=False).drop("library_similarity"))
     runs = sinks.json_entries(scored, ("model_name", "protocol_id", "library_exact", "error"), ("model_name", "protocol_id"))
     regions = sinks.json_entries(score.region_rows(scored, "model_name", "protocol_id"), ("model_name", "protocol_id", "gt_region", "pred_region", "sequence_exact", "char_exact"), ("model_name", "protocol_id", "segment_index"))
     return runs.select("value").unionByName(regions.select("value"))
@@ -426,7 +437,8 @@ def q36_union_counts(spark, d):
 @query(STAND_IN + """, numbered AS (SELECT *, row_number() OVER (ORDER BY model_name, protocol_id) AS number, count(*) OVER () AS total FROM scored)
 SELECT number::BIGINT AS run_number, printf('[%d/%d] %s | %s ...', number, total, model_name, protocol_id::VARCHAR) || CASE WHEN ok THEN printf(' similarity=%.3f region=%.3f', library_similarity, ra) ELSE ' ERROR: ' || error END AS line FROM numbered""")
 def q37_progress_lines(spark, d):
-    scored = saved(stand_in(spark, d, measured=True)).select("model_name", F.col("protocol_id").cast("string").alias("protocol_id"), F.col("protocol_id").alias("at"), "library_similarity", "ordered_region_accuracy", "error")
+    scored = stand_in(spark, d, measured=True, only=()).select("model_name", F.col("protocol_id").cast("string").alias("protocol_id"), F.col("protocol_id").alias("at"), "library_similarity", "ordered_region_accuracy", "error")
+    scored = saved(scored)
     return sinks.progress_lines(select.run_numbers(scored, "model_name", "at"), scored.count())
 
 
@@ -487,7 +499,7 @@ shown AS (SELECT section, place, '' AS key, line FROM (VALUES (1, 0, ''), (1, 1,
 SELECT row_number() OVER (ORDER BY section, place, key)::BIGINT AS number, line FROM shown""")
 def q42_report_in_order(spark, d):
     """The report's lines with their places, as a reader of the ordered DataFrame meets them."""
-    scored = saved(stand_in(spark, d, measured=True))
+    scored = saved(stand_in(spark, d, measured=True, only=SUMMARY_FIELDS))
     lines = sinks.report_lines(aggregate.by_model(scored), aggregate.by_model_and_region(score.region_rows(scored, "model_name")))
     return number_rows(lines.withColumn("at", F.monotonically_increasing_id()), "number", "at").select("number", "line")
 

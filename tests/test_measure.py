@@ -12,8 +12,11 @@ from pyspark.sql import functions as F
 from libgauge.functions import distance
 from libgauge.operators import aggregate, measure, score
 from libgauge.operators.number import deal_by_cost
+from libgauge.plans.queries import QUERIES
 from libgauge.store import Store, close_all
 
+SMALLEST = "/root/testdata/sf0.001"
+
 
 def slow(a, b):
     row = list(range(len(b) + 1))
@@ -152,3 +155,42 @@ def test_costs_with_one_dear_row(spark):
     assert sorted(per.values())[:7] == pytest.approx([50.0] * 7, abs=1.0)
     assert deal_by_cost(rows.limit(0), F.col("c"), 8).count() == 0
     close_all()
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.tuples(st.text("abé😀\n", min_size=1, max_size=200), st.text("abé😀\n", min_size=1, max_size=200)), min_size=1, max_size=12))
+def test_columns_of_many_pairs_together(pairs):
+    pairs = sorted(((a, b) if len(a) >= len(b) else (b, a) for a, b in pairs), key=distance.steps)
+    assert distance.together(pairs) == [distance.by_columns(a, b) for a, b in pairs]
+
+
+@pytest.mark.parametrize("table", [1 << 22, 2000])
+def test_groups_of_all_lengths(monkeypatch, table):
+    """Mixed lengths and alphabets in groups of some words, also where a table of places would be too large."""
+    monkeypatch.setattr(distance, "WORDS", 40)
+    monkeypatch.setattr(distance, "COMPANY", 10)
+    monkeypatch.setattr(distance, "PLAIN", 600)
+    monkeypatch.setattr(distance, "TABLE", table)
+    rng = random.Random(12)
+    word = lambda n: "".join(rng.choice(rng.choice(("ab", "abcdé😀 ", "".join(map(chr, range(0x4E00, 0x4F00)))))) for _ in range(n))
+    pairs = [(word(rng.randrange(n)), word(rng.randrange(n))) for n in (2, 64, 66, 129, 700) for _ in range(40)]
+    pairs += [(a, edited(rng, a, 20)) for a in (word(900) for _ in range(5))] + [(word(64), word(64)), (word(128), "a"), ("", "")]
+    assert distance.edit_distances(pairs) == [distance.edit_distance(a, b) for a, b in pairs]
+
+
+@pytest.mark.parametrize("name", ["q33_json_envelope"])
+def test_queries_without_similarities_measure_nothing(spark, monkeypatch, name):
+    monkeypatch.setattr(score, "distances", None)
+    df = QUERIES[name](spark, SMALLEST)
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert df.count() > 0 and "levenshtein" not in plan.lower()
+    close_all()
+
+
+@pytest.mark.parametrize("name, library", [("q37_progress_lines", True), ("q04_entry_model_summary", True), ("q06_region_rows", False)])
+def test_queries_measure_what_they_read(spark, monkeypatch, name, library):
+    asked, real = [], score.run_texts
+    monkeypatch.setattr(score, "run_texts", lambda *a: asked.append(a[4:]) or real(*a))
+    assert QUERIES[name](spark, SMALLEST).count() > 0
+    assert asked == [(library, not library)]
+    close_all()
