@@ -260,7 +260,7 @@ def q15_region_summary(spark, d):
 
 @query(STAND_IN + "SELECT gt_region AS region, round(coalesce(avg(char_exact::INT), 0.0::DOUBLE), 6) AS char_exact_rate FROM region_row GROUP BY ALL")
 def q16_char_rate_zero_default(spark, d):
-    rows = score.region_rows(stand_in(spark, d), "model_name")
+    rows = region_fields(spark, d, ("model_name",), "region", "char_exact")
     return rows.groupBy("region").agg(six(aggregate.rate(F.col("char_exact"), F.col("char_exact").isNotNull()), "char_exact_rate"))
 
 
