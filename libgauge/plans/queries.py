@@ -216,7 +216,7 @@ def q09_segment_count_match(spark, d):
 
 @query(STAND_IN + "SELECT model_name, gt_region, char_exact, count(*)::BIGINT AS n FROM region_row GROUP BY ALL")
 def q10_char_exact_tristate(spark, d):
-    return score.region_rows(stand_in(spark, d), "model_name").groupBy("model_name", "gt_region", "char_exact").agg(F.count(F.lit(1)).alias("n"))
+    return region_fields(spark, d, ("model_name",), "gt_region", "char_exact").groupBy("model_name", "gt_region", "char_exact").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("""SELECT event_id, event_type = 'view' OR user_id % 3 = 0 AS placeholder_key_exact FROM events""")
