@@ -680,7 +680,8 @@ _FLAG = "CASE WHEN {0} IS NULL THEN '' WHEN {0} THEN 'True' ELSE 'False' END"
 FROM (SELECT r.*, g.chr AS gt_chr, coalesce(p.chr, '') AS pred_chr FROM region_row r JOIN run USING (model_name, protocol_id) JOIN seg g ON g.conv_id = protocol_id AND g.idx = segment_index LEFT JOIN seg p ON p.conv_id = other_id AND p.idx = segment_index)""")
 def q52_region_csv_lines(spark, d):
     """Lines of the regions' CSV, similarities to their last digit."""
-    view = sinks.csv_view(score.region_rows(stand_in(spark, d, measured=True), "protocol_id", "model_name"), sinks.REGION_COLUMNS)
+    fields = [c for c in sinks.REGION_COLUMNS if c not in ("protocol_id", "model_name", "segment_index")]
+    view = sinks.csv_view(region_fields(spark, d, ("protocol_id", "model_name"), *fields), sinks.REGION_COLUMNS)
     return view.select(sinks.csv_line(*sinks.REGION_COLUMNS).alias("line"))
 
 
