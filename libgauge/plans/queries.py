@@ -189,7 +189,7 @@ def q04_entry_model_summary(spark, d):
 
 @query(STAND_IN + "SELECT model_name, protocol_id, segment_index::BIGINT AS segment_index, gt_length::BIGINT AS gt_length, pred_length::BIGINT AS pred_length, pred_present FROM region_row")
 def q05_positional_align(spark, d):
-    return score.region_rows(stand_in(spark, d), "model_name", "protocol_id").select("model_name", "protocol_id", "segment_index", "gt_length", "pred_length", "pred_present")
+    return region_fields(spark, d, ("model_name", "protocol_id"), "gt_length", "pred_length", "pred_present").select("model_name", "protocol_id", "segment_index", "gt_length", "pred_length", "pred_present")
 
 
 @query(STAND_IN + """SELECT model_name, protocol_id, segment_index::BIGINT AS segment_index, segment_name, gt_region, pred_region, region_exact, length_exact, sequence_exact, char_exact,

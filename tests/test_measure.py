@@ -178,7 +178,7 @@ def test_groups_of_all_lengths(monkeypatch, table):
     assert distance.edit_distances(pairs) == [distance.edit_distance(a, b) for a, b in pairs]
 
 
-@pytest.mark.parametrize("name", ["q10_char_exact_tristate", "q16_char_rate_zero_default", "q33_json_envelope"])
+@pytest.mark.parametrize("name", ["q05_positional_align", "q10_char_exact_tristate", "q16_char_rate_zero_default", "q33_json_envelope"])
 def test_queries_without_similarities_measure_nothing(spark, monkeypatch, name):
     monkeypatch.setattr(score, "distances", None)
     df = QUERIES[name](spark, SMALLEST)
