@@ -254,7 +254,8 @@ REGION_SUMMARY = """SELECT model_name, gt_region AS region, count(*)::BIGINT AS
 
 @query(STAND_IN + REGION_SUMMARY)
 def q15_region_summary(spark, d):
-    summary = aggregate.by_model_and_region(score.region_rows(stand_in(spark, d, measured=True), "model_name"))
+    rows = region_fields(spark, d, ("model_name",), *SUMMARY_FIELDS[1:])
+    summary = aggregate.by_model_and_region(rows)
     return summary.select("model_name", "region", "count", *map(six, ("region_exact_rate", "sequence_exact_rate", "avg_sequence_similarity", "length_exact_rate", "char_exact_rate")))
 
 

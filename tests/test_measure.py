@@ -187,7 +187,7 @@ def test_queries_without_similarities_measure_nothing(spark, monkeypatch, name):
     close_all()
 
 
-@pytest.mark.parametrize("name, library", [("q37_progress_lines", True), ("q04_entry_model_summary", True), ("q52_region_csv_lines", False), ("q06_region_rows", False)])
+@pytest.mark.parametrize("name, library", [("q37_progress_lines", True), ("q04_entry_model_summary", True), ("q15_region_summary", False), ("q52_region_csv_lines", False), ("q06_region_rows", False)])
 def test_queries_measure_what_they_read(spark, monkeypatch, name, library):
     asked, real = [], score.run_texts
     monkeypatch.setattr(score, "run_texts", lambda *a: asked.append(a[4:]) or real(*a))
