@@ -37,7 +37,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from .common import Workspace, bounded_batches, fresh, row_marks, rows_out
 from .suffix_dedup import BUCKET_BYTES, BUCKETS, DEALT, DEALT_DDL, SAMPLE_BITS, Rolling, deal, distinct_sorted, pack_sorted, tied, to_chunks, unpack_sorted, untangle
@@ -418,12 +418,19 @@ def relabel(first: DataFrame, edges: DataFrame, work: Workspace, name: str) -> D
     return work.save(first.join(moved.select(F.col("node").alias("root"), "label"), "root", "left").select("node", "print", F.coalesce("label", "root").alias("root"), "n", "sketch", "wide", "prefix"), f"{name}_first")
 
 
-def mixed_lists(first: DataFrame, longest: int = LIST) -> DataFrame:
-    """The lists of step 3 that hold more than one component, with the blocks in which members are compared:
-    one of them for a member of the largest component, all of them for the others."""
+def shared_lists(first: DataFrame) -> DataFrame:
+    """token, node, root of the lists of step 3 that hold more than one component.  All lists are shuffled once, for
+    this; what comes out is saved, so that their shuffle needn't stay while the members are dealt to be compared."""
     lists = first.select("node", "root", F.explode("prefix").alias("token"))
+    token = Window.partitionBy("token")
+    return lists.withColumns({"least": F.min("root").over(token), "most": F.max("root").over(token)}).filter("least != most").select("token", "node", "root")
+
+
+def mixed_lists(lists: DataFrame, first: DataFrame, longest: int = LIST) -> DataFrame:
+    """The members of such lists with the blocks in which they are compared: one of them for a member of the largest
+    component, all of them for the others."""
     parts = lists.groupBy("token", "root").agg(F.count(F.lit(1)).alias("size"))
-    mixed = parts.groupBy("token").agg(F.sum("size").alias("size"), F.max(F.struct("size", "root")).alias("most"), F.count(F.lit(1)).alias("roots")).filter("roots > 1")
+    mixed = parts.groupBy("token").agg(F.sum("size").alias("size"), F.max(F.struct("size", "root")).alias("most"))
     mixed = mixed.select("token", F.col("most.root").alias("most"), F.ceil(F.col("size") / longest).alias("blocks"))
     own = F.pmod(F.xxhash64("node"), F.col("blocks"))
     placed = lists.join(mixed, "token").withColumn("major", F.col("root") == F.col("most")).withColumn("own", own)
@@ -440,10 +447,16 @@ def join(df: DataFrame, words: int = WORDS, percent: int = PERCENT, id_col: str
     total = df.agg(F.sum(F.octet_length(F.col(f"`{text_col}`").cast("string")))).first()[0] or 0
     sets = find_sets(chunks, work, words, percent, max(BUCKETS, total // BUCKET_BYTES))
     work.drop("chunks", "shared")
-    first = work.save(first_links(sets, percent, max(4, total // (24 << 20)), DEAL, DEAL_BYTES), "first")
+    first, before = work.save(first_links(sets, percent, max(4, total // (24 << 20)), DEAL, DEAL_BYTES), "first"), "first"
     for name, forest in (("forest", True), ("rest", False)):
-        pairs = work.save(open_pairs(mixed_lists(first), percent, forest), f"{name}_pairs")
-        first = relabel(first, count_pairs(pairs, sets, work, name, percent), work, f"{name}_labels")
+        lists = work.save(shared_lists(first), f"{name}_lists")
+        pairs = work.save(open_pairs(mixed_lists(lists, first), percent, forest), f"{name}_pairs")
+        work.drop(f"{name}_lists")
+        linked = count_pairs(pairs, sets, work, name, percent)
+        work.drop(f"{name}_pairs", f"{name}_sets")
+        first = relabel(first, linked, work, f"{name}_labels")
+        work.drop(name, before)
+        before = f"{name}_labels_first"
     # Sets that step 1 settled have no print: they stay out of the join, where they would all meet in one task.
     alone = sets.filter("print IS NULL").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.least("n", F.lit(1)).cast("long").alias("n_sets"))
     placed = sets.filter("print IS NOT NULL").select("doc_id", "n", "print", F.shiftright("node", 20).alias("chunk"))
