@@ -25,7 +25,7 @@ def bounded_batches(spark: SparkSession) -> None:
 
 
 @contextlib.contextmanager
-def _setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
+def setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
     """A session setting for a while."""
     before = spark.conf.get(key, None)
     spark.conf.set(key, value)
@@ -93,10 +93,21 @@ class Workspace:
     def save(self, df: DataFrame, table: str) -> DataFrame:
         """Nothing reads this job's shuffle files once the table is there: Spark deletes them with the job's end, not at
         some later garbage collection."""
-        with _setting(self.spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true"):
+        with setting(self.spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true"):
             df.write.mode("overwrite").option("compression", "zstd").parquet(self.path(table))
         return self.spark.read.schema(df.schema).parquet(self.path(table))
 
+    def save_dealt(self, df: DataFrame, table: str, buckets: int, column: str, compression: str = "zstd") -> DataFrame:
+        """``save`` in buckets by a column, so that a join on it need not move the table.  Rows should come dealt by it
+        already: a task writes a file for each bucket that it has rows of."""
+        name = f"libgauge_{self.name.rpartition('-')[2]}_{table}"
+        try:
+            with setting(self.spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true"):
+                df.write.option("path", self.path(table)).option("compression", compression).bucketBy(buckets, column).saveAsTable(name)
+            return self.spark.table(name)
+        finally:
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")  # the name alone: files at a path of their own stay
+
     def drop(self, *tables: str) -> None:
         for table in tables:
             self._delete(self.path(table))

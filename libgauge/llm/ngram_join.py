@@ -15,7 +15,7 @@ step, and no step drops a pair it can't exclude:
    of the deal's earlier blocks and their own, by DivideSkip: the short inverted lists are merged,
    the long ones probed by binary search for those sets that may still reach T.
 3. Links across deals.  Sets that link share one of their |a| - T(a) + 1 least hashes.  The lists of those
-   hashes that hold more than one component so far are compared: pairs that their sizes and the parity
+   hashes that hold more than one component so far are compared, lists of the same members once: pairs that their sizes and the parity
    of their hashes (a lower bound of the symmetric difference, from sketches as wide as large sets
    need) don't exclude are counted exactly; first a spanning forest of them, then all that still join
    different components.  Only sets outside a list's largest component are compared with the rest; a
@@ -40,7 +40,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from .common import Workspace, bounded_batches, fresh, row_marks, rows_out
-from .suffix_dedup import BUCKET_BYTES, BUCKETS, DEALT, DEALT_DDL, SAMPLE_BITS, Rolling, deal, distinct_sorted, pack_sorted, tied, to_chunks, unpack_sorted, untangle
+from .suffix_dedup import BUCKET_BYTES, BUCKETS, DEALT, DEALT_DDL, SAMPLE_BITS, Rolling, chunk_table, deal, distinct_sorted, pack_sorted, tied, unpack_sorted, untangle
 
 WORDS, PERCENT = 3, 90
 #: Sets of at most so many shingles are dealt out whole in step 1.
@@ -260,7 +260,7 @@ def find_sets(chunks: DataFrame, work: Workspace, words: int, percent: int, buck
     return work.save(told.mapInArrow(kept, SETS_DDL), "sets")
 
 
-def first_links(sets: DataFrame, percent: int, tasks: int, deal: int = DEAL, deal_bytes: int = DEAL_BYTES) -> DataFrame:
+def first_links(sets: DataFrame, work: Workspace, percent: int, tasks: int, deal: int = DEAL, deal_bytes: int = DEAL_BYTES) -> DataFrame:
     """Step 2: distinct sets with the root that the search inside their deal gives them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -302,7 +302,8 @@ def first_links(sets: DataFrame, percent: int, tasks: int, deal: int = DEAL, dea
     whole = sets.filter(F.col("shingles").isNotNull()).select("node", "key", "print", "n", "shingles")
     sizes = whole.groupBy("key").agg(F.count(F.lit(1)).alias("size"), (F.lit(8) * F.sum("n")).alias("bytes"))
     crowded = sizes.select("key", F.greatest(F.ceil(F.col("size") / deal), F.ceil(F.col("bytes") / deal_bytes)).alias("parts")).filter("parts > 1")
-    dealt = whole.join(crowded, "key", "left").withColumn("part", F.pmod(F.xxhash64("print"), F.coalesce("parts", F.lit(1))))
+    crowded = work.save(crowded, "crowded")
+    dealt = whole.join(checked(crowded, crowded.count()), "key", "left").withColumn("part", F.pmod(F.xxhash64("print"), F.coalesce("parts", F.lit(1))))
     return dealt.select("node", "key", "part", "print", "shingles").repartition(tasks, "key", "part").sortWithinPartitions("key", "part", "print", "node").mapInArrow(run, FIRST_DDL)
 
 
@@ -420,10 +421,12 @@ def relabel(first: DataFrame, edges: DataFrame, work: Workspace, name: str) -> D
 
 def shared_lists(first: DataFrame) -> DataFrame:
     """token, node, root of the lists of step 3 that hold more than one component.  All lists are shuffled once, for
-    this; what comes out is saved, so that their shuffle needn't stay while the members are dealt to be compared."""
+    this; what comes out is saved, so that their shuffle needn't stay while the members are dealt to be compared.
+    Lists with the same members, of which a common passage makes many, are one: its token is a hash of the members (lists
+    whose hashes clash are compared as one, so no pair is lost)."""
     lists = first.select("node", "root", F.explode("prefix").alias("token"))
     token = Window.partitionBy("token")
-    return lists.withColumns({"least": F.min("root").over(token), "most": F.max("root").over(token)}).filter("least != most").select("token", "node", "root")
+    return lists.withColumns({"least": F.min("root").over(token), "most": F.max("root").over(token), "members": F.bit_xor(F.xxhash64("node")).over(token)}).filter("least != most").select(F.col("members").alias("token"), "node", "root").distinct()
 
 
 def mixed_lists(lists: DataFrame, first: DataFrame, longest: int = LIST) -> DataFrame:
@@ -443,11 +446,12 @@ def join(df: DataFrame, words: int = WORDS, percent: int = PERCENT, id_col: str
     spark, work = df.sparkSession, Workspace(df.sparkSession, "ngrams")
     bounded_batches(spark)
     rows = df.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    chunks = work.save(to_chunks(rows).select("chunk", "ids", "lengths", "data"), "chunks")
-    total = df.agg(F.sum(F.octet_length(F.col(f"`{text_col}`").cast("string")))).first()[0] or 0
+    total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    chunks, _ = chunk_table(rows, work, total)
     sets = find_sets(chunks, work, words, percent, max(BUCKETS, total // BUCKET_BYTES))
     work.drop("chunks", "shared")
-    first, before = work.save(first_links(sets, percent, max(4, total // (24 << 20)), DEAL, DEAL_BYTES), "first"), "first"
+    first, before = work.save(first_links(sets, work, percent, max(4, total // (24 << 20)), DEAL, DEAL_BYTES), "first"), "first"
+    work.drop("crowded")
     for name, forest in (("forest", True), ("rest", False)):
         lists = work.save(shared_lists(first), f"{name}_lists")
         pairs = work.save(open_pairs(mixed_lists(lists, first), percent, forest), f"{name}_pairs")

@@ -47,7 +47,7 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import Workspace, bounded_batches, fresh, rows_out, texts
+from .common import Workspace, bounded_batches, fresh, rows_out, setting, texts
 
 WIDTH = 200
 ORDER = 7
@@ -431,8 +431,8 @@ CHUNKS = pa.schema([("chunk", pa.int64()), ("ids", pa.list_(pa.int64())), ("leng
 CHUNK_DDL = "chunk long, ids array<long>, lengths array<long>, prints array<binary>, data binary"
 DEALT = pa.schema([("bucket", pa.int32()), ("chunk", pa.int64()), ("seg", pa.int32()), ("blob", pa.binary())])
 DEALT_DDL = "bucket int, chunk long, seg int, blob binary"
-KEPT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("spans", pa.list_(pa.list_(pa.int64()))), ("kept_sha256", pa.string()), ("kept", pa.string())])
-KEPT_DDL = "doc_id long, n_bytes long, n_removed long, spans array<array<long>>, kept_sha256 string, kept string"
+KEPT = pa.schema([("chunk", pa.int64()), ("place", pa.int32()), ("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("spans", pa.list_(pa.list_(pa.int64()))), ("kept_sha256", pa.string()), ("kept", pa.string())])
+KEPT_DDL = "chunk long, place int, doc_id long, n_bytes long, n_removed long, spans array<array<long>>, kept_sha256 string, kept string"
 
 
 def to_chunks(rows: DataFrame, chunk_bytes: int = CHUNK) -> DataFrame:
@@ -465,6 +465,12 @@ def to_chunks(rows: DataFrame, chunk_bytes: int = CHUNK) -> DataFrame:
     return rows.mapInArrow(run, CHUNK_DDL)
 
 
+def chunk_table(rows: DataFrame, work: Workspace, total: int, chunk_bytes: int = CHUNK, most_homes: int = MOST_HOMES) -> tuple[DataFrame, int]:
+    """The chunks of rows with ``total`` bytes of text, saved in buckets by chunk, and the number of buckets."""
+    homes = min(most_homes, max(total // (24 << 20), int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))))  # with fewer, joins would deal the texts out again
+    return work.save_dealt(to_chunks(rows, chunk_bytes).repartition(homes, "chunk"), "chunks", homes, "chunk", "uncompressed"), homes
+
+
 def _on_chunks(df: DataFrame, width: int, bits: int, buckets: int, schema: pa.Schema, ddl: str, make: Callable) -> DataFrame:
     """mapInArrow over chunks; make gives the rows of one chunk."""
 
@@ -492,19 +498,15 @@ def dedup(df: DataFrame, width: int = WIDTH, id_col: str = "doc_id", text_col: s
     bounded_batches(spark)
     rows = df.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    bits = min(63, max(SAMPLE_BITS, total.bit_length() + 10))
-    homes = min(most_homes, max(total // (24 << 20), int(spark.conf.get("spark.sql.shuffle.partitions"))))  # with fewer, joins would deal the texts out again
-    name = "libgauge_" + work.root.rpartition("-")[2]
-    try:
-        to_chunks(rows, chunk_bytes).repartition(homes, "chunk").write.option("path", work.path("chunks")).option("compression", "uncompressed").bucketBy(homes, "chunk").saveAsTable(name)
-        result = work.save(_cut_chunks(spark.table(name), work, width, bits, max(BUCKETS, total // bucket_bytes), keep_text, characters, fan_in), "result")
-    finally:
-        spark.sql(f"DROP TABLE IF EXISTS {name}")
+    chunks, _ = chunk_table(rows, work, total, chunk_bytes, most_homes)
+    result = work.save(_cut_chunks(chunks, work, width, total, keep_text, characters, fan_in, bucket_bytes).drop("chunk", "place"), "result")
     work.keep("result")
     return result
 
 
-def _cut_chunks(chunks: DataFrame, work: Workspace, width: int, bits: int, buckets: int, keep_text: bool, characters: bool, fan_in: int) -> DataFrame:
+def _cut_chunks(chunks: DataFrame, work: Workspace, width: int, total: int, keep_text: bool, characters: bool, fan_in: int = FAN_IN, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
+    bits, buckets = min(63, max(SAMPLE_BITS, total.bit_length() + 10)), max(BUCKETS, total // bucket_bytes)
+
     def sampled(r: dict, c: Chunk):
         for seg, lo, hi in c.segments():
             for bucket, values in deal(distinct_sorted(c.samples(lo, hi)[1]), buckets, bits):
@@ -572,24 +574,35 @@ def _cut_chunks(chunks: DataFrame, work: Workspace, width: int, bits: int, bucke
             turns = np.flatnonzero(np.diff(np.r_[False, gone, False]))
             kept = data[~gone].tobytes()
             spans = [[int(a), int(b - a)] for a, b in turns.reshape(-1, 2)]
-            yield doc_id, int(hi - lo), int(gone.sum()), spans, hashlib.sha256(kept).hexdigest(), kept.decode() if keep_text and characters else None
+            yield r["chunk"], i, doc_id, int(hi - lo), int(gone.sum()), spans, hashlib.sha256(kept).hexdigest(), kept.decode() if keep_text and characters else None
 
-    return _on_chunks(both.select("ids", "lengths", "data", "n_pieces", "layout", "found"), width, bits, buckets, KEPT, KEPT_DDL, cut)
+    return _on_chunks(both.select("chunk", "ids", "lengths", "data", "n_pieces", "layout", "found"), width, bits, buckets, KEPT, KEPT_DDL, cut)
 
 
 def cut_repeats(df: DataFrame, width: int = WIDTH, text_col: str = "text", chars_col: str = "n_chars") -> DataFrame:
     """The rows of ``df`` without repeated passages in their texts; ``chars_col``, where there is one,
     is counted anew, and the other columns stay as they are, whatever their types and names."""
-    work = Workspace(df.sparkSession, "repeats")
-    row, kept = fresh(df.columns, "row", "kept")
-    numbered = df.withColumn(row, F.monotonically_increasing_id())
-    beside = work.save(numbered.select(row, *(F.col(f"`{c}`") for c in df.columns if c != text_col)), "beside")
-    found = dedup(work.save(numbered.select(F.col(row).alias("doc_id"), F.col(f"`{text_col}`").alias("text")), "texts"), width, keep_text=True, characters=True)
-    back = found.select(F.col("doc_id").alias(row), F.col("kept").alias(kept)).join(beside, row)
+    spark, work = df.sparkSession, Workspace(df.sparkSession, "repeats")
+    bounded_batches(spark)
+    row, chunk, place, kept = fresh(df.columns, "row", "chunk", "place", "kept")
+    numbered = work.save(df.withColumn(row, F.monotonically_increasing_id()), "rows")
+    rows = numbered.select(F.col(row).alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    chunks, homes = chunk_table(rows, work, total)
+    places = chunks.select(F.col("chunk").alias(chunk), F.posexplode("ids").alias(place, row))
+    beside = work.save(places.join(numbered.select(row, *(F.col(f"`{c}`") for c in df.columns if c != text_col)), row).drop(row), "beside")
+    work.drop("rows")
+    cut = _cut_chunks(chunks, work, width, total, True, True).select(F.col("chunk").alias(chunk), F.col("place").alias(place), F.col("kept").alias(kept))
+    cut = work.save_dealt(cut, "cut", homes, chunk)
+    work.keep("cut", "beside")
     value = {c: F.col(f"`{c}`") for c in df.columns} | {text_col: F.col(kept)}
     if chars_col in df.columns:
         value[chars_col] = F.length(kept).cast(df.schema[chars_col].dataType)
-    return back.select(*(value[c].alias(c) for c in df.columns))
+    # Texts lie in buckets by chunk: the other columns go there, and no text is moved.
+    with setting(spark, "spark.sql.requireAllClusterKeysForCoPartition", "false"):
+        result = work.save(cut.join(beside, [chunk, place]).select(*(value[c].alias(c) for c in df.columns)), "result")
+    work.keep("result")
+    return result
 
 
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
